@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.functions import text as tx
@@ -25,63 +28,80 @@ THEMES: dict[str, tuple[str, ...]] = {
     "debugging": ("debug", "debugging", "troubleshoot", "profiling", "performance", "latency", "trace", "testing"),
 }
 
-# Word boundaries with Unicode meaning; usable in any regex dialect because nothing is captured after them.
+# Word boundaries with Unicode meaning, spelled out.
 EDGE_L = r"(^|[^\p{L}\p{N}_])"
 EDGE_R = r"($|[^\p{L}\p{N}_])"
 INSIDE = r"[\p{L}\p{N}_]"
 
 
-def whole(*words: str) -> str:
-    return f"{EDGE_L}({'|'.join(words)}){EDGE_R}"
-
-
-# Technology labels and the pattern that detects each. "c#" only counts
-# with a word character after it and ".net" only with one before it.
-STACK: dict[str, str] = {
-    "python": whole("python"),
-    "typescript": whole("typescript", "ts"),
-    "javascript": whole("javascript", r"node(\.js)?"),
-    "java": whole("java", "spring"),
-    "csharp": f"{EDGE_L}c#{INSIDE}|{INSIDE}\\.net{EDGE_R}|{whole('dotnet')}",
-    "go": whole("go", "golang"),
-    "rust": whole("rust"),
-    "nestjs": whole("nestjs", "nest"),
-    "django": whole("django"),
-    "fastapi": whole("fastapi"),
-    "flask": whole("flask"),
-    "mongodb": whole("mongodb", "atlas"),
-    "postgres": whole("postgres", "postgresql"),
-    "mysql": whole("mysql"),
-    "redis": whole("redis"),
-    "docker": whole("docker"),
-    "kubernetes": whole("kubernetes", "k8s"),
-    "aws": whole("aws"),
-    "azure": whole("azure"),
-    "gcp": whole("gcp", "google cloud"),
-    "rag": whole("rag") + "|retrieval augmented generation",
-    "langchain": whole("langchain"),
+class Cue(NamedTuple):
+    """What reveals a label: whole words, raw substrings, or (substring, regex) pairs."""
+
+    words: tuple[str, ...] = ()
+    phrases: tuple[str, ...] = ()
+    patterns: tuple[tuple[str, str], ...] = ()
+
+
+# Technology labels and what detects each. "c#" only counts with a word
+# character after it, ".net" only with one before it.
+STACK: dict[str, Cue] = {
+    "python": Cue(("python",)),
+    "typescript": Cue(("typescript", "ts")),
+    "javascript": Cue(("javascript", "node")),
+    "java": Cue(("java", "spring")),
+    "csharp": Cue(("dotnet",), (), (("c#", f"{EDGE_L}c#{INSIDE}"), (".net", f"{INSIDE}\\.net{EDGE_R}"))),
+    "go": Cue(("go", "golang")),
+    "rust": Cue(("rust",)),
+    "nestjs": Cue(("nestjs", "nest")),
+    "django": Cue(("django",)),
+    "fastapi": Cue(("fastapi",)),
+    "flask": Cue(("flask",)),
+    "mongodb": Cue(("mongodb", "atlas")),
+    "postgres": Cue(("postgres", "postgresql")),
+    "mysql": Cue(("mysql",)),
+    "redis": Cue(("redis",)),
+    "docker": Cue(("docker",)),
+    "kubernetes": Cue(("kubernetes", "k8s")),
+    "aws": Cue(("aws",)),
+    "azure": Cue(("azure",)),
+    "gcp": Cue(("gcp",), (), (("google cloud", f"{EDGE_L}google cloud{EDGE_R}"),)),
+    "rag": Cue(("rag",), ("retrieval augmented generation",)),
+    "langchain": Cue(("langchain",)),
 }
 
-# Concept labels and the pattern that detects each.
-CONCEPTS: dict[str, str] = {
-    "clean_architecture": "clean architecture",
-    "ddd": whole("ddd") + "|domain-driven design",
-    "cqrs": whole("cqrs"),
-    "event_sourcing": "event sourcing",
-    "microservices": "microservices?",
-    "observability": "observability|metrics|tracing|logging",
-    "testing": whole("testing", "test") + "|pytest|jest|tdd",
-    "debugging": "debugging|troubleshooting|profiling",
-    "prompt_engineering": "prompt engineering|prompting",
-    "embeddings": "embedding",
-    "vector_search": "vector search|similarity search",
-    "agents": "agent",
-    "rag": whole("rag") + "|retrieval augmented generation",
-    "distributed_systems": "distributed systems?",
-    "performance": "performance|latency|throughput|optimization",
+# Concept labels and what detects each.
+CONCEPTS: dict[str, Cue] = {
+    "clean_architecture": Cue((), ("clean architecture",)),
+    "ddd": Cue(("ddd",), ("domain-driven design",)),
+    "cqrs": Cue(("cqrs",)),
+    "event_sourcing": Cue((), ("event sourcing",)),
+    "microservices": Cue((), ("microservice",)),
+    "observability": Cue((), ("observability", "metrics", "tracing", "logging")),
+    "testing": Cue(("testing", "test"), ("pytest", "jest", "tdd")),
+    "debugging": Cue((), ("debugging", "troubleshooting", "profiling")),
+    "prompt_engineering": Cue((), ("prompt engineering", "prompting")),
+    "embeddings": Cue((), ("embedding",)),
+    "vector_search": Cue((), ("vector search", "similarity search")),
+    "agents": Cue((), ("agent",)),
+    "rag": Cue(("rag",), ("retrieval augmented generation",)),
+    "distributed_systems": Cue((), ("distributed system",)),
+    "performance": Cue((), ("performance", "latency", "throughput", "optimization")),
 }
 
 
+def spaced_words(text: Column) -> Column:
+    """The text with every non-word character blanked and padded, for whole-word look-ups."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, tx.NON_WORD, " "), F.lit(" "))
+
+
+def detects(cue: Cue, text: Column, spaced: Column) -> Column:
+    """Plain substring searches; a regular expression only runs after its substring was found."""
+    tests = [F.contains(spaced, F.lit(f" {w} ")) for w in cue.words]
+    tests += [F.contains(text, F.lit(p)) for p in cue.phrases]
+    tests += [F.contains(text, F.lit(hint)) & text.rlike(p) for hint, p in cue.patterns]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def inference_text(path: Column | str, content: Column | str) -> Column:
     """Stem, path parts and opening of the text, white space squeezed and case-folded."""
     p = tx.col(path)
@@ -105,8 +125,8 @@ def theme(text: Column) -> Column:
     return tx.let(scores, best)
 
 
-def matches(text: Column, patterns: dict[str, str], limit: int) -> Column:
-    found = F.array(*[F.when(text.rlike(p), F.lit(label)) for label, p in patterns.items()])
+def matches(text: Column, spaced: Column, cues: dict[str, Cue], limit: int) -> Column:
+    found = F.array(*[F.when(detects(cue, text, spaced), F.lit(label)) for label, cue in cues.items()])
     return F.slice(F.array_compact(found), 1, limit)
 
 
@@ -141,14 +161,17 @@ def metadata(path: Column | str, content: Column | str) -> Column:
     """Struct with title, author, theme, stack, concepts, file_name and file_extension."""
     p = tx.col(path)
     stem = tx.file_stem(p)
+    prepared = tx.let(
+        inference_text(p, content), lambda t: F.struct(t.alias("t"), spaced_words(t).alias("w"))
+    )
     return tx.let(
-        inference_text(p, content),
-        lambda t: F.struct(
+        prepared,
+        lambda b: F.struct(
             humanized_title(stem).alias("title"),
             author_from_stem(stem).alias("author"),
-            theme(t).alias("theme"),
-            matches(t, STACK, MAX_STACK).alias("stack"),
-            matches(t, CONCEPTS, MAX_CONCEPTS).alias("concepts"),
+            theme(b["t"]).alias("theme"),
+            matches(b["t"], b["w"], STACK, MAX_STACK).alias("stack"),
+            matches(b["t"], b["w"], CONCEPTS, MAX_CONCEPTS).alias("concepts"),
             tx.file_name(p).alias("file_name"),
             tx.file_extension(p).alias("file_extension"),
         ),

@@ -45,12 +45,14 @@ def expand_query(query: Column | str) -> Column:
     """The query followed by every concept, technology and related term it triggers."""
     q = tx.strip(query)
     low = tx.casefold(q)
+    spaced = catalog.spaced_words(low)
     none = F.array().cast("array<string>")
     parts = [F.array(q)]
-    for label, pattern in catalog.CONCEPTS.items():
-        parts.append(F.when(low.rlike(pattern), F.array(F.lit(label), F.lit(label.replace("_", " ")))).otherwise(none))
-    for label, pattern in catalog.STACK.items():
-        parts.append(F.when(low.rlike(pattern), F.array(F.lit(label))).otherwise(none))
+    for label, cue in catalog.CONCEPTS.items():
+        both = F.array(F.lit(label), F.lit(label.replace("_", " ")))
+        parts.append(F.when(catalog.detects(cue, low, spaced), both).otherwise(none))
+    for label, cue in catalog.STACK.items():
+        parts.append(F.when(catalog.detects(cue, low, spaced), F.array(F.lit(label))).otherwise(none))
     for trigger, related in RELATED_TERMS.items():
         added = F.array(*[F.lit(t) for t in (trigger, *related)])
         parts.append(F.when(F.contains(low, F.lit(trigger)), added).otherwise(none))

@@ -17,7 +17,14 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def label_list_sql(text: str, patterns: dict[str, str], limit: int) -> str:
+def cue_regex(cue: catalog.Cue) -> str:
+    """One regular expression with the meaning of a cue."""
+    parts = [f"{catalog.EDGE_L}({'|'.join(cue.words)}){catalog.EDGE_R}"] if cue.words else []
+    return "|".join([*parts, *cue.phrases, *(p for _, p in cue.patterns)])
+
+
+def label_list_sql(text: str, cues: dict[str, catalog.Cue], limit: int) -> str:
+    patterns = {n: cue_regex(c) for n, c in cues.items()}
     cases = ", ".join(f"CASE WHEN regexp_matches({text}, {quoted(p)}) THEN {quoted(n)} END" for n, p in patterns.items())
     return f"(list_filter([{cases}], lambda x: x IS NOT NULL))[1:{limit}]"
 
@@ -120,28 +127,23 @@ def benchmark_queries(spark, sf):
     )
 
 
-EXPANSION_SQL = "array_to_string(list_distinct_ordered, ' ')"
-
-
-def expand_sql(q: str) -> str:
+def expansion_parts_sql(q: str) -> str:
+    """All terms a query expands to, in order and with repeats, as one list expression."""
     low = FOLD(q)
     parts = [f"[{q}]"]
-    for n, p in catalog.CONCEPTS.items():
-        spaced = n.replace("_", " ")
-        parts.append(f"CASE WHEN regexp_matches({low}, {quoted(p)}) THEN [{quoted(n)}, {quoted(spaced)}] ELSE [] END")
-    for n, p in catalog.STACK.items():
-        parts.append(f"CASE WHEN regexp_matches({low}, {quoted(p)}) THEN [{quoted(n)}] ELSE [] END")
+    for n, cue in catalog.CONCEPTS.items():
+        both = f"[{quoted(n)}, {quoted(n.replace('_', ' '))}]"
+        parts.append(f"CASE WHEN regexp_matches({low}, {quoted(cue_regex(cue))}) THEN {both} ELSE [] END")
+    for n, cue in catalog.STACK.items():
+        parts.append(f"CASE WHEN regexp_matches({low}, {quoted(cue_regex(cue))}) THEN [{quoted(n)}] ELSE [] END")
     for n, related in retrieval.RELATED_TERMS.items():
         terms = ", ".join(quoted(x) for x in (n, *related))
         parts.append(f"CASE WHEN contains({low}, {quoted(n)}) THEN [{terms}] ELSE [] END")
-    joined = " || ".join(parts)
-    return f"list_filter({joined}, lambda x, i: list_position({joined}, x) = i)"
+    return " || ".join(parts)
 
 
-QUERY_SQL = f"""stripped AS (SELECT item_id AS query_id, {STRIP('text')} AS q FROM benchmark),
-expansion AS (SELECT query_id, {' || '.join(['[q]'])} AS own, q FROM stripped)"""
 EXPANDED_SQL = f"""stripped AS (SELECT item_id AS query_id, {STRIP('text')} AS q FROM benchmark),
-lists AS (SELECT query_id, {expand_sql('q').split('list_filter(', 1)[1].rsplit(', lambda x, i:', 1)[0]} AS parts FROM stripped),
+lists AS (SELECT query_id, {expansion_parts_sql('q')} AS parts FROM stripped),
 expanded AS (
   SELECT query_id, array_to_string(list_filter(parts, lambda x, i: list_position(parts, x) = i), ' ') AS q FROM lists)"""
 
