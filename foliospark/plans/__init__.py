@@ -6,7 +6,7 @@ import importlib
 
 from foliospark.plans.registry import ORACLES, QUERIES
 
-MODULES = ("corpus", "search")
+MODULES = ("corpus", "search", "operations", "assistant", "tables", "quality")
 
 
 def load_all():

@@ -75,7 +75,7 @@ if __name__ == "__main__":
         try:
             ok, message, took = compare(session, con, sf_path, fns[name], sqls.get(name))
         except Exception as exc:  # noqa: BLE001 - report and go on
-            ok, message, took = False, f"{type(exc).__name__}: {str(exc)[:600]}", 0.0
+            ok, message, took = False, f"{type(exc).__name__}: {str(exc)[:400].split("JVM stacktrace")[0]}", 0.0
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name:32s} {took:6.2f}s {message}", flush=True)
     print("failed:", bad)
