@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from foliospark.functions import text as tx
@@ -10,25 +12,25 @@ from foliospark.functions import text as tx
 ASCII_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 SP = r"[\t-\r \p{Z}\x{feff}]"
 
-# Personal-data patterns and their replacements, in the order they apply.
-# EDGE stands for a word boundary and SP for one white-space character.
+# Personal-data patterns, their replacements and the characters one can begin
+# with, in the order they apply. EDGE stands for a word boundary and SP for one white-space character.
 PII = (
-    (r"EDGE\d{3}(?:\.|SP)?\d{3}(?:\.|SP)?\d{3}(?:[.-]|SP)?\d{2}EDGE", "[CPF REDACTED]"),
-    (r"EDGE[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}EDGE", "[EMAIL REDACTED]"),
-    (r"EDGE(?:\+55SP?)?(?:\(?\d{2}\)?SP?)(?:9SP?)?\d{4}(?:[-.]|SP)?\d{4}EDGE", "[TELEFONE REDACTED]"),
-    (r"EDGE(?:\d{4}(?:[-.]|SP)?){3}\d{4}EDGE", "[CARTAO REDACTED]"),
+    (r"EDGE\d{3}(?:\.|SP)?\d{3}(?:\.|SP)?\d{3}(?:[.-]|SP)?\d{2}EDGE", "[CPF REDACTED]", "0-9"),
+    (r"EDGE[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}EDGE", "[EMAIL REDACTED]", "A-Za-z0-9._%+-"),
+    (r"EDGE(?:\+55SP?)?(?:\(?\d{2}\)?SP?)(?:9SP?)?\d{4}(?:[-.]|SP)?\d{4}EDGE", "[TELEFONE REDACTED]", "+(0-9"),
+    (r"EDGE(?:\d{4}(?:[-.]|SP)?){3}\d{4}EDGE", "[CARTAO REDACTED]", "0-9"),
 )
-# Prompt-injection and command patterns (case-insensitive).
+# Prompt-injection and command patterns (case-insensitive), each with a word it needs.
 INJECTION = (
-    r"ignoreSP+(previous|all|your)SP+(instructions?|prompts?|rules?)",
-    r"disregardSP+(all|your)SP+(instructions?|prompts?|rules?)",
-    r"youSP+areSP+nowSP+(a|an)SP+",
-    r"pretendSP+(you|that)SP+(are|you)",
-    r"systemSP*:SP*override",
-    r"EDGEDROPSP+TABLEEDGE",
-    r"EDGEDELETESP+FROMEDGE",
-    r";SP*(rm|del|format|shutdown|reboot)SP",
-    r"EDGE(exec|eval|spawn)SP*\(",
+    (r"ignoreSP+(previous|all|your)SP+(instructions?|prompts?|rules?)", "ignore"),
+    (r"disregardSP+(all|your)SP+(instructions?|prompts?|rules?)", "disregard"),
+    (r"youSP+areSP+nowSP+(a|an)SP+", "you"),
+    (r"pretendSP+(you|that)SP+(are|you)", "pretend"),
+    (r"systemSP*:SP*override", "system"),
+    (r"EDGEdropSP+tableEDGE", "drop"),
+    (r"EDGEdeleteSP+fromEDGE", "delete"),
+    (r";SP*(rm|del|format|shutdown|reboot)SP", ";"),
+    (r"EDGE(exec|eval|spawn)SP*\(", "("),
 )
 MAX_CHARS = 8000
 
@@ -49,16 +51,23 @@ def pattern(spec: str, edge: str = ASCII_EDGE) -> str:
 
 
 def mask_pii(text: Column | str) -> Column:
-    """Replace CPF, e-mail, phone and card numbers, in that order."""
+    """Replace CPF, e-mail, phone and card numbers, in that order.
+
+    Each pattern first looks at the character it would have to begin with, and the
+    e-mail pattern only runs on texts holding an ``@``.
+    """
     out = tx.col(text)
-    for spec, label in PII:
-        out = F.regexp_replace(out, pattern(spec), label.replace("[", r"\["))
+    for spec, label, lead in PII:
+        masked = F.regexp_replace(out, f"(?=[{lead}]){pattern(spec)}", label.replace("[", r"\["))
+        out = F.when(F.contains(out, F.lit("@")), masked).otherwise(out) if "@" in spec else masked
     return out
 
 
 def is_injection(text: Column | str) -> Column:
-    """One alternation, so the text is scanned once."""
-    return tx.col(text).rlike("(?i)" + "|".join(f"(?:{pattern(p)})" for p in INJECTION))
+    """Plain substring search first; a pattern only runs on texts that hold its word."""
+    low = F.lower(tx.col(text))
+    tests = [F.contains(low, F.lit(cue)) & low.rlike(pattern(spec)) for spec, cue in INJECTION]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def is_too_long(text: Column | str, limit: int = MAX_CHARS) -> Column:

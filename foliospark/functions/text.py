@@ -16,6 +16,7 @@ WS = r"[\t-\r\x1c- \x{85}\p{Z}]"
 # The ASCII ranges are redundant but let the regex engine test common characters first.
 WORD = r"[a-z0-9_\p{L}\p{N}]"
 NON_WORD = r"[^\p{L}\p{N}_]"
+HAS_WORD = r"[a-zA-Z0-9_\p{L}\p{N}]"
 LETTER_OR_DIGIT = r"[a-z0-9\p{L}\p{N}]"
 # Line ends in the sense of a universal-newline reader.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"

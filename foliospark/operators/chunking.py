@@ -136,8 +136,13 @@ def with_chunks(
 
 
 def explode_chunks(df: DataFrame, key: str, chunks: str = "chunks", *keep: str) -> DataFrame:
-    """One row per chunk: key, chunk_index, text (and any ``keep`` columns)."""
-    return df.select(key, *keep, F.posexplode(chunks).alias("chunk_index", "text"))
+    """One row per chunk: key, chunk_index, text (and any ``keep`` columns).
+
+    The outer form is used because for the inner one the optimizer adds a
+    size(chunks) > 0 filter below, which evaluates the whole chunking again.
+    """
+    rows = df.select(key, *keep, F.posexplode_outer(chunks).alias("chunk_index", "text"))
+    return rows.where(F.col("chunk_index").isNotNull())
 
 
 def or_blank_chunk(chunks: str = "chunks") -> Column:

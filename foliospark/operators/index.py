@@ -82,7 +82,8 @@ def scan_terms(
     terms = F.col("__tokens")
     for n in sorted(set(phrase_lengths) - {1}):
         terms = F.concat(terms, shingles(F.col("__tokens"), n))
-    counted = measured.select(*keys, "dl", F.inline(tx.term_counts(terms)))
+    # The outer form keeps the optimizer from adding a filter that counts the terms twice.
+    counted = measured.select(*keys, "dl", F.inline_outer(tx.term_counts(terms)))
     hits = counted.select(*keys, "dl", "term", "tf").join(wanted, "term", "left_semi")
     written = stage(hits, "term-hits")
     stats = seen.get
@@ -92,7 +93,9 @@ def scan_terms(
 def postings(rows: DataFrame, keys: Sequence[str], tokens: Column) -> DataFrame:
     """Every (key, term) occurrence with tf and the row's length; no shuffle."""
     measured = rows.select(*keys, tokens.alias("__tokens"))
-    return measured.select(*keys, F.size("__tokens").alias("dl"), F.inline(tx.term_counts("__tokens"))).drop("first")
+    terms = F.inline_outer(tx.term_counts("__tokens"))
+    entries = measured.select(*keys, F.size("__tokens").alias("dl"), terms)
+    return entries.where(F.col("term").isNotNull()).drop("first")
 
 
 def term_stats(entries: DataFrame) -> DataFrame:

@@ -187,10 +187,11 @@ def rank_documents(docs: DataFrame, queries: DataFrame, limit: int, query: str =
     document scores at all the list is the last documents in path order.
     """
     wanted = stage(query_terms(queries, tx.tokens(query)), "query-terms")
-    valid = docs.where(F.size(tx.tokens("content")) > 0)
+    valid = docs.where(F.col("content").rlike(tx.HAS_WORD))
     scan = scan_terms(valid, ["file_path"], tx.tokens("content"), wanted)
     vocabulary = lambda: (
-        valid.select(F.explode(F.array_distinct(tx.tokens("content"))).alias("term"))
+        valid.select(F.explode_outer(F.array_distinct(tx.tokens("content"))).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )

@@ -80,12 +80,12 @@ def conv_list(spark, sf):
 
 def pii_sql(column: str) -> str:
     out = column
-    for spec, label in gr.PII:
+    for spec, label, _ in gr.PII:
         out = f"regexp_replace({out}, '{gr.pattern(spec, chr(92) + 'b')}', '{label}', 'g')"
     return out
 
 
-INJECTION_SQL = "(?i)" + "|".join(f"(?:{gr.pattern(p, chr(92) + 'b')})" for p in gr.INJECTION)
+INJECTION_SQL = "(?i)" + "|".join(f"(?:{gr.pattern(p, chr(92) + 'b')})" for p, _ in gr.INJECTION)
 
 
 @query("pii_mask", f"""WITH {CORPUS_SQL}, m AS (SELECT file_path, content, {pii_sql('content')} AS masked FROM corpus)
