@@ -59,15 +59,21 @@ def signature_candidates(tokens: Column) -> Column:
 
 
 def document_features(docs: DataFrame) -> DataFrame:
-    """Narrow per-document features from (file_path, file_extension, content); no shuffle."""
+    """Narrow per-document features from (file_path, file_extension, content); no shuffle.
+
+    An optional ``chunk_text`` column replaces the content for counting usable chunks
+    (flattened JSON, for example).
+    """
+    chunk_source = "chunk_text" if "chunk_text" in docs.columns else "content"
     df = docs.select(
         "file_path",
         "file_extension",
         F.octet_length("content").alias("size_bytes"),
         tx.fingerprint(F.coalesce("content", F.lit(""))).alias("fingerprint"),
         tx.strip(F.coalesce("content", F.lit(""))).alias("content"),
+        *([tx.strip("chunk_text").alias("chunk_text")] if chunk_source == "chunk_text" else []),
     )
-    df = chunking.with_chunks(df)
+    df = chunking.with_chunks(df, text=chunk_source)
     df = df.withColumn("__tokens", tx.folded_tokens("content")).withColumn("__lines", tx.lines("content"))
     df = df.withColumn("__terms", signature_candidates(F.col("__tokens")))
     n_tokens = F.size("__tokens")

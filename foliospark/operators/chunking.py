@@ -99,7 +99,7 @@ def quality_reason(chunk: Column | str) -> Column:
 
 
 def with_segments(df: DataFrame, text: str, extension: str, out: str) -> DataFrame:
-    """Segments by file kind. JSON text must be flattened beforehand (see sources.documents)."""
+    """Segments by file kind. JSON is chunked as text; flatten it first (sources.documents) for key paths."""
     t, ext = F.col(text), F.col(extension)
     return df.withColumn(out, F.when(ext == ".md", markdown_sections(t)).otherwise(paragraphs(t)))
 

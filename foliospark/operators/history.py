@@ -99,10 +99,10 @@ def report_counts(rows: DataFrame) -> DataFrame:
 
 
 def overall_status(steps: DataFrame) -> DataFrame:
-    """error beats partial beats ok."""
+    """error beats partial (anything but ok or skipped) beats ok."""
     return steps.agg(
         F.when(F.bool_or(F.col("status") == "error"), "error")
-        .when(F.bool_or(F.col("status") == "partial"), "partial")
+        .when(F.bool_or(~F.col("status").isin("ok", "skipped")), "partial")
         .otherwise("ok")
         .alias("status")
     )
