@@ -7,7 +7,7 @@ rewrites only the buckets it touches. There is one writer at a time.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from foliospark.staging import stage
 
@@ -67,7 +67,7 @@ class KeyedTable:
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
     def _raw(self) -> DataFrame:
-        typed = StructType(self.schema.fields).add("bucket", "int")
+        typed = StructType([*self.schema.fields, StructField("bucket", IntegerType())])
         if not self._exists():
             return self.spark.createDataFrame([], typed)
         return self.spark.read.schema(typed).parquet(self.path)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from foliospark.functions import text as tx
 from foliospark.operators.audit import EXTENSION_PRIORITY
@@ -79,7 +80,7 @@ def load_folder_strict(spark: SparkSession, folder: str, ocr: Ocr | None = None)
     return documents
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def flattened_json(texts: pd.Series) -> pd.Series:
     """JSON text as ``path: value`` lines; text that is not JSON is returned unchanged."""
 

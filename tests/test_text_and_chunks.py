@@ -55,7 +55,7 @@ def test_windows_match_the_sliding_loop(spark):
 
 
 @pytest.mark.parametrize("size,overlap", [(0, 0), (10, -1), (10, 10)])
-def test_windows_reject_bad_sizes(size, overlap):
+def test_windows_reject_bad_sizes(spark, size, overlap):
     with pytest.raises(ValueError):
         chunking.windows(F.lit("x"), size, overlap)
 
