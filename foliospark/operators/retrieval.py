@@ -371,3 +371,21 @@ def confidence(ranked: DataFrame) -> DataFrame:
         F.round(gap, DIGITS).alias("gap_ratio"),
         "relevant_count",
     )
+
+
+def answer_context(hits: DataFrame, chunks: DataFrame, documents: int = 3, excerpts: int = 3, chars: int = 500) -> DataFrame:
+    """Numbered prompt context per query: its best documents with their first matched excerpts.
+
+    A query contributes at most ``documents`` rows, so the list per query is bounded.
+    """
+    ranked = chunk_hits_to_documents(hits).where(F.col("rank") <= documents)
+    found = matched_chunks(hits.join(ranked.select("query_id", "file_path"), ["query_id", "file_path"], "left_semi"), chunks, excerpts)
+    lines = F.transform("matched_chunks", lambda c: F.concat(F.lit("- "), F.substring(tx.strip(c), 1, chars)))
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] Arquivo: "), F.col("file_path"))
+    blocks = ranked.join(found, ["query_id", "file_path"]).select(
+        "query_id", "rank", F.concat_ws("\n", head, F.array_join(lines, "\n")).alias("block")
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "block")))
+    return blocks.groupBy("query_id").agg(
+        F.array_join(F.transform(ordered, lambda b: b["block"]), "\n\n---\n\n").alias("context")
+    )

@@ -12,14 +12,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-_local_root: str | None = None
+_local_root: tempfile.TemporaryDirectory | None = None
+_written: list[str] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of its own: on a
-    cluster such a folder would not be visible to the other machines.
+    Only a local master may fall back to a temporary folder of its own (removed
+    when Python exits): on a cluster such a folder would not be visible to the
+    other machines.
     """
     global _local_root
     configured = spark.conf.get(CHECKPOINT_KEY, None)
@@ -28,8 +30,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
     if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="foliospark-")
-    return _local_root
+        _local_root = tempfile.TemporaryDirectory(prefix="foliospark-", ignore_cleanup_errors=True)
+    return _local_root.name
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -37,4 +39,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/foliospark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table staged so far by this process; call it once their results are stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    count = len(_written)
+    while _written:
+        path = hadoop.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
