@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from foliospark.functions import text as tx
 from foliospark.operators.skew import salted_lookup
+from foliospark.staging import stage
 
 
 def with_fingerprint(df: DataFrame, content: str = "content", out: str = "fingerprint") -> DataFrame:
@@ -24,12 +25,14 @@ def duplicate_groups(prints: DataFrame, path: str = "file_path") -> DataFrame:
 def detect_duplicates(prints: DataFrame, path: str = "file_path") -> DataFrame:
     """Every document but the first of its fingerprint, with ``duplicate_of``.
 
-    Groups are reduced with map-side combine; the look-up back to the members is
-    salted, so a text copied into a third of the corpus is shared by many tasks.
+    The narrow (path, fingerprint) table is written first, so the text is hashed
+    once although it is needed twice. Groups are reduced with map-side combine; the
+    look-up back to the members is salted, so a text copied into a third of the
+    corpus is shared by many tasks.
     """
-    members = prints.select(path, "fingerprint")
+    members = stage(prints.select(path, "fingerprint"), "fingerprints")
     return (
-        salted_lookup(members, duplicate_groups(prints, path), "fingerprint", path)
+        salted_lookup(members, duplicate_groups(members, path), "fingerprint", path)
         .where(F.col(path) != F.col("kept_path"))
         .select(path, "fingerprint", F.col("kept_path").alias("duplicate_of"))
     )

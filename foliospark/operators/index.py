@@ -14,6 +14,7 @@ from foliospark.staging import stage
 BROADCAST_ROWS = 500_000
 TERM_BUCKETS = 64
 BUCKET_SPREAD = 8
+MAX_STARTS = 1000
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -25,10 +26,9 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def stored_documents(docs: DataFrame) -> DataFrame:
-    """Rows as the index keeps them: metadata, catalogue header, chunks, rebuilt content.
+    """Rows as the index keeps them: metadata, catalogue header, content hash and chunks.
 
-    ``content`` becomes the stored chunks joined by blank lines, because that is
-    what document-level ranking reads. No shuffle: one row in, one row out.
+    No shuffle: one row in, one row out. The text is stored once, as its chunks.
     """
     df = catalog.with_catalog(docs)
     df = chunking.with_chunks(df, text="indexable")
@@ -39,7 +39,12 @@ def stored_documents(docs: DataFrame) -> DataFrame:
         "catalog_text",
         F.sha2(F.concat("indexable", F.lit("\n"), F.to_json("metadata")), 256).alias("content_hash"),
         chunking.or_blank_chunk("chunks").alias("chunks"),
-    ).withColumn("content", F.array_join("chunks", "\n\n"))
+    )
+
+
+def with_content(stored: DataFrame) -> DataFrame:
+    """Add ``content``: the stored chunks joined by blank lines, which document ranking reads."""
+    return stored.withColumn("content", F.array_join("chunks", "\n\n"))
 
 
 @dataclass(frozen=True)
@@ -56,22 +61,43 @@ class TermScan:
         return self.total_length / self.rows if self.rows else 0.0
 
 
-def shingles(tokens: Column, n: int) -> Column:
-    """Runs of ``n`` adjacent tokens joined by a space."""
+def shingles(tokens: Column, n: int, first: Sequence[str] | None = None) -> Column:
+    """Runs of ``n`` adjacent tokens joined by a space; only those starting with ``first`` if given."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
+    if first is not None:
+        starts = F.filter(starts, lambda i: F.get(tokens, i - 1).isin(list(first)))
     runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
     return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
+def phrase_starts(vocabulary: DataFrame) -> dict[int, list[str] | None]:
+    """Phrase lengths in a (term, words) vocabulary, each with the words its phrases start with.
+
+    The start words only save work; beyond MAX_STARTS of them (None) every run is considered.
+    """
+    heads = vocabulary.where(F.col("words") > 1).select("words", F.substring_index("term", " ", 1).alias("head"))
+    rows = heads.distinct().limit(MAX_STARTS + 1).collect()
+    if len(rows) > MAX_STARTS:
+        return {r["words"]: None for r in vocabulary.where(F.col("words") > 1).select("words").distinct().collect()}
+    starts: dict[int, list[str] | None] = {}
+    for r in rows:
+        starts.setdefault(r["words"], []).append(r["head"])
+    return starts
+
+
 def scan_terms(
-    rows: DataFrame, keys: Sequence[str], tokens: Column, vocabulary: DataFrame, phrase_lengths: Sequence[int] = ()
+    rows: DataFrame,
+    keys: Sequence[str],
+    tokens: Column,
+    vocabulary: DataFrame,
+    phrases: dict[int, list[str] | None] | None = None,
 ) -> TermScan:
     """One pass over the text: keep only occurrences of ``vocabulary.term``.
 
     Terms are counted inside each row, so nothing is shuffled before the filter,
     and the row count and total length are observed during the same pass. The
     (small) result is written, so later steps never read the text again.
-    ``phrase_lengths`` adds multi-word terms of those lengths.
+    ``phrases`` adds multi-word terms (see phrase_starts).
     """
     seen = Observation()
     wanted = bounded(vocabulary.select("term").distinct())
@@ -80,8 +106,8 @@ def scan_terms(
         seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")
     )
     terms = F.col("__tokens")
-    for n in sorted(set(phrase_lengths) - {1}):
-        terms = F.concat(terms, shingles(F.col("__tokens"), n))
+    for n, first in sorted((phrases or {}).items()):
+        terms = F.concat(terms, shingles(F.col("__tokens"), n, first))
     # The outer form keeps the optimizer from adding a filter that counts the terms twice.
     counted = measured.select(*keys, "dl", F.inline_outer(tx.term_counts(terms)))
     hits = counted.select(*keys, "dl", "term", "tf").join(wanted, "term", "left_semi")
@@ -123,7 +149,7 @@ def write_index(docs: DataFrame, path: str) -> None:
     """
     spark = docs.sparkSession
     stored_documents(docs).write.mode("overwrite").parquet(f"{path}/documents")
-    stored = spark.read.parquet(f"{path}/documents")
+    stored = with_content(spark.read.parquet(f"{path}/documents"))
     chunks = chunking.explode_chunks(stored, "file_path")
     for name, rows, keys, tokens in (
         ("chunk_postings", chunks, ["file_path", "chunk_index"], tx.search_tokens("text")),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliospark.functions import catalog, text as tx
 from foliospark.operators import chunking
-from foliospark.operators.index import BROADCAST_ROWS, TermScan, bounded, scan_terms
+from foliospark.operators.index import BROADCAST_ROWS, TermScan, bounded, phrase_starts, scan_terms, with_content
 from foliospark.staging import stage
 
 RRF_K = 60
@@ -151,8 +151,8 @@ def top(ranked: DataFrame, limit: int, *ties: str) -> DataFrame:
 def search_chunks(chunks: DataFrame, queries: DataFrame, limit: int, query: str = "query") -> DataFrame:
     """Top chunks per query (query_id, file_path, chunk_index, score, rank)."""
     wanted = stage(phrase_terms(queries, query), "query-phrases")
-    lengths = [r[0] for r in wanted.select("words").distinct().collect()]
-    scan = scan_terms(chunks, ["file_path", "chunk_index"], tx.search_tokens("text"), wanted, lengths)
+    phrases = phrase_starts(wanted)
+    scan = scan_terms(chunks, ["file_path", "chunk_index"], tx.search_tokens("text"), wanted, phrases)
     return top(bm25_fts(scan, wanted), limit, "file_path", "chunk_index")
 
 
@@ -294,7 +294,7 @@ def hybrid(stored: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     chunks = chunking.explode_chunks(stored, "file_path")
     fetch = limit * OVERFETCH
     fts = stage(chunk_hits_to_documents(search_chunks(chunks, expanded, fetch)), "fts-documents")
-    bm25 = stage(rank_documents(stored, expanded, fetch), "bm25-documents")
+    bm25 = stage(rank_documents(with_content(stored), expanded, fetch), "bm25-documents")
     with_hits = fts.select("query_id").distinct()
     fused = fuse(
         fts, bm25.join(with_hits, "query_id", "left_semi"), stored, expanded, limit, "query"

@@ -98,7 +98,7 @@ def index_folder(spark: SparkSession, folder: str, root: str, now: Column, ocr:
 
 def report(spark: SparkSession, root: str) -> DataFrame:
     """Report rows from the persisted documents and audit history."""
-    documents = spark.read.parquet(f"{root}/{DOCUMENTS}").select(
+    documents = index.with_content(spark.read.parquet(f"{root}/{DOCUMENTS}")).select(
         "file_path", "file_extension", F.col("metadata.theme").alias("theme"), F.length("content").alias("content_length")
     )
     return history.report_rows(documents, history.latest_decisions(spark.read.parquet(f"{root}/{HISTORY}")))
