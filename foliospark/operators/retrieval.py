@@ -145,7 +145,9 @@ def bm25_okapi(scan: TermScan, wanted: DataFrame, vocabulary_df) -> DataFrame:
 def top(ranked: DataFrame, limit: int, *ties: str) -> DataFrame:
     """Best ``limit`` rows per query with their ``rank``; pruned map-side before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *ties)
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    numbered = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    # The cast comes after the filter, which must see the bare row number to be pushed into the map tasks.
+    return numbered.withColumn("rank", F.col("rank").cast("long"))
 
 
 def search_chunks(chunks: DataFrame, queries: DataFrame, limit: int, query: str = "query") -> DataFrame:

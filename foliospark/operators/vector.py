@@ -17,7 +17,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def atlas_score(similarity: Column) -> Column:
+def unit_score(similarity: Column) -> Column:
     """Cosine mapped to [0, 1]."""
     return (similarity + 1.0) / 2.0
 

@@ -97,5 +97,5 @@ def vector_similarity(spark, sf):
     return scored.groupBy("label").agg(
         F.count(F.lit(1)).alias("vectors"),
         F.round(F.avg("s"), 6).alias("mean_similarity"),
-        F.round(vector.atlas_score(F.max("s")), 6).alias("best_score"),
+        F.round(vector.unit_score(F.max("s")), 6).alias("best_score"),
     )

@@ -33,7 +33,7 @@ def test_blocked_sql(sql):
 def test_sanitize_and_columns():
     assert tabular.sanitize_sql("```sql\nSELECT 1\n```") == "SELECT 1"
     assert tabular.sanitize_sql("SELECT 1;;") == "SELECT 1"
-    used = tabular.referenced_columns("SELECT produto, SUM(preco) AS total FROM dataset WHERE cliente = 'Atlas' GROUP BY Produto")
+    used = tabular.referenced_columns("SELECT produto, SUM(preco) AS total FROM dataset WHERE cliente = 'Norte' GROUP BY Produto")
     assert used == ["produto", "preco", "cliente"]
     assert tabular.referenced_columns("SELECT * FROM dataset WHERE x = 1") == []
     assert tabular.check_columns(["PRODUTO"], ["produto", "cliente"], "SELECT produto FROM dataset") == ["produto"]
