@@ -45,7 +45,10 @@ def stream_new_files(
 
 
 def read_snapshot(spark: SparkSession, path: str, watch_path: str) -> DataFrame:
-    """Latest stored listing of a watched folder; empty before the first cycle."""
+    """Latest stored listing of a watched folder, with one row of null ``file_path`` per cycle.
+
+    That row keeps the cycle known when the folder was empty. No rows before the first cycle.
+    """
     try:
         rows = spark.read.schema(SNAPSHOT).parquet(path).where(F.col("watch_path") == watch_path)
     except Exception as exc:  # noqa: BLE001
@@ -61,7 +64,7 @@ def watch_cycle(spark: SparkSession, folder: str, snapshots: str, process: Proce
     files, store the new snapshot. Returns (file_path, change)."""
     previous = read_snapshot(spark, snapshots, folder)
     current = stage(list_folder(spark, folder), "listing")
-    changes = stage(store.snapshot_changes(previous, current), "changes")
+    changes = stage(store.snapshot_changes(previous.where(F.col("file_path").isNotNull()), current), "changes")
     wanted = changes.where(F.col("change") != "removed").select(F.col("file_path").alias("path"))
     if not wanted.isEmpty():
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -71,8 +74,9 @@ def watch_cycle(spark: SparkSession, folder: str, snapshots: str, process: Proce
             loaded.where(F.col("error").isNotNull()).select("file_path", "error"),
         )
     cycle = (previous.agg(F.max("cycle")).first()[0] or 0) + 1
-    row = current.select(F.lit(folder).alias("watch_path"), "file_path", "size", "mtime", F.lit(cycle).cast("long").alias("cycle"))
-    row.write.mode("append").parquet(snapshots)
+    rows = current.select(F.lit(folder).alias("watch_path"), "file_path", "size", "mtime", F.lit(cycle).cast("long").alias("cycle"))
+    marker = spark.createDataFrame([(folder, None, None, None, cycle)], SNAPSHOT)
+    rows.unionByName(marker).write.mode("append").parquet(snapshots)
     return changes
 
 

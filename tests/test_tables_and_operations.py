@@ -279,6 +279,10 @@ def test_watch_cycles_and_stream(spark, tmp_path):
     q = watch.stream_new_files(spark, str(folder), str(tmp_path / "ck"), lambda d, e: streamed.append((d.count(), e.count())))
     q.awaitTermination(60)
     assert streamed == [(4, 2)]
+    for f in [f for f in folder.rglob("*") if f.is_file()]:
+        f.unlink()
+    assert watch.watch_cycle(spark, str(folder), str(tmp_path / "snap"), process).where("change = 'removed'").count() == 6
+    assert watch.watch_cycle(spark, str(folder), str(tmp_path / "snap"), process).count() == 0
 
 
 def test_hourly_stream_matches_batch_and_drops_late_rows(spark, tmp_path):
