@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliospark.llm import quality, simhash
+from foliospark.llm import decontamination, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,30 @@ def quality_rules(spark, sf_dir):
     return found.withColumns(
         {"base_failed": base, "kept": ~base & quality.passes(quality.POLICIES[quality.DEFAULT_POLICY])}
     )
+
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATION_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+b AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+bw AS (SELECT item_id, least(len(w), 10) AS n, list_aggregate(w[p:p + 9], 'string_agg', ' ') AS x
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
+dw AS (SELECT r, p, n, list_aggregate(w[p:p + n - 1], 'string_agg', ' ') AS x
+       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM bw))),
+hit AS (SELECT DISTINCT r, p, n, item_id FROM dw JOIN bw USING (n, x)),
+place AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hit) GROUP BY r),
+item AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+         FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN place USING (r) LEFT JOIN item USING (r)"""
+
+
+@query("op3_benchmark_decontamination", DECONTAMINATION_SQL)
+def benchmark_decontamination(spark, sf_dir):
+    found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
