@@ -35,7 +35,7 @@ SEED = 42
 RADIUS = 3
 TILE = 1024
 #: Fingerprint-and-block pairs compared in one go; bounds the memory of a task.
-ITEMS = 1 << 17
+ITEMS = 1 << 13
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
