@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliospark.llm import decontamination, quality, simhash
+from foliospark.llm import decontamination, language, quality, simhash, suffix_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,13 @@ def benchmark_decontamination(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op2_suffix_tree_scoring")
+def suffix_tree_scoring(spark, sf_dir):
+    return suffix_tree.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))

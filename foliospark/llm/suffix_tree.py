@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliospark.llm.common import Scratch, remainder, texts, words
 
-DEPTH = 5
+DEPTH = 6
 GAIN = 12.0
 STATES = 32_768
 HEAD = 100_000
