@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliospark.llm import decontamination, language, quality, simhash, suffix_tree
+from foliospark.llm import decontamination, language, quality, simhash, suffix_tree, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,3 +99,8 @@ def suffix_tree_scoring(spark, sf_dir):
 @query("op5_language_id")
 def language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def toxicity_scores(spark, sf_dir):
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
