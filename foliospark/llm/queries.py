@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliospark.llm import chat, decontamination, language, quality, simhash, suffix_tree, toxicity
+from foliospark.llm import chat, decontamination, language, mixing, quality, simhash, suffix_tree, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,3 +140,41 @@ def chat_formatting(spark, sf_dir):
         sha(F.array_join("losses", "")).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+MIXING_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS_SQL}) AS tokens, md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+s AS (SELECT source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY source HAVING sum(tokens) > 0),
+t AS (SELECT sum(tokens)::DOUBLE AS total, count(*) AS n FROM s),
+x AS (SELECT ln(tokens / total) AS x FROM s, t),
+bis AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS rlo, 1.0::DOUBLE AS rhi
+  UNION ALL
+  SELECT i + 1, CASE WHEN h >= goal THEN (lo + hi) / 2 ELSE lo END, CASE WHEN h >= goal THEN hi ELSE (lo + hi) / 2 END,
+         CASE WHEN m > {mixing.REPEATS} + 1e-9 THEN (rlo + rhi) / 2 ELSE rlo END, CASE WHEN m > {mixing.REPEATS} + 1e-9 THEN rhi ELSE (rlo + rhi) / 2 END
+  FROM (SELECT *, (SELECT ln(sum(exp((lo + hi) / 2 * x))) - sum(exp((lo + hi) / 2 * x) * (lo + hi) / 2 * x) / sum(exp((lo + hi) / 2 * x)) FROM x) AS h,
+               (SELECT max(exp((rlo + rhi) / 2 * x) / exp(x)) / sum(exp((rlo + rhi) / 2 * x)) FROM x) AS m,
+               {mixing.ENTROPY} * ln(n) - 1e-12 AS goal FROM bis, t) WHERE i < 48),
+ends AS (SELECT (SELECT ln(count(*)) * {mixing.ENTROPY} - 1e-12 <= -sum(exp(x) * x) FROM x) AS at_one,
+                (SELECT max(1 / exp(x)) / count(*) <= {mixing.REPEATS} + 1e-9 FROM x) AS at_zero),
+e AS (SELECT round(greatest(CASE WHEN at_one THEN 1.0 ELSE lo END, CASE WHEN at_zero THEN 0.0 ELSE rhi END), 9) AS a FROM bis, ends WHERE i = 48),
+w AS (SELECT source, tokens, exp(a * ln(tokens / total)) AS p, total FROM s, t, e),
+sh AS (SELECT source, tokens, p / sum(p) OVER () AS weight, floor(p / sum(p) OVER () * total + 0.5)::BIGINT AS budget,
+              ceil(sqrt(tokens / {mixing.UNIT}.0))::BIGINT AS blocks FROM w),
+dealt AS (SELECT doc_id, d.source, d.tokens, place, ('0x' || place[1:8])::BIGINT % blocks AS block FROM d JOIN sh ON d.source IS NOT DISTINCT FROM sh.source),
+b AS (SELECT source, block, sum(tokens) AS in_block FROM dealt GROUP BY ALL),
+ep AS (SELECT b.source, block, in_block, tokens, budget, unnest(range(budget // tokens + 1)) AS epoch FROM b JOIN sh ON b.source IS NOT DISTINCT FROM sh.source),
+k AS (SELECT *, row_number() OVER o AS block_order,
+             budget - epoch * tokens - coalesce(sum(in_block) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+      FROM ep WINDOW o AS (PARTITION BY source, epoch ORDER BY md5('{mixing.SEED}|' || epoch || '|' || coalesce(source, '') || '|' || block), block)),
+f AS (SELECT doc_id, dealt.source, dealt.tokens, place, dealt.block, epoch, block_order, room, in_block,
+             sum(dealt.tokens) OVER (PARTITION BY dealt.source, dealt.block, epoch ORDER BY place) AS filled
+      FROM dealt JOIN k ON dealt.source IS NOT DISTINCT FROM k.source AND dealt.block = k.block WHERE room > 0)
+SELECT doc_id, source, tokens AS n_tokens, epoch, block, block_order FROM f WHERE room >= in_block OR filled <= room"""
+
+
+@query("op10_mixing", MIXING_SQL)
+def source_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed, _, name = mixing.mix(docs)
+    return mixed.select("doc_id", *[F.col(name)[c].alias(a) for c, a in (
+        ("source", "source"), ("tokens", "n_tokens"), ("epoch", "epoch"), ("block", "block"), ("block_order", "block_order"))])
