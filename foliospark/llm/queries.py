@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliospark.llm import chat, decontamination, language, mixing, quality, simhash, suffix_tree, toxicity
+from foliospark.llm import chat, decontamination, html, language, mixing, quality, simhash, suffix_tree, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,3 +178,8 @@ def source_mixing(spark, sf_dir):
     mixed, _, name = mixing.mix(docs)
     return mixed.select("doc_id", *[F.col(name)[c].alias(a) for c, a in (
         ("source", "source"), ("tokens", "n_tokens"), ("epoch", "epoch"), ("block", "block"), ("block_order", "block_order"))])
+
+
+@query("op6_html_extraction")
+def html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
