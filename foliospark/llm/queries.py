@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliospark.llm import chat, decontamination, html, language, mixing, quality, simhash, suffix_tree, toxicity
+from foliospark.llm import chat, decontamination, html, language, licences, mixing, quality, simhash, suffix_tree, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,3 +183,39 @@ def source_mixing(spark, sf_dir):
 @query("op6_html_extraction")
 def html_extraction(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+# The tables have no paths; both sides shelve the documents by source, language and number.
+_VALUES = ", ".join(f"({i}, '{lic}', '{w}', {x!r}::DOUBLE)" for i, lic, w, x in licences._vectors())
+_LICENCE_TERMS = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x80-\U0010ffff]+'), lambda x: x <> '')"
+LICENCE_SQL = rf"""
+WITH tpl(template, licence, word, weight) AS (VALUES {_VALUES}),
+idf AS (SELECT word, ln({1 + len(licences.TEMPLATES)}.0 / (1 + count(*))) + 1 AS idf FROM tpl GROUP BY word),
+f AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, doc_id % 40 = 0 AS lf,
+             CASE WHEN doc_id % 400 = 0 THEN source || '/LICENSE'
+                  ELSE source || '/' || coalesce(lang, 'none') || '/' || doc_id % 20 || CASE WHEN doc_id % 40 = 0 THEN '/LICENSE' ELSE '/' || doc_id || '.txt' END END AS path
+      FROM documents),
+d AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM f),
+u AS (SELECT r, 0 AS unit, text FROM d WHERE lf
+      UNION ALL SELECT r, unit, text FROM (SELECT r, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS unit, unnest(string_split(text, chr(10))) AS text FROM d)
+      WHERE regexp_matches(text, '(?i){licences.CUE}')),
+w AS (SELECT r, unit, word, count(*) AS n FROM (SELECT r, unit, unnest({_LICENCE_TERMS}) AS word FROM u) GROUP BY ALL),
+x AS (SELECT r, unit, word, n * coalesce(idf, {licences.idf(0)!r}) AS w FROM w LEFT JOIN idf USING (word)),
+len AS (SELECT r, unit, sqrt(sum(w * w)) AS length FROM x GROUP BY ALL),
+c AS (SELECT r, licence, round(sum(w * weight) / any_value(length), 6) AS cosine FROM x JOIN tpl USING (word) JOIN len USING (r, unit) GROUP BY r, unit, template, licence),
+own AS (SELECT r, arg_min(licence, (-cosine, licence)) AS licence, max(cosine) AS cosine FROM c WHERE cosine >= {licences.THRESHOLD} GROUP BY r),
+a AS (SELECT d.*, licence, cosine FROM d LEFT JOIN own USING (r)),
+lic AS (SELECT directory AS spot, arg_min(licence, (-cosine, licence)) AS licence FROM a WHERE lf AND licence IS NOT NULL GROUP BY directory),
+up AS (SELECT r, max_by(lic.licence, length(spot)) AS inherited, max_by(spot, length(spot)) AS inherited_from
+       FROM a JOIN lic ON starts_with(a.directory || '/', spot || '/') GROUP BY r)
+SELECT doc_id, path, licence AS own_licence, cosine AS own_cosine, coalesce(licence, inherited) AS licence,
+       CASE WHEN licence IS NULL THEN inherited_from END AS inherited_from FROM a LEFT JOIN up USING (r)"""
+
+
+@query("op4_licence_scan", LICENCE_SQL)
+def licence_scan(spark, sf_dir):
+    number = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 40 == 0, F.lit("LICENSE")).otherwise(F.concat(number, F.lit(".txt")))
+    shelf = F.concat_ws("/", F.coalesce("lang", F.lit("none")), (F.col("doc_id") % 20).cast("string"), name)
+    path = F.concat_ws("/", "source", F.when(F.col("doc_id") % 400 == 0, F.lit("LICENSE")).otherwise(shelf))
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
