@@ -296,11 +296,6 @@ def learn(training: DataFrame, text: str, scratch: Scratch, depth: int = DEPTH,
         longer = tables[d + 1][0]
         shorter = (longer >> np.uint64(16)) << np.uint64(8) if d else np.zeros(len(longer), np.uint64)
         tables[d] = _summed(shorter | (longer & np.uint64(255)), tables[d + 1][1])
-    for d, (keys, sums) in tables.items():
-        good = gains(tables[d], tables[d - 1], d) if d else (np.zeros(1, np.uint64), np.array([np.inf]))
-        for c in good[0][good[1] >= floor].tolist():
-            a, b = np.searchsorted(keys >> np.uint64(8), [c, c + 1])
-            table[context_bytes(c, d)] = (keys[a:b] & np.uint64(255)).astype(np.int64), sums[a:b]
     if depth > near:
         short = training.sparkSession.sparkContext.broadcast(tables[near])
         tested = (
@@ -312,6 +307,13 @@ def learn(training: DataFrame, text: str, scratch: Scratch, depth: int = DEPTH,
         for d, c, byte, counts in zip(*(best.column(x) for x in ("depth", "context", "bytes", "counts")), strict=True):
             context = context_bytes(c.as_py() % (1 << 64), d.as_py())
             table[context] = byte.values.to_numpy(), counts.values.to_numpy()
+    for d, (keys, sums) in tables.items():  # from ``near`` down, so that what a longer context needs is known
+        needed = {c[1:] for c in table if len(c) == d + 1}
+        contexts, gain = gains(tables[d], tables[d - 1], d) if d else (np.zeros(1, np.uint64), np.array([np.inf]))
+        for c, g in zip(contexts.tolist(), gain.tolist(), strict=True):
+            if g >= floor or context_bytes(c, d) in needed:
+                a, b = np.searchsorted(keys >> np.uint64(8), [c, c + 1])
+                table[context_bytes(c, d)] = (keys[a:b] & np.uint64(255)).astype(np.int64), sums[a:b]
     return Tree(table)
 
 
