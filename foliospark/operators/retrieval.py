@@ -339,7 +339,11 @@ def search_relevant_documents(chunks: DataFrame, queries: DataFrame, limit: int
     positive = per_doc.where(F.col("score") > 0).select("query_id").distinct()
     fallback = overlap.join(positive, "query_id", "left_anti").withColumnRenamed("shared", "score")
     ranked = per_doc.where(F.col("score") > 0).unionByName(fallback)
-    return top(ranked, limit, "file_path")
+    # A query that shares no word with any chunk gets the first document, with score zero.
+    first = chunks.agg(F.min("file_path").alias("file_path")).where(F.col("file_path").isNotNull())
+    missed = queries.select("query_id").distinct().join(ranked.select("query_id").distinct(), "query_id", "left_anti")
+    empty = missed.join(F.broadcast(first)).select("query_id", "file_path", F.lit(0.0).alias("score"))  # one row
+    return top(ranked.select("query_id", "file_path", "score").unionByName(empty), limit, "file_path")
 
 
 ABSTAIN_BELOW = 0.5
@@ -347,8 +351,13 @@ HIGH_FROM = 5.0
 CLEAR_GAP = 1.5
 
 
-def confidence(ranked: DataFrame) -> DataFrame:
-    """Evidence level per query from its ranked scores: high, medium, low or abstain."""
+def confidence(ranked: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Evidence level per query from its ranked scores: high, medium, low or abstain.
+
+    With ``queries`` (query_id) a query without any ranked row abstains instead of being left out.
+    """
+    if queries is not None:
+        ranked = queries.select("query_id").distinct().join(ranked, "query_id", "left")
     positive = ranked.groupBy("query_id").agg(
         F.count_if(F.col("score") > 0).alias("relevant_count"),
         F.max(F.when(F.col("score") > 0, F.col("score"))).alias("top"),

@@ -129,14 +129,22 @@ def read_through(requests: DataFrame, cache: DataFrame, key: str) -> tuple[DataF
     return requests.join(cache, key), requests.join(cache.select(key), key, "left_anti")
 
 
-def evict_oldest(cache: DataFrame, capacity: int, inserted: str) -> DataFrame:
-    """Keep at most ``capacity`` entries by evicting the oldest tenth of the capacity, in insert order.
+def evict_oldest(cache: DataFrame, capacity: int, key: str, inserted: str) -> DataFrame:
+    """Room for one more entry: a cache of ``capacity`` entries or more loses its oldest tenth, or what exceeds the capacity.
 
-    The cut-off time is found with a distributed top-k, not by numbering all rows.
+    Entries go by key, whatever their other columns hold; keys are unique. The oldest are
+    found with a distributed top-k, not by numbering all rows.
     """
     total = cache.count()
-    if total <= capacity:
+    if total < capacity:
         return cache
     drop = max(total - capacity, max(1, capacity // 10))
-    doomed = cache.orderBy(inserted).limit(drop)
-    return cache.join(stage(doomed, "evicted"), cache.columns, "left_anti")
+    doomed = cache.select(key, inserted).orderBy(inserted, key).limit(drop).select(F.col(key).alias("__doomed"))
+    return cache.join(stage(doomed, "evicted"), F.col(key).eqNullSafe(F.col("__doomed")), "left_anti")
+
+
+def touch(cache: DataFrame, used: DataFrame, key: str, count: str = "access_count") -> DataFrame:
+    """``cache`` with the accesses of ``used`` (key, one row per access) added to its counter."""
+    hits = used.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    counted = cache.join(hits, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return counted.withColumn(count, F.coalesce(count, F.lit(0)) + F.coalesce("__n", F.lit(0))).select(cache.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foliospark.functions import text as tx
 from foliospark.operators import audit, history, index, remediation, store
@@ -67,11 +67,13 @@ def index_documents(
     sanitize: bool = False,
     force: bool = False,
     policy=remediation.ISOLATE_FLAGS,
+    gone: DataFrame | None = None,
 ) -> IndexResult:
     """Audit, record, and upsert documents whose stored content changed.
 
-    Hash comparison comes first, so unchanged documents are not written again.
-    Paths that are gone from the listing are removed from the index.
+    Hash comparison comes first, so unchanged documents are not written again. Only the
+    paths in ``gone`` (file_path) are removed from the index: ``documents`` may be a few
+    changed files of many.
     """
     docs = documents.withColumn("content", tx.sanitize("content")) if sanitize else documents
     decisions = decide(docs, errors, policy)
@@ -82,8 +84,8 @@ def index_documents(
     target = documents_table(spark, root, rows.schema)
     stored = target.read()
     actions = stage(store.upsert_actions(stored, rows, force=force), "upsert-actions")
-    listed = docs.select("file_path").unionByName(errors.select("file_path"))
-    removed = stage(store.orphans(stored.select("file_path"), listed), "orphans")
+    none = stored.select("file_path").limit(0)
+    removed = stage(stored.select("file_path").join(gone, "file_path", "left_semi") if gone is not None else none, "orphans")
     changed = rows.join(actions.where(F.col("action") != "unchanged").select("file_path"), "file_path", "left_semi")
     target.upsert(changed)
     if not removed.isEmpty():
@@ -92,8 +94,20 @@ def index_documents(
 
 
 def index_folder(spark: SparkSession, folder: str, root: str, now: Column, ocr: Ocr | None = None, **options) -> IndexResult:
+    """Index a whole folder; stored paths that its listing lacks are removed."""
     documents, errors = load_folder(spark, folder, ocr)
-    return index_documents(spark, documents, errors, root, now, **options)
+    known = documents.select("file_path").unionByName(errors.select("file_path"))
+    table = store.KeyedTable(spark, f"{root}/{DOCUMENTS}", "file_path", StructType([StructField("file_path", StringType())]))
+    return index_documents(spark, documents, errors, root, now, gone=store.orphans(table.read(), known), **options)
+
+
+def watch_process(spark: SparkSession, root: str, now: Callable[[], Column], **options) -> Callable[[DataFrame, DataFrame, DataFrame], None]:
+    """``process`` for ``streaming.watch``: indexes what changed and removes what was deleted."""
+
+    def process(documents: DataFrame, errors: DataFrame, removed: DataFrame) -> None:
+        index_documents(spark, documents, errors, root, now(), source_command="watch", gone=removed, **options)
+
+    return process
 
 
 def report(spark: SparkSession, root: str) -> DataFrame:

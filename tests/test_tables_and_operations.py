@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliospark import workflows
 from foliospark.functions import json_schema, scoring
 from foliospark.operators import control, conversation, history, store, tabular
-from foliospark.sinks import notify, reports
+from foliospark.sinks import reports
 from foliospark.sources import documents as src, extract
 from foliospark.streaming import rolling, watch
 
@@ -23,14 +23,16 @@ def now():
     ["", "DROP TABLE dataset;", "SELECT * FROM dataset; SELECT 1;", "SELECT * FROM read_csv('dados.csv')", "SELECT * FROM outra_tabela",
      "WITH x AS (SELECT 1) SELECT * FROM dataset", "SELECT * FROM (SELECT 1)", "SELECT * FROM dataset JOIN dataset", "SELECT * FROM dataset, other",
      "SELECT * FROM dataset -- x", "SELECT * FROM dataset UNION SELECT 1", "SELECT * FROM dataset EXCEPT SELECT 1",
-     "SELECT java_method('java.lang.System', 'exit') FROM dataset"],
+     "SELECT java_method('java.lang.System', 'exit') FROM dataset", "SELECT 1", "SELECT id FROM dataset WHERE id IN (SELECT id FROM secret)",
+     "SELECT (SELECT count(*) FROM global_temp.gv) FROM dataset", "SELECT id FROM dataset WHERE EXISTS (SELECT 1 FROM default.secret)",
+     "INSERT INTO dataset VALUES (1)", "SELECT * FROM dataset INTERSECT SELECT * FROM dataset", "SELECT * FROM range(5)"],
 )
-def test_blocked_sql(sql):
+def test_blocked_sql(spark, sql):
     with pytest.raises(tabular.BlockedQuery):
         tabular.validate_sql(sql)
 
 
-def test_sanitize_and_columns():
+def test_sanitize_and_columns(spark):
     assert tabular.sanitize_sql("```sql\nSELECT 1\n```") == "SELECT 1"
     assert tabular.sanitize_sql("SELECT 1;;") == "SELECT 1"
     used = tabular.referenced_columns("SELECT produto, SUM(preco) AS total FROM dataset WHERE cliente = 'Norte' GROUP BY Produto")
@@ -54,7 +56,9 @@ def test_table_answers(spark, tmp_path):
     assert tabular.answer(spark, load, "SELECT SUM(quantidade) FROM dataset")["answer"] == "Valor: 15"
     assert tabular.answer(spark, load, "SELECT * FROM other")["status"] == "blocked"
     assert tabular.answer(spark, load, "SELECT nope(produto) FROM dataset")["status"] == "error"
-    assert tabular.answer(spark, load, "SELECT produto FROM dataset", max_rows=1)["truncated"] is True
+    assert tabular.answer(spark, load, "SELECT produto FROM dataset", shown=1)["truncated"] is True
+    whole = tabular.answer(spark, load, "SELECT produto AS p FROM dataset ORDER BY p", shown=1)
+    assert (whole["row_count"], whole["result"].count(), whole["referenced_columns"]) == (2, 2, ["produto"])
     types = {r["column"]: r["inferred_type"] for r in tabular.infer_types(src.load_csv_rows(spark, str(path))).collect()}
     assert types == {"produto": "TEXT", "prioridade": "TEXT", "quantidade": "INTEGER", "preco": "DOUBLE", "ativo": "BOOLEAN"}
 
@@ -70,6 +74,8 @@ def test_files_and_other_views_are_out_of_reach(spark, tmp_path):
 def test_other_separators(spark, tmp_path):
     (tmp_path / "s.csv").write_text("a;b\n1;x\n")
     assert tabular.read_csv(spark, str(tmp_path / "s.csv")).columns == ["a", "b"]
+    (tmp_path / "q.csv").write_text('nome;"valor,total"\na;1,5\nb;2,5\n')
+    assert tabular.read_csv(spark, str(tmp_path / "q.csv")).columns == ["nome", "valor,total"]
 
 
 # --- history, dashboard ---------------------------------------------------
@@ -194,7 +200,11 @@ def test_snapshots_versions_cache(spark):
     log = spark.createDataFrame([("r", 1, "running"), ("r", 2, "completed")], "id string, version int, status string")
     assert store.latest_versions(log, "id", "version").first()["status"] == "completed"
     cache = spark.createDataFrame([(f"k{i}", i) for i in range(25)], "k string, inserted int")
-    assert sorted(r["inserted"] for r in store.evict_oldest(cache, 20, "inserted").collect()) == list(range(5, 25))
+    assert sorted(r["inserted"] for r in store.evict_oldest(cache, 20, "k", "inserted").collect()) == list(range(5, 25))
+    nulls = spark.createDataFrame([(f"k{i}", i, None if i < 3 else "v") for i in range(6)], "k string, inserted int, v string")
+    assert sorted(r["k"] for r in store.evict_oldest(nulls, 4, "k", "inserted").collect()) == ["k2", "k3", "k4", "k5"]
+    counted = store.touch(nulls.withColumn("access_count", F.lit(None).cast("long")), nulls.where("k < 'k2'").unionAll(nulls.where("k = 'k0'")), "k")
+    assert {r["k"]: r["access_count"] for r in counted.collect()} == {"k0": 2, "k1": 1, "k2": 0, "k3": 0, "k4": 0, "k5": 0}
     hits, misses = store.read_through(cache.limit(0).unionByName(spark.createDataFrame([("k1", 0), ("zz", 0)], cache.schema)), cache.select("k"), "k")
     assert (hits.count(), misses.count()) == (1, 1)
 
@@ -267,7 +277,7 @@ def test_index_folder_is_incremental(spark, tmp_path):
 def test_watch_cycles_and_stream(spark, tmp_path):
     folder = corpus_folder(tmp_path)
     seen = []
-    process = lambda docs, errs: seen.append((docs.count(), errs.count()))
+    process = lambda docs, errs, gone: seen.append((docs.count(), errs.count()))
     changes = watch.watch_cycle(spark, str(folder), str(tmp_path / "snap"), process)
     assert changes.count() == 7 and seen == [(5, 2)]
     assert watch.watch_cycle(spark, str(folder), str(tmp_path / "snap"), process).count() == 0
@@ -276,7 +286,7 @@ def test_watch_cycles_and_stream(spark, tmp_path):
     got = {r["file_path"].rsplit("/", 1)[-1]: r["change"] for r in watch.watch_cycle(spark, str(folder), str(tmp_path / "snap"), process).collect()}
     assert got == {"a.txt": "modified", "c.json": "removed"} and seen[-1] == (1, 0)
     streamed = []
-    q = watch.stream_new_files(spark, str(folder), str(tmp_path / "ck"), lambda d, e: streamed.append((d.count(), e.count())))
+    q = watch.stream_new_files(spark, str(folder), str(tmp_path / "ck"), lambda d, e, gone: streamed.append((d.count(), e.count())))
     q.awaitTermination(60)
     assert streamed == [(4, 2)]
     for f in [f for f in folder.rglob("*") if f.is_file()]:
@@ -285,6 +295,21 @@ def test_watch_cycles_and_stream(spark, tmp_path):
     assert watch.watch_cycle(spark, str(folder), str(tmp_path / "snap"), process).count() == 0
 
 
+def test_watch_keeps_unchanged_documents_indexed(spark, tmp_path):
+    folder, root, snap = corpus_folder(tmp_path), str(tmp_path / "root"), str(tmp_path / "snap")
+    process = workflows.watch_process(spark, root, now)
+    stored = lambda: {r["file_path"].rsplit("/", 1)[-1] for r in spark.read.parquet(f"{root}/documents").collect()}
+    watch.watch_cycle(spark, str(folder), snap, process)
+    first = stored()
+    assert len(first) > 1 and "a.txt" in first
+    (folder / "new.txt").write_text((folder / "a.txt").read_text().replace("numero 1", "numero 99 e um final novo"))
+    watch.watch_cycle(spark, str(folder), snap, process)
+    assert stored() == first | {"new.txt"}
+    (folder / "a.txt").unlink()
+    watch.watch_cycle(spark, str(folder), snap, process)
+    assert stored() == (first | {"new.txt"}) - {"a.txt"}
+
+
 def test_hourly_stream_matches_batch_and_drops_late_rows(spark, tmp_path):
     at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
     schema = "ts timestamp_ntz, event_type string, value double"
@@ -298,7 +323,7 @@ def test_hourly_stream_matches_batch_and_drops_late_rows(spark, tmp_path):
     assert got[1] == (2, 3.0) and got[9] == (1, 1.0)
 
 
-def test_schedule_and_notifications(spark):
+def test_schedule(spark):
     def boom():
         raise RuntimeError("no folder")
 
@@ -306,11 +331,6 @@ def test_schedule_and_notifications(spark):
     assert run["status"] == "error" and run["steps"]["evaluate"]["status"] == "skipped" and workflows.exit_code(run) == 1
     ok = workflows.run_schedule(spark, {"evaluate": lambda: {"status": "partial", "critical": True, "regressions": ["mrr fell"]}}, ["evaluate"])
     assert ok["status"] == "partial" and workflows.exit_code(ok) == 2
-    assert notify.should_notify("partial", "on-issues") and not notify.should_notify("ok", "on-issues")
-    assert notify.should_notify("ok", "always") and not notify.should_notify("error", "never")
-    assert notify.build(ok, "teams")["themeColor"] == "D9A441"
-    assert "mrr fell" in notify.build(ok, "slack")["blocks"][1]["text"]["text"]
-    assert notify.build(ok) is ok
 
 
 def test_json_schema(spark):
