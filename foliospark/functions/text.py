@@ -113,6 +113,16 @@ def preview(text: Column | str, limit: int, ellipsis: str = "...") -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit(ellipsis))).otherwise(c)
 
 
+def prompt_hash(prompt: Column | str) -> Column:
+    """First 16 hex digits of the SHA-256 of a prompt."""
+    return F.substring(F.sha2(col(prompt).cast("binary"), 256), 1, 16)
+
+
+def ask_key(query: Column | str, top_k: Column, mode: Column) -> Column:
+    """Cache key of a question with its search settings."""
+    return F.concat(F.lit("ask:"), prompt_hash(F.concat_ws(":", col(query), top_k.cast("string"), mode)))
+
+
 def file_name(path: Column | str) -> Column:
     return F.substring_index(F.replace(col(path), F.lit("\\"), F.lit("/")), "/", -1)
 

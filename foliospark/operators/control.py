@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Reporting periods in hours.
 PERIOD_HOURS = {"last_1h": 1, "last_24h": 24, "last_7d": 168, "last_30d": 720}
@@ -35,16 +35,10 @@ def top_n(rows: DataFrame, label: str, limit: int = 5) -> DataFrame:
 def nearest_rank(values: DataFrame, value: str, percent: float) -> DataFrame:
     """The ceil(p/100 * n)-th smallest value, one row.
 
-    Values are whole milliseconds bounded by the run time-out. They are first
-    reduced to (value, frequency) with map-side combine; only those distinct
-    values meet in one task for the running total.
+    Tasks count equal values (whole milliseconds, bounded by the run time-out) before
+    anything is sent; only those counts meet.
     """
-    freq = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    running = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = freq.select("v", F.sum("n").over(running).alias("upto"), F.sum("n").over(whole).alias("total"))
-    reached = F.col("upto") >= F.ceil(F.col("total") * F.lit(percent) / 100)
-    return placed.where(reached).agg(F.min("v").alias("p"))
+    return values.agg(F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY `{value}`)").alias("p"))
 
 
 def dashboard(runs: DataFrame, tools: DataFrame) -> DataFrame:
@@ -167,6 +161,12 @@ def fresh(rows: DataFrame, ts: str, now: Column, ttl: str) -> DataFrame:
     return rows.where(F.col(ts) >= now - F.expr(f"INTERVAL {ttl}"))
 
 
+def latency_ms(started: Column | str, finished: Column | str) -> Column:
+    """Whole milliseconds between two timestamps; null while either is missing."""
+    c = lambda x: (F.col(x) if isinstance(x, str) else x).cast("timestamp")
+    return F.unix_millis(c(finished)) - F.unix_millis(c(started))
+
+
 def version_greater(new: Column, current: Column) -> Column:
     """major.minor.patch comparison, by number."""
     parts = lambda v: F.transform(F.split(v, r"\."), lambda x: x.try_cast("int"))

@@ -217,10 +217,18 @@ def _fill_short_lists(nonzero: DataFrame, docs: DataFrame, queries: DataFrame, l
     if short.isEmpty():
         return best
     paths = docs.select("file_path")
-    first = paths.orderBy("file_path").limit(2 * limit).agg(F.array_sort(F.collect_list("file_path"))).scalar()
     last = paths.orderBy(F.desc("file_path")).limit(limit).agg(F.array_sort(F.collect_list("file_path"))).scalar()
-    fillers = short.select("query_id", F.explode(F.when(F.col("n").isNull(), last).otherwise(first)).alias("file_path"))
-    zeros = fillers.join(nonzero, ["query_id", "file_path"], "left_anti").withColumn("score", F.lit(0.0))
+    taken, total = 2 * limit, docs.count()
+    while True:
+        first = paths.orderBy("file_path").limit(taken).agg(F.array_sort(F.collect_list("file_path"))).scalar()
+        fillers = short.select("query_id", F.explode(F.when(F.col("n").isNull(), last).otherwise(first)).alias("file_path"))
+        zeros = fillers.join(nonzero, ["query_id", "file_path"], "left_anti").withColumn("score", F.lit(0.0))
+        # Documents that score below zero can fill the head of the list; then more of it is needed.
+        lengths = zeros.groupBy("query_id").count().join(short.where("n > 0"), "query_id", "right")
+        scant = lengths.where(F.coalesce("count", F.lit(0)) + F.coalesce("positive", F.lit(0)) < min(limit, total))
+        if taken >= total or scant.isEmpty():
+            break
+        taken *= 4
     part = best.join(short, "query_id", "left_semi").drop("rank")
     padded = top(part.unionByName(zeros), limit, "file_path")
     return best.join(short, "query_id", "left_anti").unionByName(padded)
