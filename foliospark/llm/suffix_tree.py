@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from foliospark.llm.common import Scratch, remainder, texts, words
+from foliospark.llm.common import Scratch, largest, remainder, texts, words
 
 DEPTH = 6
 GAIN = 12.0
@@ -303,7 +303,7 @@ def learn(training: DataFrame, text: str, scratch: Scratch, depth: int = DEPTH,
             .sortWithinPartitions("code")
             .mapInArrow(_test_contexts(depth, near, floor, short), "depth int, context bigint, worth double, bytes array<bigint>, counts array<bigint>")
         )
-        best = scratch.put(tested, "contexts").orderBy(F.desc("worth"), "depth", "context").limit(states).toArrow()
+        best = largest(scratch.put(tested, "contexts"), "worth", states, "depth", "context").toArrow()
         for d, c, byte, counts in zip(*(best.column(x) for x in ("depth", "context", "bytes", "counts")), strict=True):
             context = context_bytes(c.as_py() % (1 << 64), d.as_py())
             table[context] = byte.values.to_numpy(), counts.values.to_numpy()
@@ -370,7 +370,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     counts = scratch.put(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     log = lambda c: np.log10((c + SMOOTHING) / (total + SMOOTHING * (kinds + 1)))
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    head = largest(counts, "n", HEAD, "word").toArrow()
     frequent = {w: float(log(c)) for w, c in zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True)}
     least = min(head.column("n").to_pylist(), default=0)
     tree = spark.sparkContext.broadcast(learn(training, text, scratch))
