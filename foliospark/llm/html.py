@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from foliospark.llm.common import texts
+from foliospark.llm.common import Scratch, texts
 
 # HTML elements and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -398,8 +398,13 @@ def _extracted(html: pa.Array, region: pa.Array, fixed: pa.Array) -> pa.Array:
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(``key``, ``url``, text, n_chars) for every row. Spark decides whether the table of hosts is small enough to be sent whole."""
-    found = wrappers(pages, url, html).select(F.col("host").alias("of"), "region", "fixed")
+    """(``key``, ``url``, text, n_chars) for every row.
+
+    The table of hosts is written first, so Spark knows its size: a small one is sent whole
+    and no page is shuffled; beside a large one, pages are joined by host.
+    """
+    scratch = Scratch(pages.sparkSession, "wrappers")
+    found = scratch.put(wrappers(pages, url, html).select(F.col("host").alias("of"), "region", "fixed"), "hosts")
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
     return (
         rows.join(found, rows["host"] == found["of"], "left")
