@@ -7,8 +7,8 @@ over its known n-grams. A language that lacks a known word or n-gram gets a fixe
 penalty. A text's score for a language is the mean over its words.
 
 The classifier is fitted on at most about ``SAMPLE`` labelled rows, chosen by a hash of
-the id, and keeps at most ``ROWS`` words and as many n-grams of each length; every text
-is then classified from all its words.
+the id, and keeps the ``ROWS`` words and as many n-grams of each length that are most
+frequent in any one language; every text is then classified from all its words.
 
 Nulls and odd input: a null text, or one without a letter, is ``und`` with score 0; rows
 with a null label or id are classified but not learned from; repeated rows are learned
@@ -18,15 +18,16 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from foliospark.llm.common import free_name, remainder, texts
+from foliospark.llm.common import Scratch, free_name, largest, remainder, texts
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE = 20_000
@@ -133,27 +134,23 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
     counted = chosen.select(F.col(language).alias("language"), F.col(text).alias("text")).mapInArrow(
         _count, "language string, size int, entry string, n bigint"
     )
-    counts = counted.groupBy("language", "size", "entry").agg(F.sum("n").alias("n"))
-    everything = Window.partitionBy("language", "size")
-    # Of the sample, so bounded: the most frequent entries with the share of their language.
-    ranked = counts.select(
-        "language", "size", "entry",
-        F.log10(F.col("n") / F.sum("n").over(everything)).alias("log"),
-        F.row_number().over(everything.orderBy(F.desc("n"), "entry")).alias("place"),
-    ).where(F.col("place") <= ROWS)
-    rows = ranked.drop("place").orderBy("size", F.desc("log"), "entry", "language").toArrow()
+    counts = Scratch(docs.sparkSession, "language").put(
+        counted.groupBy("language", "size", "entry").agg(F.sum("n").alias("n")), "counts"
+    )
+    totals = counts.groupBy("language", "size").agg(F.sum("n").alias("total"))
+    shares = counts.join(F.broadcast(totals), ["language", "size"])  # a row per language and length
+    shares = shares.select("language", "size", "entry", (F.col("n") / F.col("total")).alias("share"))
+    # Of each length the entries with the largest share in their language.
+    rows = pa.concat_tables(
+        [largest(shares.where(F.col("size") == n), "share", ROWS, "entry", "language").toArrow() for n in range(LONGEST + 1)]
+    )
     languages = sorted(set(rows.column("language").to_pylist()))
     number = {name: i for i, name in enumerate(languages)}
     tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
     cells: list[list[tuple[int, int, float]]] = [[] for _ in range(LONGEST + 1)]
-    for name, size, entry, log in zip(*(rows.column(c).to_pylist() for c in ("language", "size", "entry", "log")), strict=True):
-        table = tables[size]
-        row = table.get(entry)
-        if row is None:
-            if len(table) >= ROWS:
-                continue
-            row = table[entry] = len(table)
-        cells[size].append((row, number[name], log))
+    for name, size, entry, share in zip(*(rows.column(c).to_pylist() for c in ("language", "size", "entry", "share")), strict=True):
+        row = tables[size].setdefault(entry, len(tables[size]))
+        cells[size].append((row, number[name], math.log10(share)))
     logs = [np.full((len(t), len(languages)), PENALTY) for t in tables]
     for size, found in enumerate(cells):
         for row, column, log in found:
