@@ -11,6 +11,10 @@ MESSAGE_OVERHEAD = 10
 CHARS_PER_TOKEN = 4
 MIN_KEPT = 2
 TOOL_NOTE = "\n[...output truncado]"
+# Fixed value: what the system prompt is told when messages were cut; %d stand for the counts before and after.
+CONTEXT_NOTE = (
+    "\n\n[Nota: mensagens anteriores foram resumidas para caber no contexto. Originalmente %d mensagens, agora %d.]"
+)
 
 
 def trim_tool_output(role: Column | str, text: Column | str) -> Column:
@@ -39,33 +43,37 @@ def prepare_context(
 ) -> DataFrame:
     """Messages that fit the context: trim tools, slide the window, drop the oldest over budget.
 
-    At least two messages survive. Each row carries ``tokens_from_newest``, the
-    estimate for the prompt plus this and all newer messages.
+    At least two messages survive. Each row carries ``chars_from_newest`` and
+    ``tokens_from_newest``, sum and estimate for the prompt plus this and all newer messages.
     """
     trimmed = messages.withColumn("text", trim_tool_output("role", "text"))
     window = last_messages(trimmed, max_messages)
     newer = Window.partitionBy("conv_id").orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
-    cost = F.coalesce(F.length("text"), F.lit(0)) + MESSAGE_OVERHEAD
-    running = estimate_tokens(F.sum(cost).over(newer) + system_chars)
-    budgeted = window.withColumn("tokens_from_newest", running)
+    # Calls of tools count with the length of their JSON, where the messages have them.
+    calls = F.coalesce(F.length(F.col("tool_calls").cast("string")), F.lit(0)) if "tool_calls" in messages.columns else F.lit(0)
+    cost = F.coalesce(F.length("text"), F.lit(0)) + MESSAGE_OVERHEAD + calls
+    budgeted = window.withColumn("chars_from_newest", F.sum(cost).over(newer) + system_chars)
+    budgeted = budgeted.withColumn("tokens_from_newest", estimate_tokens(F.col("chars_from_newest")))
     return budgeted.where((F.col("tokens_from_newest") <= max_tokens) | (F.col("age") <= MIN_KEPT))
 
 
 def context_summary(messages: DataFrame, **limits: int) -> DataFrame:
-    """Per conversation: messages before and after preparation and the estimated tokens."""
+    """Per conversation: messages before and after preparation and the estimated tokens, with the note on what was cut."""
     trimmed = (F.col("role") == "tool") & (F.length("text") > MAX_TOOL_CHARS)
     before = messages.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("original_messages"), F.bool_or(trimmed).alias("__trimmed")
     )
     after = prepare_context(messages, **limits).groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("final_messages"), F.max("tokens_from_newest").alias("estimated_tokens")
+        F.count(F.lit(1)).alias("final_messages"), F.max("chars_from_newest").alias("__chars")
     )
+    truncated = F.col("__trimmed") | (F.col("original_messages") > F.col("final_messages"))
+    note = F.length(F.format_string(CONTEXT_NOTE, "original_messages", "final_messages"))
     return before.join(after, "conv_id").select(
         "conv_id",
         "original_messages",
         "final_messages",
-        "estimated_tokens",
-        (F.col("__trimmed") | (F.col("original_messages") > F.col("final_messages"))).alias("truncated"),
+        estimate_tokens(F.col("__chars") + F.when(truncated, note).otherwise(0)).alias("estimated_tokens"),
+        truncated.alias("truncated"),
     )
 
 

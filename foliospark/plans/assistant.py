@@ -14,21 +14,27 @@ def messages(spark, sf):
     return table(spark, sf, "conversations")
 
 
-# Assistant turns play the part of tool outputs so that trimming has something to trim.
+# Ten conversations stand for a long one and assistant turns, three times over, for tool outputs, so that the
+# window, the trimming and the budget all have something to cut.
 TOOL_SQL = """m AS (
-  SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'tool' ELSE role END AS role, text FROM conversations),
+  SELECT conv_id // 10 AS conv_id, conv_id % 10 * 100 + turn AS turn, CASE WHEN role = 'assistant' THEN 'tool' ELSE role END AS role,
+    CASE WHEN role = 'assistant' THEN text || text || text ELSE text END AS text FROM conversations),
 trimmed AS (
   SELECT conv_id, turn, role, role = 'tool' AND length(text) > 2000 AS cut,
     CASE WHEN role = 'tool' AND length(text) > 2000 THEN substring(text, 1, 2000) || chr(10) || '[...output truncado]' ELSE text END AS text FROM m),
 aged AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM trimmed),
 costed AS (
-  SELECT *, CAST(ceil(sum(length(text) + 10) OVER (PARTITION BY conv_id ORDER BY age ROWS UNBOUNDED PRECEDING) / 4) AS BIGINT) AS tokens_from_newest
-  FROM aged WHERE age <= {window})"""
+  SELECT *, CAST(ceil(chars_from_newest / 4) AS BIGINT) AS tokens_from_newest FROM (
+    SELECT *, sum(length(text) + 10) OVER (PARTITION BY conv_id ORDER BY age ROWS UNBOUNDED PRECEDING) AS chars_from_newest
+    FROM aged WHERE age <= {window}))"""
 
 
 def tool_messages(spark, sf):
-    role = F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
-    return messages(spark, sf).withColumn("role", role)
+    tool = F.col("role") == "assistant"
+    return messages(spark, sf).select(
+        F.floor(F.col("conv_id") / 10).alias("conv_id"), (F.col("conv_id") % 10 * 100 + F.col("turn")).alias("turn"),
+        F.when(tool, "tool").otherwise(F.col("role")).alias("role"), F.when(tool, F.repeat("text", F.lit(3))).otherwise(F.col("text")).alias("text"),
+    )
 
 
 @query("conv_context_window", f"""WITH {TOOL_SQL.format(window=40)}
@@ -38,14 +44,17 @@ def conv_context_window(spark, sf):
     return kept.select("conv_id", "turn", F.col("age").cast("long").alias("age"), "tokens_from_newest", F.sha2("text", 256).alias("text_sha"))
 
 
-@query("conv_token_budget", f"""WITH {TOOL_SQL.format(window=6)},
-after AS (SELECT conv_id, count(*) AS final_messages, max(tokens_from_newest) AS estimated_tokens
-          FROM costed WHERE tokens_from_newest <= 300 OR age <= 2 GROUP BY 1),
-before AS (SELECT conv_id, count(*) AS original_messages, bool_or(cut) AS cut FROM trimmed GROUP BY 1)
-SELECT conv_id, original_messages, final_messages, estimated_tokens, cut OR original_messages > final_messages AS truncated
-FROM before JOIN after USING (conv_id)""")
+@query("conv_token_budget", f"""WITH {TOOL_SQL.format(window=30)},
+after AS (SELECT conv_id, count(*) AS final_messages, max(chars_from_newest) AS chars
+          FROM costed WHERE tokens_from_newest <= 4000 OR age <= 2 GROUP BY 1),
+before AS (SELECT conv_id, count(*) AS original_messages, bool_or(cut) AS cut FROM trimmed GROUP BY 1),
+joined AS (SELECT *, cut OR original_messages > final_messages AS truncated,
+  chr(10) || chr(10) || '[Nota: mensagens anteriores foram resumidas para caber no contexto. Originalmente '
+    || original_messages || ' mensagens, agora ' || final_messages || '.]' AS note FROM before JOIN after USING (conv_id))
+SELECT conv_id, original_messages, final_messages, truncated,
+       CAST(ceil((chars + CASE WHEN truncated THEN length(note) ELSE 0 END) / 4) AS BIGINT) AS estimated_tokens FROM joined""")
 def conv_token_budget(spark, sf):
-    return conversation.context_summary(tool_messages(spark, sf), max_messages=6, max_tokens=300)
+    return conversation.context_summary(tool_messages(spark, sf), max_messages=30, max_tokens=4000)
 
 
 @query("conv_paginate", """SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn LIMIT 100 OFFSET 200""")

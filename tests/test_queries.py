@@ -1,6 +1,6 @@
 """Registered queries against their SQL twins on the smallest tables.
 
-Set FOLIOSPARK_ALL_QUERIES=1 to compare every query; by default one of each kind runs.
+Set FOLIOSPARK_QUERIES to names separated by commas to compare only those.
 """
 
 import os
@@ -12,12 +12,8 @@ from foliospark.plans import load_all
 from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-USUAL = (
-    "doc_tokens", "doc_chunks", "doc_duplicates", "remediation_plan", "catalog_metadata", "hybrid_search",
-    "report_counts", "alerts", "conv_token_budget", "pii_mask", "answer_scores", "tab_groupby", "vector_topk",
-    "stream_hourly", "json_schema_check",
-)
-NAMES = list(load_all()[0]) if os.environ.get("FOLIOSPARK_ALL_QUERIES") else USUAL
+CHOSEN = os.environ.get("FOLIOSPARK_QUERIES", "")
+NAMES = CHOSEN.split(",") if CHOSEN else list(load_all()[0])
 
 
 @pytest.fixture(scope="module")
