@@ -58,10 +58,18 @@ def dimensions(output: Column) -> dict[str, Column]:
 
 
 def score_cases(cases: DataFrame, output: str = "actual_output") -> DataFrame:
-    """Add the seven dimensions, overall_score (3 decimals) and passed."""
-    scored = cases.withColumns(dimensions(F.col(output)))
-    total = sum((F.col(d) * w for d, w in WEIGHTS.items()), F.lit(0.0))
-    overall = F.round(F.round(total / sum(WEIGHTS.values()), 9), 3)
+    """Add the seven dimensions, overall_score (3 decimals) and passed.
+
+    A dimension without a value counts neither in the sum nor in the weights.
+    """
+    return with_overall(cases.withColumns(dimensions(F.col(output))))
+
+
+def with_overall(scored: DataFrame) -> DataFrame:
+    """overall_score and passed from the dimension columns."""
+    total = sum((F.coalesce(F.col(d) * w, F.lit(0.0)) for d, w in WEIGHTS.items()), F.lit(0.0))
+    weight = sum((F.when(F.col(d).isNotNull(), w).otherwise(0.0) for d, w in WEIGHTS.items()), F.lit(0.0))
+    overall = F.round(F.round(F.try_divide(total, weight), 9), 3)
     return scored.withColumn("overall_score", overall).withColumn("passed", F.col("overall_score") >= PASS_FROM)
 
 

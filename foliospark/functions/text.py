@@ -136,9 +136,11 @@ def file_extension(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r".(\.[^.]+)$", 1))
 
 
-def portable_path(path: Column | str) -> Column:
-    """Path with forward slashes and no leading ``./``."""
-    return F.regexp_replace(F.replace(col(path), F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+def portable_path(path: Column | str, base: str = "") -> Column:
+    """Path with forward slashes, without a leading ``./``, relative to ``base`` if it lies below it."""
+    clean = F.regexp_replace(F.replace(col(path), F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+    root = base.replace("\\", "/").rstrip("/") + "/"
+    return F.when(clean.startswith(root), F.substr(clean, F.lit(len(root) + 1))).otherwise(clean) if base else clean
 
 
 def term_counts(tokens_array: Column | str) -> Column:

@@ -357,6 +357,11 @@ def search_relevant_documents(chunks: DataFrame, queries: DataFrame, limit: int
 ABSTAIN_BELOW = 0.5
 HIGH_FROM = 5.0
 CLEAR_GAP = 1.5
+# What the reader of an answer is warned of.
+NOTHING_FOUND = "Nenhum documento relevante encontrado."
+BELOW_THRESHOLD = "Score máximo abaixo do limiar de confiança."
+SINGLE_SOURCE = "Apenas uma fonte relevante encontrada."
+RATHER_LOW = "Score máximo relativamente baixo (%.1f)."
 
 
 def confidence(ranked: DataFrame, queries: DataFrame | None = None) -> DataFrame:
@@ -389,6 +394,17 @@ def confidence(ranked: DataFrame, queries: DataFrame | None = None) -> DataFrame
         F.round(top_score, DIGITS).alias("top_score"),
         F.round(gap, DIGITS).alias("gap_ratio"),
         "relevant_count",
+        F.when(F.col("relevant_count") == 0, F.array(F.lit(NOTHING_FOUND)))
+        .when(level == "abstain", F.array(F.lit(BELOW_THRESHOLD)))
+        .otherwise(
+            F.array_compact(
+                F.array(
+                    F.when((level != "high") & ~many, F.lit(SINGLE_SOURCE)),
+                    F.when((level == "low") & ~high, F.format_string(RATHER_LOW, top_score)),
+                )
+            )
+        )
+        .alias("warnings"),
     )
 
 

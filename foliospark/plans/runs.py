@@ -72,12 +72,17 @@ def cache_touch(spark, sf):
 @query("confidence_all_queries", """WITH q AS (SELECT item_id AS query_id FROM benchmark),
 s AS (SELECT query_id, CAST(query_id % 7 AS DOUBLE) AS score FROM q WHERE query_id % 4 <> 0)
 SELECT query_id, CASE WHEN coalesce(score, 0) < 0.5 THEN 'abstain' WHEN score >= 5 THEN 'medium' ELSE 'low' END AS level,
-       (CASE WHEN score > 0 THEN 1 ELSE 0 END)::BIGINT AS relevant_count FROM q LEFT JOIN s USING (query_id)""")
+       (CASE WHEN score > 0 THEN 1 ELSE 0 END)::BIGINT AS relevant_count,
+       CASE WHEN coalesce(score, 0) = 0 THEN 'Nenhum documento relevante encontrado.' ELSE 'Apenas uma fonte relevante encontrada.'
+         || CASE WHEN score < 5 THEN '|Score máximo relativamente baixo (' || printf('%.1f', score) || ').' ELSE '' END END AS warnings
+FROM q LEFT JOIN s USING (query_id)""")
 def confidence_all_queries(spark, sf):
     """One ranked document at most per query; every fourth query has none."""
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
     ranked = queries.where("query_id % 4 <> 0").select("query_id", (F.col("query_id") % 7).cast("double").alias("score"), F.lit(1).alias("rank"))
-    return retrieval.confidence(ranked, queries).select("query_id", "level", F.col("relevant_count").cast("long").alias("relevant_count"))
+    return retrieval.confidence(ranked, queries).select(
+        "query_id", "level", F.col("relevant_count").cast("long").alias("relevant_count"), F.array_join("warnings", "|").alias("warnings")
+    )
 
 
 @query("incremental_index", f"""WITH {CORPUS_SQL} SELECT file_path, length(content) AS n FROM corpus WHERE doc_id % 5 <> 0

@@ -329,4 +329,4 @@ SELECT query_id, CASE WHEN relevant_count = 0 OR top_score < 0.5 THEN 'abstain'
   NOT (relevant_count = 0 OR top_score < 0.5) AS should_answer, round(top_score, 6) AS top_score,
   round(gap, 6) AS gap_ratio, relevant_count FROM c""")
 def answer_confidence(spark, sf):
-    return retrieval.confidence(hybrid_ranking(spark, sf))
+    return retrieval.confidence(hybrid_ranking(spark, sf)).drop("warnings")

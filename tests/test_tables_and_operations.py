@@ -350,3 +350,15 @@ def test_eval_query_files(spark, tmp_path):
     for name in ("l.json", "o.json"):
         r = src.load_eval_queries(spark, str(tmp_path / name)).first()
         assert (r["query"], r["expected_files"], r["description"], r["min_score"]) == ("x", ["a"], "", 0.0)
+
+
+def test_missing_dimensions_and_base_folder(spark):
+    dims = list(scoring.WEIGHTS)
+    rows = spark.createDataFrame([(1.0, None, *[0.5] * 5), (*[None] * 7,)], ", ".join(f"{d} double" for d in dims))
+    got = [r["overall_score"] for r in scoring.with_overall(rows).collect()]
+    weights = list(scoring.WEIGHTS.values())
+    assert got == [round((weights[0] + 0.5 * sum(weights[2:])) / (sum(weights) - weights[1]), 3), None]
+    from foliospark.functions import text as tx
+
+    paths = spark.createDataFrame([("C:\\in\\a.txt",), ("C:/other/a.txt",)], "p string").select(tx.portable_path("p", "C:\\in").alias("p"))
+    assert [r["p"] for r in paths.collect()] == ["a.txt", "C:/other/a.txt"]
