@@ -70,6 +70,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/foliospark/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        self.held: list[DataFrame] = []
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a scan of what was written."""
@@ -78,8 +79,15 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.held.append(out)
         return out
 
+    def clear(self, *kept: DataFrame) -> None:
+        """Delete all tables but ``kept``."""
+        names = {t._scratch_path for t in kept}
+        self.drop(*[t for t in self.held if t._scratch_path not in names])
+        self.held = list(kept)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables written by ``put``."""
         jvm = self.spark.sparkContext._jvm

@@ -255,10 +255,16 @@ def report(
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any hit, with their columns."""
+    """The rows of ``docs`` without any hit, with their columns.
+
+    A row is named by its id and a hash of its text. The names of the rows with hits are
+    written, so Spark knows their size: a few are sent to the tasks and no text moves.
+    """
     scratch = Scratch(docs.sparkSession, "decontamination-keep")
     mark = free_name(docs, "decontamination_row")
-    rows = scratch.put(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
-    documents, found = matches(rows, benchmark_windows(benchmark), scratch, mark, text)
-    dirty = documents.join(found.select("row").distinct(), "row", "left_semi").select(F.col("id").alias(mark))
-    return rows.join(dirty, mark, "left_anti").drop(mark)
+    named = docs.withColumn(mark, F.concat_ws("|", F.xxhash64(text), F.col(key).isNull(), F.col(key).cast("string")))
+    documents, found = matches(named, benchmark_windows(benchmark), scratch, mark, text)
+    dirty = documents.join(found.select("row").distinct(), "row", "left_semi").select(F.col("id").alias(mark)).distinct()
+    dirty = scratch.put(dirty, "dirty")
+    scratch.clear(dirty)
+    return named.join(dirty, mark, "left_anti").drop(mark)

@@ -174,6 +174,7 @@ def mix(
     sources = scratch.put(source_table(sized), "sources")
     shares = scratch.put(allotted(sources, solve(sources, entropy, repeats, budget)), "shares")
     plan = scratch.put(plan_blocks(sized, shares), "plan")
+    scratch.clear(shares, plan)
     name = free_name(docs, "mix")
     own = shares.select(F.col("source").alias("__mix_s"), F.col("blocks").alias("__mix_n"))
     columns = [docs[c] for c in docs.columns]

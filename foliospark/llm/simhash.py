@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from foliospark.llm.common import Scratch, free_name, texts, words
 from foliospark.llm.components import components
@@ -236,21 +236,24 @@ def _components(rows: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest id (a null id counts as the largest).
 
-    The rows are written once with their fingerprint and a row number, so that the
-    choice is made on narrow columns and rows that are equal in every column count as
-    separate rows, of which one stays.
+    The choice is made on (id, fingerprint) alone; texts are read a second time, and move
+    once, to the row that their id and fingerprint name. Of rows equal in both one stays;
+    all but one of them are left out before anything moves.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     mark = free_name(docs, "simhash_row")
-    rows = scratch.put(
-        docs.withColumn(mark, F.struct(F.monotonically_increasing_id().alias("row"), fingerprint_of(text).alias("print"))),
-        "rows",
+    name = F.struct(
+        fingerprint_of(text).alias("print"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"), F.col(key).isNull().alias("no_id")
     )
-    narrow = rows.select(F.col(key).alias("id"), F.col(mark)["print"].alias("print"), F.col(mark)["row"].alias("row"))
-    heads = narrow.groupBy("print").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("head"))
+    narrow = scratch.put(docs.select(F.col(key).alias("id"), name.alias("name")), "prints")
+    heads = narrow.groupBy(F.col("name.print").alias("print")).agg(F.min(F.struct(F.col("id").isNull(), "id", "name")).alias("head"))
     distinct = scratch.put(heads, "distinct")
     stars = components(linked(distinct.select("print"), scratch, radius), scratch)
     named = distinct.join(stars.withColumnRenamed("node", "print"), "print", "left")
-    chosen = named.groupBy(F.coalesce("component", "print")).agg(F.min("head").alias("head")).select(F.col("head.row").alias("row"))
+    chosen = named.groupBy(F.coalesce("component", "print")).agg(F.min("head").alias("head")).select(F.col("head.name").alias(mark))
     kept = scratch.put(chosen, "kept")
-    return rows.join(kept, rows[mark]["row"] == kept["row"], "left_semi").drop(mark)
+    scratch.clear(kept)
+    rows = docs.withColumn(mark, name)
+    # A filter on the first row lets tasks drop the others before the shuffle; the join needs no other one.
+    first = rows.withColumn(f"{mark}_n", F.row_number().over(Window.partitionBy(mark).orderBy(mark))).where(F.col(f"{mark}_n") == 1)
+    return first.join(kept, mark, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
