@@ -12,8 +12,6 @@ from foliospark.staging import checkpoint_root
 
 #: The word pattern of most operators: everything but the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: crc32 remainders that set rows aside are taken of the id as text.
-ID_HASH = "crc32(cast({id} AS string))"
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:
