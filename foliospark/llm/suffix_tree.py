@@ -11,8 +11,11 @@ proper: it sums to one over all word sequences.
 
 Training is distributed: tasks count byte windows, the windows are grouped by their
 three nearest context bytes, and each group is one or more whole subtrees, tested
-where it lies. What a task is sent is bounded by ``STATES``; everything counted from
-the corpus covers all of it.
+where it lies. Every context that passes is kept in a table. A tree of at most
+``STATES`` of them is sent to the tasks as one automaton. A larger one is cut by the nearest
+context bytes into blocks of about ``BLOCK`` (context, next byte) pairs; one block at a time is
+sent, and a pass over the texts adds up what it scores. The longest retained suffix of what
+precedes a byte lies in one block, so each byte is scored in exactly one pass.
 
 The unigram base needs the count of every word of a text. The ``HEAD`` most frequent
 words are sent to the tasks; the others, none of which can be frequent, meet their
@@ -29,8 +32,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,6 +44,7 @@ from foliospark.llm.common import Scratch, largest, remainder, texts, words
 DEPTH = 6
 GAIN = 12.0
 STATES = 32_768
+BLOCK = 6_000_000
 HEAD = 100_000
 FOLDS = 10
 SMOOTHING = 0.1
@@ -78,29 +84,33 @@ def windows_of(stream: bytes, depth: int) -> np.ndarray:
 
     The context takes the top ``depth`` bytes of the number, the byte itself the lowest.
     """
-    at = np.frombuffer(stream, np.uint8).astype(np.uint64)
-    n = len(at) - depth
-    codes = at[depth:].copy()
-    for k in range(1, depth + 1):
-        codes |= at[depth - k : depth - k + n] << np.uint64(64 - 8 * k)
+    # Eight bytes that end before the byte itself, read as a little-endian number.
+    before = np.ndarray((len(stream) - depth,), "<u8", bytes(8) + stream, depth, (1,))
+    codes = before & np.uint64((1 << 64) - (1 << (64 - 8 * depth)))
+    codes |= np.frombuffer(stream, np.uint8)[depth:]
     return codes
 
 
+def windows_of_texts(pieces: list[bytes], depth: int) -> Iterator[np.ndarray]:
+    """The windows of every byte of the spelled texts in their order, some ``CHUNK`` at a time; a text has END before it."""
+    pad = END * depth
+    stream = b"".join(pad + p for p in pieces)
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + depth)[:-1] - depth
+    wanted = np.ones(len(stream) - depth, bool)
+    wanted[(ends[:, None] + np.arange(depth)).ravel()] = False  # what predicts the padding before a text
+    for at in range(0, len(wanted), CHUNK):
+        yield windows_of(stream[at : at + CHUNK + depth], depth)[wanted[at : at + CHUNK]]
+
+
 def _count_windows(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pad = END * depth
         held: tuple[np.ndarray, np.ndarray] | None = None
         pieces: list[bytes] = []
         size = 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            stream = b"".join(pad + p for p in pieces)
-            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + depth)[:-1] - depth
-            wanted = np.ones(len(stream) - depth, bool)
-            wanted[(ends[:, None] + np.arange(depth)).ravel()] = False  # what predicts the padding before a text
             sums = held
-            for at in range(0, len(wanted), CHUNK):
-                codes = windows_of(stream[at : at + CHUNK + depth], depth)[wanted[at : at + CHUNK]]
+            for codes in windows_of_texts(pieces, depth):
                 new = np.unique(codes, return_counts=True)
                 if sums is not None:
                     both, where = np.unique(np.concatenate([sums[0], new[0]]), return_inverse=True)
@@ -161,7 +171,7 @@ def gains(own: tuple[np.ndarray, np.ndarray], above: tuple[np.ndarray, np.ndarra
 
 
 def _test_contexts(depth: int, near: int, floor: float, short):
-    """Rows (code, n) sorted by code -> (depth, context, worth, bytes, counts) of contexts worth at least ``floor``.
+    """Rows (code, n) sorted by code -> (depth, context, bytes, counts) of contexts worth at least ``floor``.
 
     The worth of a context is the largest gain of itself and of the longer contexts that
     need it. ``short`` has the sums for contexts of ``near`` bytes; rows that agree in
@@ -184,8 +194,8 @@ def _test_contexts(depth: int, near: int, floor: float, short):
             offsets = pa.array(np.concatenate([[0], np.searchsorted(key >> np.uint64(8), good, side="right")]), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in ((key & np.uint64(255)).astype(np.int64), counts)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(good), d), pa.int32()), pa.array(good.view(np.int64)), pa.array(worth[worth >= floor]), *lists],
-                ["depth", "context", "worth", "bytes", "counts"],
+                [pa.array(np.full(len(good), d), pa.int32()), pa.array(good.view(np.int64)), *lists],
+                ["depth", "context", "bytes", "counts"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,52 +286,166 @@ def context_bytes(number: int, depth: int) -> bytes:
     return number.to_bytes(8, "big")[8 - depth :][::-1] if depth else b""
 
 
-def learn(training: DataFrame, text: str, scratch: Scratch, depth: int = DEPTH, floor: float = GAIN, states: int = STATES) -> Tree:
-    """The tree of all texts of ``training``.
+class Block:
+    """The retained contexts of one range of near contexts, for the windows in that range.
 
-    Contexts of up to two bytes (at most 2 ** 24 sums) are tested on the driver, longer
-    ones in the tasks; of those, the ``states`` most worthy come to the driver.
+    For each depth sorted contexts with the log10 weight of the shorter context, and sorted
+    (context, next byte) with the log10 probability. A byte seen after a context was seen after all
+    shorter ones; where it was not, its probability is the shorter context's times the weight.
     """
-    near = min(2, depth)
-    counted = training.select(text).mapInArrow(_count_windows(depth), "code bigint, n bigint")
-    grams = scratch.put(counted.groupBy("code").agg(F.sum("n").alias("n")), "windows")
-    top = F.shiftleft(F.shiftrightunsigned("code", 64 - 8 * near), 8).bitwiseOR(F.col("code").bitwiseAND(F.lit(255)))
-    found = grams.groupBy(top.alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()
-    key, n = found.column("key").to_numpy().astype(np.uint64), found.column("n").to_numpy()
-    table: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-    if not len(key):
-        return Tree(table)
-    tables = {near: (key, n)}
-    for d in range(near - 1, -1, -1):
-        longer = tables[d + 1][0]
-        shorter = (longer >> np.uint64(16)) << np.uint64(8) if d else np.zeros(len(longer), np.uint64)
-        tables[d] = _summed(shorter | (longer & np.uint64(255)), tables[d + 1][1])
-    if depth > near:
-        short = training.sparkSession.sparkContext.broadcast(tables[near])
-        tested = (
-            grams.repartition(F.shiftrightunsigned("code", 64 - 8 * (near + 1)))
-            .sortWithinPartitions("code")
-            .mapInArrow(_test_contexts(depth, near, floor, short), "depth int, context bigint, worth double, bytes array<bigint>, counts array<bigint>")
-        )
-        best = largest(scratch.put(tested, "contexts"), "worth", states, "depth", "context").toArrow()
-        for d, c, byte, counts in zip(*(best.column(x) for x in ("depth", "context", "bytes", "counts")), strict=True):
-            context = context_bytes(c.as_py() % (1 << 64), d.as_py())
-            table[context] = byte.values.to_numpy(), counts.values.to_numpy()
-    for d, (keys, sums) in tables.items():  # from ``near`` down, so that what a longer context needs is known
-        needed = {c[1:] for c in table if len(c) == d + 1}
-        contexts, gain = gains(tables[d], tables[d - 1], d) if d else (np.zeros(1, np.uint64), np.array([np.inf]))
-        for c, g in zip(contexts.tolist(), gain.tolist(), strict=True):
-            if g >= floor or context_bytes(c, d) in needed:
-                a, b = np.searchsorted(keys >> np.uint64(8), [c, c + 1])
-                table[context_bytes(c, d)] = (keys[a:b] & np.uint64(255)).astype(np.int64), sums[a:b]
-    return Tree(table)
+
+    def __init__(self, first: int, last: int, levels: list[tuple[np.ndarray, np.ndarray]], depth: int):
+        """``levels``: for each depth (context and next byte, n) sorted, of contexts that windows from ``first`` to ``last`` can need."""
+        self.first, self.last, self.depth = np.uint64(first), np.uint64(last), depth
+        self.levels = []
+        above_keys, above = np.zeros(0, np.uint64), np.zeros(0)
+        for d, (keys, n) in enumerate(levels):
+            contexts, of, kinds = np.unique(keys >> np.uint64(8), return_inverse=True, return_counts=True)
+            share = np.bincount(of, n) + kinds
+            if d:
+                shorter = (keys >> np.uint64(16)) << np.uint64(8) if d > 1 else np.zeros(len(keys), np.uint64)
+                base = above[np.searchsorted(above_keys, shorter | (keys & np.uint64(255)))]
+            else:
+                base = np.full(len(keys), 1 / 256)
+            above_keys, above = keys, (n + kinds[of] * base) / share[of]
+            self.levels.append((contexts, np.log10(kinds / share), keys, np.log10(above).astype(np.float32)))
+
+    def _logs(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probability of each of the sorted windows ``codes``."""
+        logs = np.full(len(codes), -np.log10(256))
+        live = np.arange(len(codes))
+        for d, (contexts, weight, keys, own) in enumerate(self.levels):
+            if not len(contexts):
+                break
+            short = _shorter(codes[live], d)
+            at = np.minimum(np.searchsorted(contexts, short >> np.uint64(8)), len(contexts) - 1)
+            hit = contexts[at] == short >> np.uint64(8)
+            live, short, at = live[hit], short[hit], at[hit]
+            pair = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+            logs[live] = np.where(keys[pair] == short, own[pair], logs[live] + weight[at])
+        return logs
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """What the bytes in the range add to the log10 probability of each spelled text."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        logs, start = np.zeros(lengths.sum()), 0
+        for codes in windows_of_texts(texts, self.depth):
+            inside = np.flatnonzero((codes >= self.first) & (codes <= self.last))
+            of, found = pd.factorize(codes[inside])
+            order = np.argsort(found)
+            values = np.empty(len(found))
+            values[order] = self._logs(found[order])
+            logs[start + inside] = values[of]
+            start += len(codes)
+        return np.add.reduceat(logs, np.cumsum(lengths) - lengths) if texts else np.zeros(0)
+
+
+class Grown:
+    """The retained contexts of ``training``: short ones on the driver, longer ones in a table.
+
+    Contexts of up to two bytes (at most 2 ** 24 sums) are tested on the driver, longer ones in the
+    tasks. Of the longer ones the driver holds how many there are by their three nearest bytes.
+    """
+
+    def __init__(self, training: DataFrame, text: str, scratch: Scratch, depth: int = DEPTH, floor: float = GAIN):
+        self.depth, self.near = depth, min(2, depth)
+        near = self.near
+        counted = training.select(text).mapInArrow(_count_windows(depth), "code bigint, n bigint")
+        grams = scratch.put(counted.groupBy("code").agg(F.sum("n").alias("n")), "windows")
+        top = F.shiftleft(F.shiftrightunsigned("code", 64 - 8 * near), 8).bitwiseOR(F.col("code").bitwiseAND(F.lit(255)))
+        found = grams.groupBy(top.alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+        key, n = found.column("key").to_numpy().astype(np.uint64), found.column("n").to_numpy()
+        self.short: list[tuple[np.ndarray, np.ndarray]] = []
+        self.table: DataFrame | None = None
+        #: Three nearest bytes of longer contexts, how many contexts and (context, next byte) pairs.
+        self.groups = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(key):
+            return
+        tables = {near: (key, n)}
+        for d in range(near - 1, -1, -1):
+            longer = tables[d + 1][0]
+            shorter = (longer >> np.uint64(16)) << np.uint64(8) if d else np.zeros(len(longer), np.uint64)
+            tables[d] = _summed(shorter | (longer & np.uint64(255)), tables[d + 1][1])
+        if depth > near:
+            short = training.sparkSession.sparkContext.broadcast(tables[near])
+            tested = (
+                grams.repartition(F.shiftrightunsigned("code", 64 - 8 * (near + 1)))
+                .sortWithinPartitions("code")
+                .mapInArrow(_test_contexts(depth, near, floor, short), "depth int, context bigint, bytes array<bigint>, counts array<bigint>")
+            )
+            group = F.expr(f"shiftrightunsigned(context, 8 * (depth - {near + 1}))")
+            self.table = scratch.put(tested.withColumn("group", group), "contexts")
+            sizes = self.table.groupBy("group").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("bytes").cast("long")).alias("pairs")).orderBy("group").toArrow()
+            self.groups = (sizes.column("group").to_numpy().astype(np.uint64), *(sizes.column(c).to_numpy().astype(np.int64) for c in ("c", "pairs")))
+        needed = np.unique(self.groups[0] >> np.uint64(8))
+        for d in range(near, -1, -1):  # from ``near`` down, so that what a longer context needs is known
+            keys, sums = tables[d]
+            contexts, gain = gains(tables[d], tables[d - 1], d) if d else (np.zeros(1, np.uint64), np.array([np.inf]))
+            good = contexts[(gain >= floor) | np.isin(contexts, needed)]
+            keep = np.isin(keys >> np.uint64(8), good)
+            self.short.insert(0, (keys[keep], sums[keep]))
+            needed = np.unique(good >> np.uint64(8)) if d > 1 else np.zeros(1, np.uint64)
+
+    def _levels(self, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each depth (context and next byte, n) sorted, of contexts whose nearest bytes are from ``first`` to ``last``."""
+        near, levels = self.near, []
+        for d, (keys, n) in enumerate(self.short):
+            lo, hi = (x >> (8 * (near + 1 - d)) for x in (first, last))
+            a, b = np.searchsorted(keys >> np.uint64(8), np.array([lo, hi + 1], np.uint64))
+            levels.append((keys[a:b], n[a:b]))
+        if self.table is None:
+            return levels
+        rows = self.table.where(F.col("group").between(first, last)).select("depth", "context", "bytes", "counts").toArrow().combine_chunks()
+        depths = rows.column("depth").to_numpy()
+        for d in range(near + 1, self.depth + 1):
+            part = rows.filter(pa.array(depths == d))
+            lists = [part.column(c).combine_chunks() for c in ("bytes", "counts")]
+            sizes = lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            contexts = part.column("context").to_numpy().astype(np.int64).view(np.uint64)
+            byte, n = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            keys = (np.repeat(contexts, sizes) << np.uint64(8)) | byte.astype(np.uint64)
+            order = np.argsort(keys)
+            levels.append((keys[order], n[order].astype(np.int64)))
+        return levels
+
+    def whole(self) -> Tree:
+        counted: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        for d, (keys, n) in enumerate(self._levels(0, (1 << (8 * (self.near + 1))) - 1)):
+            contexts, starts = np.unique(keys >> np.uint64(8), return_index=True)
+            for c, a, b in zip(contexts.tolist(), starts, np.append(starts, len(keys))[1:], strict=True):
+                counted[context_bytes(c, d)] = (keys[a:b] & np.uint64(255)).astype(np.int64), n[a:b]
+        return Tree(counted)
+
+    def ranges(self) -> list[tuple[int, int]]:
+        """First and last of the three nearest bytes of each block."""
+        group, _, pairs = self.groups
+        places = (np.cumsum(pairs) - pairs) // BLOCK
+        starts = [0, *group[np.flatnonzero(np.diff(places)) + 1].tolist(), 1 << (8 * (self.near + 1))]
+        return [(a, b - 1) for a, b in zip(starts, starts[1:], strict=False)]
+
+    def small(self) -> bool:
+        return self.groups[1].sum() <= STATES
+
+    def parts(self) -> Iterator[Tree | Block]:
+        """What scores each byte of a text exactly once: one automaton, or one block after the other."""
+        if self.small():
+            yield self.whole()
+            return
+        shift = 64 - 8 * (self.near + 1)
+        for a, b in self.ranges():
+            yield Block(a << shift, ((b + 1) << shift) - 1, self._levels(a, b), self.depth)
+
+
+def learn(training: DataFrame, text: str, scratch: Scratch, depth: int = DEPTH, floor: float = GAIN) -> Tree:
+    """The tree of all texts of ``training`` as one automaton."""
+    return Grown(training, text, scratch, depth, floor).whole()
 
 
 # -- scoring ----------------------------------------------------------------------------
 
 
-def _score(tree, head, total: int, kinds: int):
-    """Rows (row, id, text) -> scores by the tree, sums over frequent words, and the other words with their counts."""
+def _score(tree, head):
+    """Rows (row, id, text) -> scores by (a first part of) the tree, sums over frequent words, the other words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value.get
@@ -331,7 +455,7 @@ def _score(tree, head, total: int, kinds: int):
             lists: list[tuple] = []
 
             def out(upto: int) -> pa.RecordBatch:
-                scores = np.concatenate([tree.value.score(pieces[i : i + 2000]) for i in range(0, len(pieces), 2000)])
+                scores = tree.value.score(pieces)
                 n_tokens, sums, n_known, rare, n = zip(*lists, strict=True)
                 return pa.RecordBatch.from_arrays(
                     [
@@ -360,6 +484,25 @@ def _score(tree, head, total: int, kinds: int):
     return run
 
 
+def _score_more(tree):
+    """Rows (row, id, text) -> (row, more) by a further part of the tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces: list[bytes] = []
+            size, found = 0, []
+            for text in texts(batch.column(2)):
+                pieces.append(spelled(words(text)))
+                size += len(pieces[-1])
+                if size >= CHUNK:
+                    found.append(tree.value.score(pieces))
+                    pieces, size = [], 0
+            found.append(tree.value.score(pieces))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], ["row", "more"])
+
+    return run
+
+
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS) -> DataFrame:
     """One row per document: ``key``, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -373,11 +516,21 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     head = largest(counts, "n", HEAD, "word").toArrow()
     frequent = {w: float(log(c)) for w, c in zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True)}
     least = min(head.column("n").to_pylist(), default=0)
-    tree = spark.sparkContext.broadcast(learn(training, text, scratch))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     schema = f"row bigint, id {kind}, n_tokens bigint, score double, base double, n_known bigint, rare array<binary>, n array<bigint>"
-    scored = scratch.put(rows.mapInArrow(_score(tree, spark.sparkContext.broadcast(frequent), total, kinds), schema), "scored")
+    words_known = spark.sparkContext.broadcast(frequent)
+    more: list[DataFrame] = []
+    grown = Grown(training, text, scratch)
+    if not grown.small() and len(grown.ranges()) > 1:  # rows are numbered once
+        rows = scratch.put(rows, "rows")
+    for i, part in enumerate(grown.parts()):
+        tree = spark.sparkContext.broadcast(part)
+        if i:
+            more.append(scratch.put(rows.mapInArrow(_score_more(tree), "row bigint, more double"), "more"))
+        else:
+            scored = scratch.put(rows.mapInArrow(_score(tree, words_known), schema), "scored")
+        tree.unpersist()
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "n")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.n").alias("times"))
     tail = counts.where(F.col("n") <= least).select("word", F.col("n").alias("c"))
     chance = F.log10((F.coalesce("c", F.lit(0)) + F.lit(SMOOTHING)) / F.lit(total + SMOOTHING * (kinds + 1)))
@@ -387,6 +540,9 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
         .agg(F.sum(F.col("times") * chance).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     )
     zero = F.lit(0).cast("long")
+    if more:
+        added = reduce(DataFrame.unionByName, more).groupBy("row").agg(F.sum("more").alias("more"))
+        scored = scored.join(added, "row").withColumn("score", F.col("score") + F.col("more"))
     return scored.drop("rare", "n").join(sums, "row", "left").select(
         F.col("id").alias(key),
         F.coalesce(remainder("id", folds) == 0, F.lit(False)).alias("held_out"),

@@ -156,6 +156,24 @@ def test_tree_scores_match_a_walk_from_the_root(spark, monkeypatch):
     assert abs((10 ** tree.logs).sum(axis=1) - 1).max() < 1e-3
 
 
+def test_tree_keeps_every_context_of_a_large_corpus(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))] * 30) for _ in range(5000)]  # 9 own contexts each
+    held = {}
+    for block in (suffix_tree.BLOCK, 20_000):
+        monkeypatch.setattr(suffix_tree, "BLOCK", block)
+        rows = suffix_tree.scores(documents(spark, [*texts, *ODD])).collect()
+        held[block] = {r.doc_id: r.score for r in rows}
+        assert len(rows) == len(texts) + len(ODD)
+        assert all(r.score > -30 for r in rows if not r.held_out and r.doc_id <= len(texts))
+    grown = suffix_tree.Grown(documents(spark, texts), "text", Scratch(spark, "test"))
+    assert grown.groups[1].sum() > suffix_tree.STATES and len(grown.ranges()) > 2
+    assert held[block] == pytest.approx(held[6_000_000], rel=1e-5)
+    tree = grown.whole()
+    spelled = [suffix_tree.spelled(suffix_tree.words(t.encode())) for t in [*texts[:5], "unseen Ünïcode", "", texts[7][:40]]]
+    assert sum(part.score(spelled) for part in grown.parts()) == pytest.approx(tree.score(spelled), rel=1e-4)
+
+
 # -- decontamination --------------------------------------------------------------------
 
 
