@@ -4,7 +4,7 @@ A page is a stream of tags and texts. Inside a page, neighbouring copies of a to
 become one repeated group. The streams of one host are then aligned with each other: equal
 tokens stay, texts that differ become slots, what only some pages have becomes an optional
 group. The result is a union-free regular expression, the host's wrapper. Its fixed texts
-are template; the region whose repeated groups and slots hold most of the changing text
+are template if pages that differ have them (copies of a page count as one); the region whose repeated groups and slots hold most of the changing text
 is where the host keeps its articles.
 
 Extraction reads each whole page with its host's wrapper: it takes the blocks of the
@@ -129,7 +129,8 @@ def squeezed(text: str) -> str:
 
 # -- wrappers ---------------------------------------------------------------------------
 # A node is [symbol, value] or [kind, nodes]; the kinds of groups are "+" (repeated) and "?" (optional). A text
-# node has the symbol "#" and as value the checksum of its text, or None for a slot.
+# node has the symbol "#", as value the checksum of its text, or None for a slot, and the page it is of, by the
+# checksum of that page's nodes, or "" if pages that differ have it.
 
 
 def _key(node: list) -> str:
@@ -140,7 +141,11 @@ def _unified(a: list, b: list) -> list:
     """Two nodes with equal keys as one; texts that differ become a slot."""
     if a[0] in "+?":
         return [a[0], [_unified(x, y) for x, y in zip(a[1], b[1], strict=True)]]
-    return a if a[1] == b[1] else [a[0], None]
+    if a[0] != TEXT:
+        return a
+    if a[1] != b[1]:
+        return [TEXT, None, ""]
+    return a if a[2] == b[2] else [TEXT, a[1], ""]
 
 
 def collapsed(nodes: list[list]) -> list[list]:
@@ -189,7 +194,8 @@ def stream(page: str) -> list[list]:
             nodes.append([kind + value, None])
         elif not value.isspace():
             nodes.append([TEXT, md5(squeezed(value).encode()).hexdigest()[:12]])
-    return collapsed(nodes)
+    page = md5(" ".join(n[1] or n[0] for n in nodes).encode()).hexdigest()[:12]
+    return collapsed([[*n, page] if n[0] == TEXT else n for n in nodes])
 
 
 def _opened(nodes: list[list], optional: bool = False) -> list[tuple[list, bool]]:
@@ -246,7 +252,7 @@ def _symbols(name: str, nodes: list[list], weight: int, state: dict) -> None:
             if node[1] is None:
                 for element in set(state["open"]):
                     state["slots"][element] = state["slots"].get(element, 0) + weight
-            else:
+            elif not node[2]:  # what one page alone has may be its article
                 state["fixed"].append(node[1])
         elif symbol[0] == "<":
             if symbol[1:].split(".")[0] not in VOID:

@@ -288,6 +288,18 @@ def test_template_text_of_unmarked_hosts_is_left_out():
     assert region == "" and html.main_text(pages[2], region, frozenset(fixed)) == "own 2"
 
 
+def test_text_of_one_page_is_not_template(spark):
+    page = "<html><body><div>menu</div><h1>Title {0}</h1>{1}</body></html>"
+    body = lambda k, n: "".join(f"<p>own {k} {i}</p>" for i in range(n))
+    short, long, single = page.format(1, body(1, 1)), page.format(2, body(2, 3)), page.format(3, body(3, 2) + "<h2>last</h2>")
+    rows = [("a", short), ("a", short), ("a", long), ("b", single), ("c", short), ("c", short), ("d", short)]
+    table = spark.createDataFrame([(i, f"https://{host}.org/{i}", html_) for i, (host, html_) in enumerate(rows)], "page_id int, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(table).collect()}
+    assert got[0] == got[1] == "Title 1\nown 1 0" and got[2] == "Title 2\nown 2 0\nown 2 1\nown 2 2"
+    assert got[3] == "menu\nTitle 3\nown 3 0\nown 3 1\nlast"
+    assert got[4] == got[5] == got[6] == "menu\nTitle 1\nown 1 0"
+
+
 # -- chat -------------------------------------------------------------------------------
 
 
