@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliospark.llm import chat, decontamination, html, language, licences, mixing, quality, simhash, suffix_tree, toxicity
+from foliospark.llm import (
+    chat, decontamination, html, language, licences, mixing, quality, simhash, suffix_levels, suffix_tree, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,3 +221,13 @@ def licence_scan(spark, sf_dir):
     shelf = F.concat_ws("/", F.coalesce("lang", F.lit("none")), (F.col("doc_id") % 20).cast("string"), name)
     path = F.concat_ws("/", "source", F.when(F.col("doc_id") % 400 == 0, F.lit("LICENSE")).otherwise(shelf))
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
+@query("op12_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    cut = suffix_levels.remove_repeats(table(spark, sf_dir, "documents"))
+    size = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + (r["stop"] - r["start"]))
+    return cut.select(
+        "doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
