@@ -20,7 +20,9 @@ stands for them all; one in forty or so does. An entry is (first bytes, hash of
 [lo, hi + SPAN), place): two equal entries decide all their passages at once. Entries with
 equal first bytes in different zones (the ends of a copy, a common phrase) decide nothing
 yet: the passages of the first entry of each zone go through the same levels once more,
-this time with the suffix of every byte. That is exact, for any number of copies: nothing
+this time with the suffix of every byte. A passage reaches at least ``HALF`` bytes to the
+right of the first bytes or to the left, so only those go on whose ``HALF`` bytes on that
+side (24 bits of a hash) stand in another zone too. That is exact, for any number of copies: nothing
 is compared pairwise, a zone is kept once, and first bytes with more than ``HOT`` zones in
 one batch (a phrase that a third of the rows hold) skip the first round, so a shard never
 fills with them.
@@ -50,6 +52,8 @@ SPAN = 100
 GRAM = 24
 #: Starts of ``GRAM`` bytes in a passage.
 REACH = SPAN - GRAM + 1
+#: Bytes that a passage has on one side of its first bytes, at least.
+HALF = (SPAN - GRAM) // 2
 #: Suffixes of one batch.
 BATCH = 1 << 20
 #: Bytes of text handled at once; longer texts are cut between passages.
@@ -68,10 +72,14 @@ REPEAT, OPEN = 0, 1
 
 
 class Entries:
-    """Columns of suffix entries: ``rec`` (first bytes and zone hash), owner and place."""
+    """Columns of suffix entries: ``rec`` (first bytes and zone hash), owner and place.
 
-    NAMES = ("rec", "known", "id", "tie", "at", "lo", "hi", "open")
-    KINDS = (f"S{_ENTRY}", "i1", "i8", "i8", "i4", "i4", "i4", "?")
+    ``before`` and ``span`` say where its passages start: at - before to at - before + span.
+    ``sides`` are the hashes of the halves to the right and left, 24 bits each.
+    """
+
+    NAMES = ("rec", "sides", "known", "id", "tie", "at", "before", "span", "open")
+    KINDS = (f"S{_ENTRY}", "S6", "i1", "i8", "i8", "i4", "u1", "u1", "?")
 
     def __init__(self, *columns: np.ndarray):
         for name, column in zip(self.NAMES, columns, strict=True):
@@ -87,10 +95,8 @@ class Entries:
         return Entries(*[c[which] for c in self.columns()])
 
     def packed(self) -> bytes:
-        parts = [len(self).to_bytes(8, "little")]
-        for column in (self.rec, self.known, self.id, self.tie, self.at, self.at - self.lo, self.hi - self.lo, self.open):
-            parts.append(np.ascontiguousarray(column).tobytes())
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        parts = [len(self).to_bytes(8, "little"), *[np.ascontiguousarray(c).tobytes() for c in self.columns()]]
+        return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
     @classmethod
     def unpacked(cls, body: bytes) -> Entries:
@@ -100,17 +106,19 @@ class Entries:
             column = np.frombuffer(data, kind, n, at)
             at += column.nbytes
             columns.append(column.copy())
-        made = cls(*columns)
-        made.lo = made.at - made.lo
-        made.hi = made.lo + made.hi
-        return made
+        return cls(*columns)
 
     def grams(self) -> np.ndarray:
         return np.frombuffer(self.rec.tobytes(), np.uint8).reshape(-1, _ENTRY)[:, :GRAM]
 
-    def found(self, kind: int) -> pa.RecordBatch:
-        values = [np.full(len(self), kind, np.int8), self.known, self.id, self.tie, self.lo, self.hi]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["kind", *_OWNER, "lo", "hi"])
+    def found(self, kind: int, start: np.ndarray | None = None, stop: np.ndarray | None = None) -> pa.RecordBatch:
+        """Rows (kind, owner, lo, hi): the starts of passages, by default all of an entry."""
+        lo = self.at - self.before if start is None else start
+        hi = lo + self.span if stop is None else stop
+        values = [np.full(len(self), kind, np.int8), self.known, self.id, self.tie, lo, hi]
+        kinds = (pa.int8(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        columns = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["kind", *_OWNER, "lo", "hi"])
 
 
 def _before(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +158,7 @@ class Levels:
             earlier, later = hit[less], spot[less]
             if len(earlier):
                 yield level.take(later).found(REPEAT)
-                for name in Entries.NAMES[1:-1]:
+                for name in Entries.NAMES[2:-1]:  # bytes and hashes are the same
                     getattr(level, name)[later] = getattr(new, name)[earlier]
             rest = np.ones(len(new), bool)
             rest[hit] = False
@@ -173,17 +181,26 @@ class Levels:
             merged.append(column)
         self.levels.append(Entries(*merged))
 
-    def undecided(self) -> Entries | None:
-        """The entries whose first bytes stand in more than one zone."""
+    def undecided(self) -> Iterator[pa.RecordBatch]:
+        """The passages whose first bytes, and those of a half beside them, stand in more than one zone."""
         while len(self.levels) > 1:
             self.merge()
         if not self.levels:
-            return None
+            return
         whole = self.levels[0]
         gram = whole.grams()
-        same = np.zeros(len(whole) + 1, bool)
-        same[1:-1] = (gram[1:] == gram[:-1]).all(axis=1)
-        return whole.take(same[:-1] | same[1:] | whole.open)
+        group = np.zeros(len(whole), np.int64)
+        group[1:] = np.cumsum((gram[1:] != gram[:-1]).any(axis=1))
+        sides = np.frombuffer(whole.sides.tobytes(), np.uint8).reshape(-1, 6).astype(np.int64)
+        start = (whole.at - whole.before).astype(np.int64)
+        stop, turn = start + whole.span, whole.at.astype(np.int64) - HALF
+        for k, lo, hi in ((0, np.maximum(start, turn), stop), (3, start, np.minimum(stop, turn - 1))):
+            there = np.flatnonzero(lo <= hi)
+            code = group[there] << 24 | sides[there, k] << 16 | sides[there, k + 1] << 8 | sides[there, k + 2]
+            _, kind, count = np.unique(code, return_inverse=True, return_counts=True)
+            there = there[(count[kind] > 1) | whole.open[there]]
+            if len(there):
+                yield whole.take(there).found(OPEN, lo[there], hi[there])
 
 
 def _grow(decided: bool):
@@ -193,8 +210,8 @@ def _grow(decided: bool):
         now, levels = None, Levels()
 
         def last() -> Iterator[pa.RecordBatch]:
-            if not decided and (rest := levels.undecided()) is not None:
-                yield rest.found(OPEN)
+            if not decided:
+                yield from levels.undecided()
 
         for batch in batches:
             shards = batch.column(0).to_pylist()
@@ -221,8 +238,8 @@ class Batch:
         self.parts: list[tuple] = []
         self.size = 0
 
-    def add(self, rec: np.ndarray, doc: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-        self.parts.append((rec, doc, at, lo, hi))
+    def add(self, rec: np.ndarray, sides: np.ndarray, doc: np.ndarray, at: np.ndarray, before: np.ndarray, span: np.ndarray) -> None:
+        self.parts.append((rec, sides, doc, at.astype(np.int32), before.astype(np.uint8), span.astype(np.uint8)))
         self.size += len(rec)
 
     def forget(self) -> None:
@@ -231,14 +248,15 @@ class Batch:
             self.owners = []
 
     def sorted(self) -> Entries:
-        rec, doc, at, lo, hi = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        rec, sides, doc, at, before, span = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         known, ids, ties = (np.array(c, k) for c, k in zip(zip(*self.owners, strict=True), ("i1", "i8", "i8"), strict=True))
         rank = np.empty(len(known), np.int64)
         rank[np.lexsort((ties, ids, known))] = np.arange(len(known))
         order = np.lexsort((at, rank[doc]))
         order = order[np.argsort(rec[order], kind="stable")]
         doc = doc[order]
-        return Entries(rec[order], known[doc], ids[doc], ties[doc], at[order], lo[order], hi[order], np.zeros(len(doc), bool))
+        rest = at[order], before[order], span[order], np.zeros(len(doc), bool)
+        return Entries(rec[order], sides[order], known[doc], ids[doc], ties[doc], *rest)
 
     def shards_of(self) -> Iterator[pa.RecordBatch]:
         """The array, without what repeats inside the batch, one row for each shard."""
@@ -282,13 +300,18 @@ class Batch:
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(bodies, pa.binary())], ["shard", "body"])
 
 
+def _hashes(view: memoryview, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Big-endian hashes, as rows of bytes, of the bytes between ``starts`` and ``stops``."""
+    digest = xxhash.xxh3_64_intdigest
+    made = (digest(view[s:e]) for s, e in zip(starts.tolist(), stops.tolist(), strict=True))
+    return np.fromiter(made, np.uint64, len(starts)).astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
 def _records(data: np.ndarray, view: memoryview, at: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """First bytes at ``at`` and hash of the bytes between ``starts`` and ``stops``."""
-    digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter((digest(view[s:e]) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)), np.uint64, len(at))
     made = np.empty((len(at), _ENTRY), np.uint8)
     made[:, :GRAM] = np.lib.stride_tricks.sliding_window_view(data, GRAM)[at]
-    made[:, GRAM:] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    made[:, GRAM:] = _hashes(view, starts, stops)
     return made.reshape(-1).view(f"S{_ENTRY}")
 
 
@@ -351,11 +374,15 @@ def _sparse(shards: int):
                 data = np.frombuffer(piece, np.uint8)
                 valid = np.concatenate([np.arange(s, s + n - SPAN + 1) for _, s, _, n in spans])
                 at, lo, hi = chosen(data, valid)
-                rec = _records(data, memoryview(piece), at, lo, hi + SPAN)
+                view = memoryview(piece)
+                rec = _records(data, view, at, lo, hi + SPAN)
+                sides = np.empty((len(at), 6), np.uint8)  # halves that reach out of the zone are not looked at
+                sides[:, :3] = _hashes(view, at, at + GRAM + HALF)[:, :3]
+                sides[:, 3:] = _hashes(view, np.maximum(at - HALF, 0), at + GRAM)[:, :3]
                 which = np.searchsorted(np.array([s for _, s, _, _ in spans]), at, "right") - 1
                 doc = np.array([d for d, _, _, _ in spans])[which]
                 shift = np.array([o - s for _, s, o, _ in spans])[which]
-                held.add(rec, doc, *[(x + shift).astype(np.int32) for x in (at, lo, hi)])
+                held.add(rec, sides.reshape(-1).view("S6"), doc, at + shift, at - lo, hi - lo)
                 if held.size >= BATCH:
                     yield from held.shards_of()
         yield from held.shards_of()
@@ -382,8 +409,9 @@ def _dense(shards: int):
                 held.owners.append(owner)
                 for k in range(0, len(starts), PIECE):
                     at = starts[k : k + PIECE]
-                    rec, place = _records(data, view, at, at, at + SPAN), at.astype(np.int32)
-                    held.add(rec, np.full(len(at), len(held.owners) - 1), place, place, place)
+                    none = np.zeros(len(at), np.uint8)
+                    rec = _records(data, view, at, at, at + SPAN)
+                    held.add(rec, none.astype("S6"), np.full(len(at), len(held.owners) - 1), at, none, none)
                     if held.size >= BATCH:
                         yield from held.shards_of()
         yield from held.shards_of()
@@ -431,21 +459,27 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-levels")
+    number = F.coalesce(F.col(key).cast("bigint"), F.lit(0))
+    counted = docs.groupBy(number).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("size"))
+    most, size = counted.agg(F.max("n"), F.coalesce(F.sum("size"), F.lit(0))).first()
     named = docs.select(
         F.col(key).alias("key"),
         F.col(key).isNotNull().cast("tinyint").alias("known"),
-        F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("id"),
-        F.xxhash64(F.col(text)).alias("tie"),
+        number.alias("id"),
+        (F.xxhash64(F.col(text)) if (most or 0) > 1 else F.lit(0).cast("bigint")).alias("tie"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     long = named.where(F.octet_length("text") >= SPAN).select(*_OWNER, "text")
+    release = spark.sparkContext._jvm.java.lang.System.gc  # Spark deletes shuffle files that no plan names any more
     found = scratch.put(_family(long.mapInArrow(_sparse(shards), _RUNS), shards, decided=False), "coarse")
+    release()
     spans = F.collect_list(F.struct("lo", "hi")).alias("spans")
     unsettled = found.where(F.col("kind") == OPEN).groupBy(*_OWNER).agg(spans)
     again = long.join(unsettled, [*_OWNER]).select(*_OWNER, "text", "spans").mapInArrow(_dense(shards), _RUNS)
     fine = scratch.put(_family(again, shards, decided=True), "fine")
+    del again
+    release()
     repeats = found.where(F.col("kind") == REPEAT).unionAll(fine).groupBy(*_OWNER).agg(spans)
     copies = Window.partitionBy(*_OWNER).orderBy("tie")
     joined = named.join(repeats, [*_OWNER], "left").withColumn("copy", F.row_number().over(copies))
