@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliospark.llm import (
-    chat, decontamination, html, language, licences, mixing, quality, simhash, suffix_levels, suffix_tree, toxicity,
+    chat, conversation_repair, decontamination, fill_middle, html, language, licences, mixing, quality, simhash, suffix_levels, suffix_tree, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,3 +231,35 @@ def suffix_dedup(spark, sf_dir):
         "doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+_UNIT = r"[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+"
+FILL_MIDDLE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_UNIT}') AS u,
+                  sha256('{fill_middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, len(u)::BIGINT AS n, {", ".join(f"('0x' || h[{8 * k + 1}:{8 * k + 8}])::BIGINT AS h{k + 1}" for k in range(4))} FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {fill_middle.CHANGED} THEN 'plain'
+                  WHEN h4 % 100 < {fill_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p"""
+
+
+@query("op11_fill_in_middle", FILL_MIDDLE_SQL)
+def fill_in_middle(spark, sf_dir):
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    back = made.withColumn("text", fill_middle.restored())
+    kept = ("doc_id", "n", "form", "prefix_chars", "middle_chars")
+    return back.select(*kept, sha("output").alias("output_sha256"), sha("text").alias("restored_sha256"))
+
+
+@query("op13_conversation_repair")
+def repair_conversations(spark, sf_dir):
+    hurt = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    made = conversation_repair.repair(hurt, present=F.col("present"))
+    lines = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return made.select(*[c for c in made.columns if c != "repaired"], F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
