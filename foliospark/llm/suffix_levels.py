@@ -39,12 +39,13 @@ is kept need not be valid UTF-8.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from foliospark.llm.common import Scratch, texts
 
@@ -69,6 +70,7 @@ _OWNER = ("known", "id", "tie")
 _RUNS = "shard int, body binary"
 _FOUND = "kind tinyint, known tinyint, id bigint, tie bigint, lo int, hi int"
 REPEAT, OPEN = 0, 1
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Entries:
@@ -451,6 +453,17 @@ def _family(runs: DataFrame, shards: int, decided: bool) -> DataFrame:
     return dealt.select("shard", "body").mapInArrow(_grow(decided), _FOUND)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside delete their shuffle files when they end; their results are in written tables."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, n_bytes, removed array<struct<start, stop>>, kept binary), one row for each row of ``docs``.
 
@@ -471,15 +484,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     shards = max(SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     long = named.where(F.octet_length("text") >= SPAN).select(*_OWNER, "text")
-    release = spark.sparkContext._jvm.java.lang.System.gc  # Spark deletes shuffle files that no plan names any more
-    found = scratch.put(_family(long.mapInArrow(_sparse(shards), _RUNS), shards, decided=False), "coarse")
-    release()
+    with _shuffles_dropped(spark):
+        found = scratch.put(_family(long.mapInArrow(_sparse(shards), _RUNS), shards, decided=False), "coarse")
     spans = F.collect_list(F.struct("lo", "hi")).alias("spans")
     unsettled = found.where(F.col("kind") == OPEN).groupBy(*_OWNER).agg(spans)
     again = long.join(unsettled, [*_OWNER]).select(*_OWNER, "text", "spans").mapInArrow(_dense(shards), _RUNS)
-    fine = scratch.put(_family(again, shards, decided=True), "fine")
-    del again
-    release()
+    with _shuffles_dropped(spark):
+        fine = scratch.put(_family(again, shards, decided=True), "fine")
     repeats = found.where(F.col("kind") == REPEAT).unionAll(fine).groupBy(*_OWNER).agg(spans)
     copies = Window.partitionBy(*_OWNER).orderBy("tie")
     joined = named.join(repeats, [*_OWNER], "left").withColumn("copy", F.row_number().over(copies))
