@@ -62,7 +62,7 @@ PIECE = 1 << 19
 #: Zones of equal first bytes in one batch from which on they go straight to the second round.
 HOT = 64
 #: Bytes of text for each shard, and the least number of shards for each shuffle partition.
-SHARD_BYTES, SHARDS = 1 << 22, 8
+SHARD_BYTES, SHARDS = 1 << 22, 3
 
 _ENTRY = GRAM + 8
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
