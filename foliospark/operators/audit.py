@@ -8,6 +8,8 @@ shuffle, by batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,7 +20,8 @@ from foliospark.operators.skew import number_rows
 from foliospark.staging import stage
 
 BATCH_SIZE = 200
-MAX_BATCH_SIZE = 2000
+#: Rows of a batch compared at once.
+COMPARED = 512
 SIMILARITY_THRESHOLD = 0.3
 SIGNATURE_TERMS = 24
 MIN_TERM_CHARS = 4
@@ -94,8 +97,8 @@ def document_features(docs: DataFrame) -> DataFrame:
 
 def assign_batches(features: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     """Cut the corpus into consecutive batches in scan order (priority, size, path)."""
-    if not 1 <= batch_size <= MAX_BATCH_SIZE:
-        raise ValueError(f"batch_size must lie between 1 and {MAX_BATCH_SIZE}")
+    if batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
     order = ["scan_priority", "size_bytes", "__lower_path", "file_path"]
     # Range partitioning samples its input, so the features are written before it:
     # the text is then parsed once, and only narrow rows are sampled and ordered.
@@ -139,55 +142,70 @@ def with_outlier_flags(batched: DataFrame) -> DataFrame:
     )
 
 
+def _overlaps(owner: np.ndarray, code: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first column, Jaccard matrix) of all pairs of row blocks.
+
+    ``code`` are the terms as numbers, grouped by their row ``owner``. Only terms that both
+    blocks have become columns of the matrices multiplied.
+    """
+    starts = range(0, len(sizes), COMPARED)
+    spans = [slice(*np.searchsorted(owner, (a, a + COMPARED))) for a in starts]
+    for a, left in zip(starts, spans, strict=True):
+        for c, right in zip(starts, spans, strict=True):
+            both = np.intersect1d(code[left], code[right])
+
+            def member(first: int, span: slice, both: np.ndarray = both) -> np.ndarray:
+                made = np.zeros((min(COMPARED, len(sizes) - first), len(both)), np.float32)
+                there = np.isin(code[span], both)
+                made[owner[span][there] - first, np.searchsorted(both, code[span][there])] = 1.0
+                return made
+
+            shared = (member(a, left) @ member(c, right).T).astype(np.float64)
+            union = sizes[a : a + COMPARED, None] + sizes[None, c : c + COMPARED] - shared
+            yield a, c, np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+
+
 def _link_batch(batch: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Connected components of one batch (bounded by MAX_BATCH_SIZE rows) under Jaccard >= threshold."""
+    """Connected components of one batch under Jaccard >= threshold, compared block by block."""
     batch = batch.sort_values("file_path", ignore_index=True)
-    vocabulary: dict[str, int] = {}
-    rows, cols = [], []
-    for row, terms in enumerate(batch["signature_terms"]):
-        for term in terms:
-            rows.append(row)
-            cols.append(vocabulary.setdefault(term, len(vocabulary)))
     n = len(batch)
-    member = np.zeros((n, max(len(vocabulary), 1)), dtype=np.float32)
-    member[rows, cols] = 1.0
-    shared = (member @ member.T).astype(np.float64)
-    sizes = np.diag(shared)
-    union = sizes[:, None] + sizes[None, :] - shared
-    jaccard = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
-    linked = jaccard >= threshold
-    np.fill_diagonal(linked, False)
-
+    sizes = batch["signature_terms"].map(len).to_numpy(np.float64)
+    owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+    code, names = pd.factorize(np.array([t for terms in batch["signature_terms"] for t in terms], dtype=object))
+
+    links, ends = np.zeros(n, np.int64), []
+    for a, c, jaccard in _overlaps(owner, code, sizes):
+        i, j = np.nonzero(jaccard >= threshold)
+        apart = i + a != j + c
+        ends.append((i[apart] + a, j[apart] + c))
+        links[a : a + COMPARED] += np.bincount(i[apart], minlength=len(jaccard))
+    left, right = (np.concatenate(e) for e in zip(*ends, strict=True)) if ends else (owner[:0], owner[:0])
     label = np.arange(n)
     while True:
-        reach = np.where(linked, label[None, :], n).min(axis=1, initial=n)
-        lower = np.minimum(label, reach)
+        lower = label.copy()
+        np.minimum.at(lower, left, label[right])
         lower = lower[lower]
         if np.array_equal(lower, label):
             break
         label = lower
 
+    # Mean over all pairs of a cluster, linked or not; the cluster is named by its smallest row.
+    total = np.zeros(n)
+    for a, c, jaccard in _overlaps(owner, code, sizes) if len(left) else ():
+        i, j = np.nonzero(label[a : a + COMPARED, None] == label[None, c : c + COMPARED])
+        apart = i + a != j + c
+        total += np.bincount(label[i[apart] + a], jaccard[i[apart], j[apart]], n)
+    size = np.bincount(label, minlength=n)[label] if n else label
+    uses = pd.DataFrame({"label": label[owner], "term": code}).value_counts().reset_index()
+    uses = uses[uses["count"].to_numpy() == np.bincount(label, minlength=n)[uses["label"].to_numpy()]] if n else uses
+    common = {k: sorted(names[g.to_numpy()])[:SHARED_TERMS] for k, g in uses.groupby("label")["term"]}
+    member = size > 1
     out = batch.drop(columns=["signature_terms"])
-    cluster_id = np.full(n, None, dtype=object)
-    size = np.ones(n, dtype=np.int64)
-    mean = np.full(n, np.nan)
-    common = np.full(n, None, dtype=object)
-    names = np.array(list(vocabulary), dtype=object)
-    for root in np.unique(label):
-        group = np.flatnonzero(label == root)
-        if len(group) < 2:
-            continue
-        pairs = jaccard[np.ix_(group, group)][np.triu_indices(len(group), 1)]
-        everywhere = names[np.flatnonzero(member[group].all(axis=0))]
-        cluster_id[group] = batch["file_path"][group[0]]
-        size[group] = len(group)
-        mean[group] = pairs.mean()
-        for i in group:
-            common[i] = sorted(everywhere)[:SHARED_TERMS]
-    out["cluster_id"], out["cluster_size"] = cluster_id, size
-    out["average_similarity"] = mean
-    out["shared_terms"] = common
-    out["links"] = linked.sum(axis=1)
+    out["cluster_id"] = np.where(member, batch["file_path"].to_numpy(object)[label], None)
+    out["cluster_size"] = size
+    out["average_similarity"] = np.where(member, total[label] / np.maximum(size * (size - 1), 1), np.nan)
+    out["shared_terms"] = pd.Series([common.get(k, []) if m else None for k, m in zip(label, member, strict=True)], dtype=object)
+    out["links"] = links
     return out
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as tx
-from foliospark.operators import audit, chunking, dedup, remediation
+from foliospark.operators import audit, chunking, dedup, remediation, similarity
 from foliospark.plans.registry import CORPUS_SQL, corpus, query
+from foliospark.staging import stage
 
 # Regular-expression pieces shared by the SQL twins (RE2 spelling of the classes in functions.text).
 WS = r"[\t-\r\x1c- \x{85}\p{Z}]"
@@ -345,6 +346,45 @@ def similarity_links(spark, sf):
     )
 
 
+CORPUS_LINK_SQL = f"""{FEATURES_SQL},
+sized AS (SELECT file_path, count(*) AS n FROM sig GROUP BY 1),
+pair AS (SELECT a.file_path AS pa, b.file_path AS pb, count(*) AS shared FROM sig a JOIN sig b ON a.term = b.term AND a.file_path < b.file_path GROUP BY ALL),
+link AS (
+  SELECT pa, pb, shared / (x.n + y.n - shared) AS j FROM pair JOIN sized x ON x.file_path = pa JOIN sized y ON y.file_path = pb
+  WHERE shared >= 0.3 * (x.n + y.n - shared) - 1e-9),
+edge AS (SELECT pa AS u, pb AS v, j FROM link UNION ALL SELECT pb, pa, j FROM link),
+near AS (SELECT u, count(*) AS links, sum(j) / count(*) AS mean_similarity FROM edge GROUP BY 1),
+step AS (
+  SELECT 0 AS i, u, u AS label FROM near
+  UNION ALL
+  SELECT i, u, least(label, m) FROM (
+    SELECT s.i + 1 AS i, s.u, any_value(s.label) AS label, min(o.label) AS m
+    FROM step s JOIN edge e ON e.u = s.u JOIN step o ON o.u = e.v AND o.i = s.i WHERE s.i < 25 GROUP BY s.i, s.u)),
+corpus_member AS (SELECT u AS file_path, label AS cluster_id, count(*) OVER (PARTITION BY label) AS cluster_size FROM step WHERE i = 25)"""
+
+
+@query("corpus_clusters", f"""WITH RECURSIVE {CORPUS_SQL}, {CORPUS_LINK_SQL}
+SELECT file_path, cluster_id, coalesce(cluster_size, 1) AS cluster_size, coalesce(links, 0) AS links,
+       round(mean_similarity, 6) AS mean_similarity
+FROM features LEFT JOIN corpus_member USING (file_path) LEFT JOIN near ON near.u = file_path""")
+def corpus_clusters(spark, sf):
+    """Similarity clusters over all documents, not only inside an ingestion batch."""
+    features = audit.document_features(corpus(spark, sf))
+    return similarity.clusters(features).withColumn("mean_similarity", F.round("mean_similarity", 6))
+
+
+@query("corpus_cluster_terms", f"""WITH RECURSIVE {CORPUS_SQL}, {CORPUS_LINK_SQL},
+everywhere AS (
+  SELECT cluster_id, term FROM corpus_member JOIN sig USING (file_path) GROUP BY cluster_id, cluster_size, term HAVING count(*) = cluster_size)
+SELECT DISTINCT m.cluster_id, cluster_size,
+       coalesce((SELECT array_to_string(list_sort(list(term))[1:8], ' ') FROM everywhere e WHERE e.cluster_id = m.cluster_id), '') AS shared_terms
+FROM corpus_member m""")
+def corpus_cluster_terms(spark, sf):
+    features = stage(audit.document_features(corpus(spark, sf)).select("file_path", "signature_terms"), "signatures")
+    found = similarity.shared_terms(similarity.clusters(features), features)
+    return found.withColumn("shared_terms", F.array_join("shared_terms", " "))
+
+
 PLAN_SQL = f"""{CLUSTER_SQL},
 decided AS (
   SELECT file_path, duplicate_of, list_sort(flags
