@@ -305,9 +305,14 @@ def hybrid(stored: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     fetch = limit * OVERFETCH
     fts = stage(chunk_hits_to_documents(search_chunks(chunks, expanded, fetch)), "fts-documents")
     bm25 = stage(rank_documents(with_content(stored), expanded, fetch), "bm25-documents")
+    return fused_ranking(fts, bm25, stored, expanded, limit)
+
+
+def fused_ranking(fts: DataFrame, bm25: DataFrame, docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """Chunk search and document ranking as one list per query; without a chunk hit the document ranking alone."""
     with_hits = fts.select("query_id").distinct()
     fused = fuse(
-        fts, bm25.join(with_hits, "query_id", "left_semi"), stored, expanded, limit, "query"
+        fts, bm25.join(with_hits, "query_id", "left_semi"), docs, queries, limit, "query"
     )
     alone = (
         bm25.join(with_hits, "query_id", "left_anti")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import evaluation, retrieval, vector
-from foliospark.plans.registry import corpus, query, table
-from foliospark.plans.search import HYBRID_SQL, TOP_K, benchmark_queries, hybrid_ranking
+from foliospark.operators import evaluation, search_index, vector
+from foliospark.plans.registry import query, table
+from foliospark.plans.search import HYBRID_SQL, TOP_K, benchmark_queries, hybrid_ranking, text_index
 from foliospark.staging import stage
 
 # The expected files of benchmark item n are those of source n mod 20 (a path pattern).
@@ -44,7 +44,7 @@ BM_ONLY_SQL = METRICS_SQL.replace("judged", "bjudged").replace("per AS", "bper A
 
 
 def both_reports(spark, sf):
-    docs = retrieval.rank_documents(corpus(spark, sf), benchmark_queries(spark, sf), TOP_K)
+    docs = search_index.rank_documents(text_index(spark, sf), benchmark_queries(spark, sf), TOP_K)
     current = stage(evaluation.query_metrics(docs, expected_files(spark, sf)), "metrics-now")
     return current, stage(ir_metrics(spark, sf), "metrics-before")
 

@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foliospark.functions import catalog, text as tx
-from foliospark.operators import chunking, index, retrieval
+from foliospark.operators import chunking, index, retrieval, search_index
 from foliospark.plans.corpus import CHUNKS_SQL, FOLD, SQUEEZE, STRIP, TOKENS
 from foliospark.plans.registry import CORPUS_SQL, corpus, query, spread, table
-from foliospark.staging import stage
+from foliospark.staging import checkpoint_root
 
 TOP_K = 5
+#: Indexes written by this session: (application, tables, kind) -> path.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark, sf: str, kind: str, docs, fields, keep=()) -> search_index.Index:
+    """The index of a corpus; written at its first use, later searches of the session read it."""
+    name = (spark.sparkContext.applicationId, sf, kind)
+    if name not in _WRITTEN:
+        path = f"{checkpoint_root(spark)}/foliospark/index-{kind}-{uuid.uuid4().hex}"
+        search_index.write(docs(), path, fields, keep)
+        _WRITTEN[name] = path
+    return search_index.Index(spark, _WRITTEN[name])
+
+
+def text_index(spark, sf) -> search_index.Index:
+    """Texts and their chunks as they are."""
+    docs = lambda: chunking.with_chunks(corpus(spark, sf)).select("file_path", "content", "chunks")
+    fields = (search_index.DOCUMENTS, search_index.FOLDED_DOCUMENTS, search_index.CHUNKS, search_index.FOLDED_CHUNKS)
+    return _index(spark, sf, "texts", docs, fields)
+
+
+def store_index(spark, sf) -> search_index.Index:
+    """Stored documents: chunks with the catalogue header, and the documents they add up to."""
+    docs = lambda: index.with_content(index.stored_documents(corpus(spark, sf)))
+    return _index(spark, sf, "store", docs, (search_index.DOCUMENTS, search_index.CHUNKS), ("metadata",))
 
 
 def quoted(text: str) -> str:
@@ -193,7 +220,7 @@ SELECT query_id, file_path, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) AS rank FROM bm WHERE score <> 0)
 WHERE rank <= {TOP_K}""")
 def bm25_documents(spark, sf):
-    return retrieval.rank_documents(corpus(spark, sf), benchmark_queries(spark, sf), TOP_K)
+    return search_index.rank_documents(text_index(spark, sf), benchmark_queries(spark, sf), TOP_K)
 
 
 @query("bm25_simple_documents", f"""WITH {CORPUS_SQL}, docs AS (SELECT file_path, content FROM corpus),
@@ -208,9 +235,7 @@ SELECT query_id, file_path, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) AS rank FROM bm)
 WHERE rank <= {TOP_K}""")
 def bm25_simple_documents(spark, sf):
-    wanted = stage(retrieval.query_terms(benchmark_queries(spark, sf), tx.folded_tokens("query")), "terms")
-    scan = index.scan_terms(corpus(spark, sf), ["file_path"], tx.folded_tokens("content"), wanted)
-    return retrieval.top(retrieval.bm25_simple(scan, wanted), TOP_K, "file_path")
+    return search_index.rank_simple(text_index(spark, sf), benchmark_queries(spark, sf), TOP_K)
 
 
 @query("bm25_chunks", f"""WITH {CORPUS_SQL}, {CHUNKS_SQL},
@@ -226,8 +251,7 @@ SELECT query_id, file_path, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) AS rank FROM best)
 WHERE rank <= 3""")
 def bm25_chunks(spark, sf):
-    chunks = chunking.explode_chunks(chunking.with_chunks(corpus(spark, sf)), "file_path")
-    return retrieval.search_relevant_documents(chunks, benchmark_queries(spark, sf), 3)
+    return search_index.search_relevant_documents(text_index(spark, sf), benchmark_queries(spark, sf), 3)
 
 
 FTS_TOKENS = lambda x: (
@@ -262,8 +286,7 @@ fts_top AS (
 stripped AS (SELECT item_id AS query_id, text AS q FROM benchmark), {fts_sql('stripped', 'q')}
 SELECT query_id, file_path, chunk_index, score, rank FROM fts_top""")
 def fts_chunks(spark, sf):
-    chunks = chunking.explode_chunks(chunking.with_chunks(corpus(spark, sf)), "file_path")
-    hits = retrieval.search_chunks(chunks, benchmark_queries(spark, sf), TOP_K * retrieval.OVERFETCH)
+    hits = search_index.search_chunks(text_index(spark, sf), benchmark_queries(spark, sf), TOP_K * retrieval.OVERFETCH)
     return hits.select(
         "query_id", "file_path", F.col("chunk_index").cast("long").alias("chunk_index"), "score", "rank"
     )
@@ -309,8 +332,7 @@ ranked AS (
 
 
 def hybrid_ranking(spark, sf, limit=TOP_K):
-    stored = stage(index.stored_documents(corpus(spark, sf)), "stored")
-    return retrieval.hybrid(stored, benchmark_queries(spark, sf), limit)
+    return search_index.hybrid(store_index(spark, sf), benchmark_queries(spark, sf), limit)
 
 
 @query("hybrid_search", f"""{HYBRID_SQL}
