@@ -234,8 +234,8 @@ def _grow(decided: bool):
 class Batch:
     """Collects suffix entries of documents and gives them out as shards of a sorted array."""
 
-    def __init__(self, shards: int, decided: bool):
-        self.shards, self.decided = shards, decided
+    def __init__(self, shards: int, decided: bool, hot: int = HOT):
+        self.shards, self.decided, self.hot = shards, decided, hot
         self.owners: list[tuple] = []
         self.parts: list[tuple] = []
         self.size = 0
@@ -282,7 +282,7 @@ class Batch:
             fresh = np.ones(len(whole), bool)
             fresh[1:] = (gram[1:] != gram[:-1]).any(axis=1)
             sizes = np.diff(np.append(np.flatnonzero(fresh), len(whole)))
-            many = np.repeat(sizes > HOT, sizes)
+            many = np.repeat(sizes > self.hot, sizes)
             if many.any():  # one stays, marked, so that other batches learn of it
                 out.append((-2, whole.take(many & ~fresh).packed()))
                 whole.open |= many & fresh
@@ -343,7 +343,7 @@ def chosen(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at[starts], valid[starts], valid[stops]
 
 
-def _pieces(batch: pa.RecordBatch, owners: list[tuple]) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
+def _pieces(batch: pa.RecordBatch, owners: list[tuple], size: int) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
     """Bytes of several texts and, for each text, (owner, its first byte there, its offset, length)."""
     parts: list[bytes] = []
     spans: list[tuple[int, int, int, int]] = []
@@ -353,9 +353,9 @@ def _pieces(batch: pa.RecordBatch, owners: list[tuple]) -> Iterator[tuple[bytes,
         if len(text) < SPAN:
             continue
         owners.append(owner)
-        for offset in range(0, len(text) - SPAN + 1, PIECE):
-            part = text[offset : offset + PIECE + SPAN - 1]
-            if held and held + len(part) > PIECE:
+        for offset in range(0, len(text) - SPAN + 1, size):
+            part = text[offset : offset + size + SPAN - 1]
+            if held and held + len(part) > size:
                 yield b"".join(parts), spans
                 parts, spans, held = [], [], 0
             parts.append(part)
@@ -365,14 +365,14 @@ def _pieces(batch: pa.RecordBatch, owners: list[tuple]) -> Iterator[tuple[bytes,
         yield b"".join(parts), spans
 
 
-def _sparse(shards: int):
+def _sparse(shards: int, size: int, piece: int, hot: int):
     """Rows (known, id, tie, text) -> shards of suffix arrays over the chosen places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Batch(shards, decided=False)
+        held = Batch(shards, decided=False, hot=hot)
         for batch in batches:
             held.forget()
-            for piece, spans in _pieces(batch, held.owners):
+            for piece, spans in _pieces(batch, held.owners, piece):
                 data = np.frombuffer(piece, np.uint8)
                 valid = np.concatenate([np.arange(s, s + n - SPAN + 1) for _, s, _, n in spans])
                 at, lo, hi = chosen(data, valid)
@@ -385,14 +385,14 @@ def _sparse(shards: int):
                 doc = np.array([d for d, _, _, _ in spans])[which]
                 shift = np.array([o - s for _, s, o, _ in spans])[which]
                 held.add(rec, sides.reshape(-1).view("S6"), doc, at + shift, at - lo, hi - lo)
-                if held.size >= BATCH:
+                if held.size >= size:
                     yield from held.shards_of()
         yield from held.shards_of()
 
     return run
 
 
-def _dense(shards: int):
+def _dense(shards: int, size: int, piece: int):
     """Rows (known, id, tie, text, spans) -> shards of suffix arrays over every passage in the spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,12 +409,12 @@ def _dense(shards: int):
                 np.add.at(mask, hi + 1, -1)
                 starts = np.flatnonzero(np.cumsum(mask) > 0)
                 held.owners.append(owner)
-                for k in range(0, len(starts), PIECE):
-                    at = starts[k : k + PIECE]
+                for k in range(0, len(starts), piece):
+                    at = starts[k : k + piece]
                     none = np.zeros(len(at), np.uint8)
                     rec = _records(data, view, at, at, at + SPAN)
                     held.add(rec, none.astype("S6"), np.full(len(at), len(held.owners) - 1), at, none, none)
-                    if held.size >= BATCH:
+                    if held.size >= size:
                         yield from held.shards_of()
         yield from held.shards_of()
 
@@ -464,11 +464,13 @@ def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", batch: int = BATCH, piece: int = PIECE, hot: int = HOT
+) -> DataFrame:
     """(``key``, n_bytes, removed array<struct<start, stop>>, kept binary), one row for each row of ``docs``.
 
     ``removed`` are the maximal runs of bytes that some earlier passage repeats. ``key`` is
-    an integer column.
+    an integer column. ``batch``, ``piece`` and ``hot`` bound memory and change no result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-levels")
@@ -485,10 +487,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shards = max(SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     long = named.where(F.octet_length("text") >= SPAN).select(*_OWNER, "text")
     with _shuffles_dropped(spark):
-        found = scratch.put(_family(long.mapInArrow(_sparse(shards), _RUNS), shards, decided=False), "coarse")
+        found = scratch.put(_family(long.mapInArrow(_sparse(shards, batch, piece, hot), _RUNS), shards, decided=False), "coarse")
     spans = F.collect_list(F.struct("lo", "hi")).alias("spans")
     unsettled = found.where(F.col("kind") == OPEN).groupBy(*_OWNER).agg(spans)
-    again = long.join(unsettled, [*_OWNER]).select(*_OWNER, "text", "spans").mapInArrow(_dense(shards), _RUNS)
+    again = long.join(unsettled, [*_OWNER]).select(*_OWNER, "text", "spans").mapInArrow(_dense(shards, batch, piece), _RUNS)
     with _shuffles_dropped(spark):
         fine = scratch.put(_family(again, shards, decided=True), "fine")
     repeats = found.where(F.col("kind") == REPEAT).unionAll(fine).groupBy(*_OWNER).agg(spans)

@@ -100,13 +100,11 @@ def repetitive(seed, count=80):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"PIECE": 300, "HOT": 2, "BATCH": 200}])
-def test_repeats_match_brute_force(spark, monkeypatch, limits):
-    for name, value in limits.items():
-        monkeypatch.setattr(suffix_levels, name, value)
+@pytest.mark.parametrize("limits", [{}, {"piece": 300, "hot": 2, "batch": 200}])
+def test_repeats_match_brute_force(spark, limits):
     rows = repetitive(len(limits))
     want = plain_removed(rows)
-    got = {r.doc_id: r for r in suffix_levels.remove_repeats(documents(spark, rows).repartition(4)).collect()}
+    got = {r.doc_id: r for r in suffix_levels.remove_repeats(documents(spark, rows).repartition(4), **limits).collect()}
     assert sum(len(runs) for runs, _ in want.values()) > 20
     for i, (key, text) in enumerate(rows):
         row = got[key]
