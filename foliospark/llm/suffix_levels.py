@@ -372,11 +372,11 @@ def _sparse(shards: int, size: int, piece: int, hot: int):
         held = Batch(shards, decided=False, hot=hot)
         for batch in batches:
             held.forget()
-            for piece, spans in _pieces(batch, held.owners, piece):
-                data = np.frombuffer(piece, np.uint8)
+            for joined, spans in _pieces(batch, held.owners, piece):
+                data = np.frombuffer(joined, np.uint8)
                 valid = np.concatenate([np.arange(s, s + n - SPAN + 1) for _, s, _, n in spans])
                 at, lo, hi = chosen(data, valid)
-                view = memoryview(piece)
+                view = memoryview(joined)
                 rec = _records(data, view, at, lo, hi + SPAN)
                 sides = np.empty((len(at), 6), np.uint8)  # halves that reach out of the zone are not looked at
                 sides[:, :3] = _hashes(view, at, at + GRAM + HALF)[:, :3]
