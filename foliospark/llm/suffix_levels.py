@@ -193,6 +193,8 @@ class Levels:
         gram = whole.grams()
         group = np.zeros(len(whole), np.int64)
         group[1:] = np.cumsum((gram[1:] != gram[:-1]).any(axis=1))
+        # A marked entry stands for others that went on at once, so all with its first bytes follow.
+        marked = (np.bincount(group, whole.open) > 0)[group]
         sides = np.frombuffer(whole.sides.tobytes(), np.uint8).reshape(-1, 6).astype(np.int64)
         start = (whole.at - whole.before).astype(np.int64)
         stop, turn = start + whole.span, whole.at.astype(np.int64) - HALF
@@ -200,7 +202,7 @@ class Levels:
             there = np.flatnonzero(lo <= hi)
             code = group[there] << 24 | sides[there, k] << 16 | sides[there, k + 1] << 8 | sides[there, k + 2]
             _, kind, count = np.unique(code, return_inverse=True, return_counts=True)
-            there = there[(count[kind] > 1) | whole.open[there]]
+            there = there[(count[kind] > 1) | marked[there]]
             if len(there):
                 yield whole.take(there).found(OPEN, lo[there], hi[there])
 
