@@ -99,3 +99,14 @@ def vector_similarity(spark, sf):
         F.round(F.avg("s"), 6).alias("mean_similarity"),
         F.round(vector.unit_score(F.max("s")), 6).alias("best_score"),
     )
+
+
+@query("vector_topk_batch", """WITH s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 10""")
+def vector_topk_batch(spark, sf):
+    """Ten nearest rows of every query vector: those whose id is divisible by 50."""
+    rows = table(spark, sf, "embeddings")
+    return vector.nearest_batch(rows, rows.where(F.col("vec_id") % 50 == 0), 10).drop("cells_read")
