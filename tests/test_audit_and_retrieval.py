@@ -92,8 +92,9 @@ def test_batches_follow_scan_order(spark):
     got = {r["file_path"]: r["batch_id"] for r in audit.assign_batches(df, 10).collect()}
     want = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
     assert [got[r[0]] for r in want] == [i // 10 for i in range(37)]
+    assert {r["batch_id"] for r in audit.assign_batches(df, 10**6).collect()} == {0}
     with pytest.raises(ValueError):
-        audit.assign_batches(df, 10**6)
+        audit.assign_batches(df, 0)
 
 
 def test_robust_stats(spark):
