@@ -7,7 +7,8 @@
   with up to ``BLOCK`` postings as arrays: document numbers as differences, term
   frequencies, lengths, and places of the term as differences. They are sorted by term
   inside term buckets, so a search reads the row groups of its own terms;
-* ``terms`` (term, df), ``spectrum`` (df, number of terms) and ``totals``.
+* ``terms`` (term, df), ``spectrum`` (df, number of terms) and ``totals``;
+* ``stems`` (stem, term), where ``write_stems`` was called: the vocabulary by stem.
 
 A document number is ``position << CHUNK_BITS | chunk``: numbers follow paths, so ties need
 no look-up, and a segment is a range of positions. A search joins the blocks of the wanted
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from foliospark.functions import text as tx
+from foliospark.functions import stemming, text as tx
 from foliospark.operators import chunking, retrieval as rt
 from foliospark.staging import stage
 
@@ -185,6 +186,13 @@ def write(docs: DataFrame, path: str, fields: Sequence[Field], keep: Sequence[st
         spectrum.coalesce(1).write.mode("overwrite").parquet(f"{root}/spectrum")
 
 
+def write_stems(index: Index, field: Field) -> None:
+    """Stem the vocabulary of a field once; no text and no posting is read."""
+    root = index.field(field).root
+    stemmed = stemming.with_stems(index.spark.read.parquet(f"{root}/terms").select("term"))
+    stemmed.select("stem", "term").repartition("stem").sortWithinPartitions("stem", "term").write.mode("overwrite").parquet(f"{root}/stems")
+
+
 class Index:
     """A written index; ``field`` opens one of its fields."""
 
@@ -240,6 +248,17 @@ class Postings:
         dealt = met.repartition("segment", "phrase").sortWithinPartitions("segment", "phrase", "offset")
         return dealt.mapInArrow(_adjoin, "segment bigint, term string, n int, docs array<bigint>, tfs array<int>, lens array<int>")
 
+    @property
+    def stems(self) -> DataFrame:
+        return self.index.spark.read.schema("stem string, term string").parquet(f"{self.root}/stems")
+
+    def of_stems(self, wanted: DataFrame) -> DataFrame:
+        """Blocks of stems: the postings of all their forms, frequencies of one document added up."""
+        forms = self.stems.join(wanted.select("stem").distinct(), "stem", "left_semi")
+        met = self.blocks.join(forms, "term").select("segment", "stem", "docs", "tfs", "lens")
+        dealt = met.repartition("segment", "stem").sortWithinPartitions("segment", "stem")
+        return dealt.mapInArrow(_merge, "segment bigint, term string, n int, docs array<bigint>, tfs array<int>, lens array<int>")
+
     def best(self, blocks: DataFrame, weights: DataFrame, k1: float, b: float, limit: int | None, grouped: bool = False) -> DataFrame:
         """(query_id, doc, score): the ``limit`` best of each segment (None: all that have a term).
 
@@ -314,6 +333,20 @@ def _adjoin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["segment", "term", "n", "docs", "tfs", "lens"])
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in _groups(batches, 2):
+        differences, sizes = _flat(table, "docs")
+        numbers, first, local = np.unique(_sums(differences, sizes), return_index=True, return_inverse=True)
+        counts = np.bincount(local, _flat(table, "tfs")[0]).astype(np.int64)
+        whole = [0, len(numbers)]
+        columns = [
+            table["segment"][:1].combine_chunks(), table["stem"][:1].combine_chunks(), pa.array([len(numbers)], pa.int32()),
+            _lists(whole, _differences(numbers, np.array([0])), pa.int64()),
+            _lists(whole, counts, pa.int32()), _lists(whole, _flat(table, "lens")[0][first], pa.int32()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["segment", "term", "n", "docs", "tfs", "lens"])
+
+
 def rounded(values: np.ndarray) -> np.ndarray:
     """Half away from zero to the digits of all scores."""
     scale = 10.0**rt.DIGITS
@@ -401,6 +434,24 @@ def rank_simple(index: Index, queries: DataFrame, limit: int, field: Field = FOL
     return _named(best, index, F.shiftright("doc", CHUNK_BITS)).select("query_id", "file_path", "score", "rank")
 
 
+def search_stemmed(index: Index, queries: DataFrame, limit: int, query: str = "query", field: Field = DOCUMENTS) -> DataFrame:
+    """Documents that hold any inflected form of a query word: (query_id, file_path, score, rank).
+
+    A stem is weighed as one term: its frequency in a document is that of all its forms. A
+    query word takes part by its stem, whether or not the corpus has that very form.
+    """
+    postings = index.field(field)
+    asked = stemming.with_stems(rt.query_terms(queries, tx.tokens(query)))
+    wanted = stage(asked.groupBy("query_id", "stem").agg(F.sum("qtf").alias("qtf")), "query-stems")
+    blocks = stage(postings.of_stems(wanted), "stem-blocks")
+    counts = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+    df = F.col("df")
+    idf = F.log1p((postings.rows - df + 0.5) / (df + 0.5))
+    weights = _weights(counts, wanted.withColumnRenamed("stem", "term"), idf)
+    best = stage(_top(postings.best(blocks, weights, 1.5, 0.75, limit), limit), "stemmed-hits")
+    return _named(best, index, F.shiftright("doc", CHUNK_BITS)).select("query_id", "file_path", "score", "rank")
+
+
 def search_relevant_documents(index: Index, queries: DataFrame, limit: int = 3, field: Field = FOLDED_CHUNKS) -> DataFrame:
     """Chunk ranking rolled up to documents; token overlap replaces a query's all-zero scores."""
     postings = index.field(field)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from foliospark.functions import catalog, text as tx
+from foliospark.functions import catalog, stemming as st, text as tx
 from foliospark.operators import chunking, index, retrieval, search_index
 from foliospark.plans.corpus import CHUNKS_SQL, FOLD, SQUEEZE, STRIP, TOKENS
 from foliospark.plans.registry import CORPUS_SQL, corpus, query, spread, table
@@ -238,6 +238,49 @@ def bm25_simple_documents(spark, sf):
     return search_index.rank_simple(text_index(spark, sf), benchmark_queries(spark, sf), TOP_K)
 
 
+def stems_sql(source: str) -> str:
+    """CTE ``stems`` (term, stem) of the distinct terms of ``source``, rule by rule."""
+    ends = lambda x, p: f"regexp_extract({x}, '(?:{p})$')"
+    cut = lambda x, p, start: f"CASE WHEN {ends(x, p)} <> '' AND length({x}) - length({ends(x, p)}) >= {start} THEN left({x}, length({x}) - length({ends(x, p)})) ELSE {x} END"
+    region = lambda p: f"coalesce(nullif(length(regexp_extract(w, '{p}')), 0), length(w))"
+    is_ = lambda p: f"regexp_full_match(s, '{p}')"
+    inner = " ".join(f"WHEN {is_(p)} THEN {cut('b', before, 'r2')}" for p, before in st.WITH_INNER)
+    replaced = " ".join(f"WHEN {is_(p)} THEN b || '{put}'" for p, put in st.REPLACED)
+    return f"""stem0 AS (SELECT DISTINCT term, replace(replace(term, 'ã', 'a~'), 'õ', 'o~') AS w FROM {source}),
+stem1 AS (SELECT *, {region(st.REGION_1)} AS r1, {region(st.REGION_2)} AS r2, {region(st.REGION_V)} AS rv, {ends('w', st.STANDARD)} AS s FROM stem0),
+stem2 AS (SELECT *, left(w, length(w) - length(s)) AS b FROM stem1),
+stem3 AS (SELECT *, {cut('b', st.ADVERB_INNER, 'r2')} AS adverb FROM stem2),
+stem4 AS (SELECT *, CASE WHEN s = '' THEN w
+    WHEN s = 'amente' THEN CASE WHEN length(b) < r1 THEN w WHEN adverb <> b AND b LIKE '%iv' THEN {cut('adverb', 'at', 'r2')} ELSE adverb END
+    WHEN {is_('iras?')} THEN CASE WHEN length(b) >= rv AND b LIKE '%e' THEN b || 'ir' ELSE w END
+    WHEN length(b) < r2 THEN w {inner} {replaced} ELSE b END AS x1 FROM stem3),
+stem5 AS (SELECT *, CASE WHEN x1 <> w THEN x1 ELSE left(w, rv) || regexp_replace(substring(w, rv + 1), '(?:{st.VERB})$', '') END AS x2 FROM stem4),
+stem6 AS (SELECT *, CASE WHEN x2 = w THEN {cut('x2', st.RESIDUAL, 'rv')}
+    WHEN x2 LIKE '%ci' AND length(x2) > rv THEN left(x2, length(x2) - 1) ELSE x2 END AS x3 FROM stem5),
+stem7 AS (SELECT *, {cut('x3', '[eéê]', 'rv')} AS x4 FROM stem6),
+stems AS (SELECT term, translate(replace(CASE WHEN x4 <> x3 AND regexp_matches(x4, '(?:gu|ci)$') AND length(x4) > rv THEN left(x4, length(x4) - 1)
+    ELSE regexp_replace(x4, 'ç$', 'c') END, '~', ''), '{tx.ACCENTED}', '{tx.UNACCENTED}') AS stem FROM stem7)"""
+
+
+@query("fts_stemmed", f"""WITH {CORPUS_SQL}, docs AS (SELECT file_path, content FROM corpus), {DOC_HITS_SQL},
+asked AS (SELECT item_id AS query_id, unnest({TOKENS('lower(text)')}) AS term FROM benchmark),
+vocabulary AS (SELECT term FROM doc_hits UNION SELECT term FROM asked), {stems_sql('vocabulary')},
+stem_hits AS (SELECT file_path, stem AS term, sum(tf) AS tf, any_value(dl) AS dl FROM doc_hits JOIN stems USING (term) GROUP BY ALL),
+qterms AS (SELECT query_id, stem AS term, count(*) AS qtf FROM asked JOIN stems USING (term) GROUP BY ALL),
+{bm25_sql('bm', 'ln(1 + (n - df + 0.5) / (df + 0.5))', '1.5', DOC_N, 'stem_hits', 'file_path', 'qterms')}
+SELECT query_id, file_path, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) AS rank FROM bm)
+WHERE rank <= {TOP_K}""")
+def fts_stemmed(spark, sf):
+    """Text search by Portuguese stems over the stored index; the vocabulary is stemmed once."""
+    opened = text_index(spark, sf)
+    name = (spark.sparkContext.applicationId, sf, "stems")
+    if name not in _WRITTEN:
+        search_index.write_stems(opened, search_index.DOCUMENTS)
+        _WRITTEN[name] = opened.path
+    return search_index.search_stemmed(opened, benchmark_queries(spark, sf), TOP_K)
+
+
 @query("bm25_chunks", f"""WITH {CORPUS_SQL}, {CHUNKS_SQL},
 ctok AS (SELECT file_path, chunk_index, {TOKENS(FOLD('text'))} AS tk FROM chunks),
 chits AS (

@@ -1,10 +1,12 @@
 """The stored index: what it holds, and its rankings against the ones that scan the texts."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.functions import stemming
 from foliospark.operators import chunking, retrieval, search_index as si
 
 SCHEMA = "file_path string, file_extension string, content string"
@@ -97,3 +99,32 @@ def test_an_empty_corpus_can_be_searched(spark, queries, tmp_path):
     assert si.search_chunks(empty, queries, 3).count() == 0
     assert si.rank_documents(empty, queries, 3).count() == 0
     assert si.search_relevant_documents(empty, queries, 3).count() == 0
+
+
+def test_published_stems(spark):
+    known = """boa boa,boassu boassu,boataria boat,boatos boat,bobagem bobag,bobagens bobagens,quiabo quiab,quicaram quic,quieto quiet,
+quilates quilat,quilinhos quilinh,quilométricas quilometr,documentação document,cidades cidad,rapidamente rapid,informações inform,
+tecnologias tecnolog,existência existent,ativamente ativ,segue seg,x_1 x_1,é e"""
+    pairs = [tuple(k.split()) for k in known.replace("\n", "").split(",")]
+    out = stemming.with_stems(spark.createDataFrame([*pairs, (None, None)], "term string, want string"))
+    assert out.where(~F.col("stem").eqNullSafe(F.col("want"))).collect() == [] and out.columns == ["term", "want", "stem"]
+
+
+def test_stemmed_search_finds_inflected_forms(spark, tmp_path):
+    texts = {
+        "a": "A informação foi documentada rapidamente", "b": "informações e informações novas", "c": "nada aqui", "d": "INFORMAR a cidade",
+        "e": "cidades cidades cidade", "f": "", "g": "informação informações informar",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "file_path string, content string")
+    si.write(docs, str(tmp_path / "i"), (si.DOCUMENTS,), block=2, segment_bits=1)
+    index = si.Index(spark, str(tmp_path / "i"))
+    si.write_stems(index, si.DOCUMENTS)
+    asked = spark.createDataFrame([(1, "informou"), (2, "Cidade"), (3, "inexistente"), (4, "")], "query_id bigint, query string")
+    got = {}
+    for r in si.search_stemmed(index, asked, 10).collect():
+        got.setdefault(r.query_id, {})[r.file_path] = r.score
+    assert set(got) == {1, 2} and set(got[1]) == set("abdg") and set(got[2]) == set("de")
+    # One term with the summed frequency: 4 of 6 documents with words hold it, g three times in three words.
+    n, df, total = 6, 4, 5 + 4 + 2 + 3 + 3 + 3
+    idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+    assert got[1]["g"] == pytest.approx(idf * 3 * 2.5 / (3 + 1.5 * (0.25 + 0.75 * 3 / (total / n))), abs=1e-6)
