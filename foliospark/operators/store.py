@@ -1,17 +1,19 @@
-"""Keyed tables on plain files: classify changes, upsert, delete, snapshot.
-
-A table is kept in hash buckets of its key, one folder per bucket, so a change
-rewrites only the buckets it touches. There is one writer at a time.
-"""
+"""Keyed tables on plain files: classify changes, upsert, delete, versions, snapshot."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from foliospark.staging import stage
+from foliospark.staging import folder_bytes, stage, stage_sized
 
-BUCKETS = 64
+DELETED = "__deleted"
+#: Bytes of a file of a run, and how much larger than what follows it a run may be and still be merged.
+FILE_BYTES, GROWTH = 256 << 20, 2
 
 
 def orphans(stored: DataFrame, current: DataFrame, key: str = "file_path") -> DataFrame:
@@ -51,71 +53,153 @@ def parse_snapshot(text: Column | str) -> Column:
     return F.transform_values(valid, lambda _, v: F.struct(v[0].alias("mtime"), v[1].alias("size")))
 
 
-class KeyedTable:
-    """A bucketed parquet table with upsert and delete by key."""
-
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: StructType, buckets: int = BUCKETS):
-        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
-        self.schema = StructType([f for f in schema.fields if f.name != "bucket"])
+class Conflict(RuntimeError):
+    """Another writer stored the next version first."""
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("bucket")
 
-    def _exists(self) -> bool:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
-
-    def _raw(self) -> DataFrame:
-        typed = StructType([*self.schema.fields, StructField("bucket", IntegerType())])
-        if not self._exists():
-            return self.spark.createDataFrame([], typed)
-        return self.spark.read.schema(typed).parquet(self.path)
+class KeyedTable:
+    """A parquet table with upsert and delete by key, in versions.
+
+    A write adds one folder of changed rows below ``data`` and then a small file below
+    ``versions`` that names the folders of the table; moving that file into place is the
+    commit. A job that ends before it leaves the old version as it was. Folders are runs,
+    oldest first: a row of a later run replaces that of an earlier one, and a deleted key is
+    a row with a mark. A write is merged with the runs before it that are not much larger, so
+    a table of n writes has about log n runs and a row is rewritten about as often. Each run
+    is sorted by key over files whose number comes from its size; a lookup reads the row
+    groups that may hold its key. Null is a key like any other.
+    """
 
-    def read(self) -> DataFrame:
-        return self._raw().drop("bucket")
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: StructType, file_bytes: int = FILE_BYTES):
+        self.spark, self.path, self.key, self.file_bytes = spark, path.rstrip("/"), key, file_bytes
+        self.schema = StructType([f for f in schema.fields if f.name != DELETED])
+        self._typed = StructType([*self.schema.fields, StructField(DELETED, BooleanType())])
+
+    # -- versions
+
+    def _hadoop(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def versions(self) -> list[int]:
+        """Stored versions, oldest first."""
+        files, folder = self._hadoop("versions")
+        if not files.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in files.listStatus(folder)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def _runs(self, version: int | None = None) -> tuple[int, list[dict]]:
+        """(version, its runs); the newest if none is named, 0 before the first write."""
+        known = self.versions()
+        if version is None:
+            version = known[-1] if known else 0
+        elif version not in known:
+            raise ValueError(f"no version {version}; stored: {known[:1]} to {known[-1:]}")
+        if not version:
+            return 0, []
+        files, path = self._hadoop(f"versions/{version:012d}.json")
+        stream = files.open(path)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return version, json.loads(text)
+
+    def _commit(self, version: int, runs: list[dict]) -> None:
+        files, draft = self._hadoop(f"versions/.{uuid.uuid4().hex}")
+        _, final = self._hadoop(f"versions/{version:012d}.json")
+        out = files.create(draft, False)
+        try:
+            out.write(bytearray(json.dumps(runs).encode()))
+        finally:
+            out.close()
+        if files.exists(final) or not files.rename(draft, final):
+            files.delete(draft, False)
+            raise Conflict(f"version {version} of {self.path} was stored by another writer")
+
+    # -- reading
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self._typed).parquet(f"{self.path}/data/{name}")
+
+    def _merged(self, runs: list[dict]) -> DataFrame:
+        """Rows of some runs with the newest of each key, deleted ones included."""
+        if not runs:
+            return self.spark.createDataFrame([], self._typed)
+        oldest = self._run(runs[0]["name"])
+        if len(runs) == 1:
+            return oldest
+        later = [self._run(r["name"]).withColumn("__at", F.lit(i)) for i, r in enumerate(runs[1:])]
+        rest = [c for c in self._typed.names if c != self.key]
+        newest = reduce(DataFrame.unionByName, later)
+        if len(later) > 1:
+            picked = F.max_by(F.struct(*rest), "__at").alias("r")
+            newest = newest.groupBy(self.key).agg(picked).select(self.key, "r.*")
+        newest = newest.select(self._typed.names)
+        keys = newest.select(F.col(self.key).alias("__key"))
+        return oldest.join(keys, F.col(self.key).eqNullSafe(F.col("__key")), "left_anti").unionByName(newest)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The newest version, or an older one that is still stored."""
+        return self._merged(self._runs(version)[1]).where(~F.col(DELETED)).drop(DELETED)
 
     def lookup(self, value) -> DataFrame:
-        """Rows of one key; only its bucket is read."""
-        target = F.pmod(F.xxhash64(F.lit(value)), F.lit(self.buckets)).cast("int")
-        return self._raw().where((F.col("bucket") == target) & (F.col(self.key) == value)).drop("bucket")
-
-    def append(self, rows: DataFrame) -> None:
-        bucketed = rows.select(*self.schema.names, self._bucket())
-        bucketed.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
-
-    def _replace(self, merged: DataFrame, touched: DataFrame) -> None:
-        """Overwrite the touched buckets; a bucket left without rows is cleared with an empty file set."""
-        staged = stage(merged, "keyed-table")
-        names = [r[0] for r in touched.select("bucket").distinct().collect()]  # at most ``buckets`` values
-        kept = {r[0] for r in staged.select("bucket").distinct().collect()}
-        (
-            staged.repartition("bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(self.path)
-        )
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        for bucket in set(names) - kept:
-            gone = hadoop.Path(f"{self.path}/bucket={bucket}")
-            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
-
-    def upsert(self, rows: DataFrame) -> None:
+        """Rows of one key; the condition reaches every run's scan."""
+        return self.read().where(F.col(self.key) == value)
+
+    # -- writing
+
+    def _write(self, rows: DataFrame, size: int | None = None) -> dict:
+        """One run. Its rows are written once as they come where their size is not known yet."""
+        name = uuid.uuid4().hex
+        if size is None:
+            rows, size = stage_sized(rows, "keyed-run")
+        parts = max(1, -(-size // self.file_bytes))
+        laid = rows.repartitionByRange(parts, self.key) if parts > 1 else rows.coalesce(1)
+        laid.sortWithinPartitions(self.key).write.parquet(f"{self.path}/data/{name}")
+        return {"name": name, "bytes": folder_bytes(self.spark, f"{self.path}/data/{name}")}
+
+    def _apply(self, rows: DataFrame) -> int:
+        """Commit changed rows as the next version and return its number."""
+        version, runs = self._runs()
+        runs.append(self._write(rows.select(self._typed.names)))
+        first = len(runs) - 1
+        while first and runs[first - 1]["bytes"] <= GROWTH * sum(r["bytes"] for r in runs[first:]):
+            first -= 1
+        if first < len(runs) - 1:
+            folded = self._merged(runs[first:])
+            if not first:  # nothing older is left for a deletion to hide
+                folded = folded.where(~F.col(DELETED))
+            runs[first:] = [self._write(folded, sum(r["bytes"] for r in runs[first:]))]
+        self._commit(version + 1, runs)
+        return version + 1
+
+    def upsert(self, rows: DataFrame) -> int:
         """Insert new keys and replace existing ones. ``rows`` must be unique on the key."""
-        incoming = stage(rows.select(*self.schema.names, self._bucket()), "keyed-incoming")
-        touched = incoming.select("bucket").distinct()
-        current = self._raw().join(F.broadcast(touched), "bucket", "left_semi")  # at most ``buckets`` rows
-        columns = [*self.schema.names, "bucket"]
-        kept = current.join(incoming.select(self.key), self.key, "left_anti").select(columns)
-        self._replace(kept.unionByName(incoming.select(columns)), touched)
-
-    def delete(self, keys: DataFrame) -> None:
-        doomed = stage(keys.select(self.key).distinct().withColumn("bucket", self._bucket()), "keyed-doomed")
-        touched = doomed.select("bucket").distinct()
-        current = self._raw().join(F.broadcast(touched), "bucket", "left_semi")
-        left = current.join(doomed.select(self.key), self.key, "left_anti").select(*self.schema.names, "bucket")
-        self._replace(left, touched)
+        return self._apply(rows.select(*self.schema.names, F.lit(False).alias(DELETED)))
+
+    def delete(self, keys: DataFrame) -> int:
+        """Delete keys; those that are not stored change nothing."""
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields if f.name != self.key]
+        return self._apply(keys.select(self.key).distinct().select(self.key, *nothing, F.lit(True).alias(DELETED)))
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Forget all but the newest ``keep`` versions and delete folders that none of them names.
+
+        Folders of failed writes go as well, so no write may run meanwhile. Returns the number of folders deleted.
+        """
+        known = self.versions()
+        kept = known[-max(1, keep):]
+        named = {r["name"] for v in kept for r in self._runs(v)[1]}
+        for version in known[: len(known) - len(kept)]:
+            files, path = self._hadoop(f"versions/{version:012d}.json")
+            files.delete(path, False)
+        files, folder = self._hadoop("data")
+        gone = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName() not in named] if files.exists(folder) else []
+        for path in gone:
+            files.delete(path, True)
+        return len(gone)
 
 
 def latest_versions(rows: DataFrame, key: str, version: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from foliospark.functions import text as tx
@@ -96,3 +97,21 @@ def incremental_index(spark, sf):
     indexed.upsert(docs.where("doc_id % 10 = 0").select("file_path", (F.col("n") + 6).alias("n")))
     indexed.delete(docs.where("doc_id % 10 = 5").select("file_path"))
     return indexed.read()
+
+
+@query("keyed_versions", """WITH e AS (SELECT *, event_id % 4 + 1 AS batch FROM events), v AS (SELECT unnest([1, 2, 3, 4, 5]) AS version),
+w AS (SELECT user_id AS k, batch, max(event_id) AS last, count(*) AS n FROM e GROUP BY ALL),
+s AS (SELECT version, k, arg_max(last, batch) AS last, arg_max(n, batch) AS n, max(batch) AS batch FROM v JOIN w ON batch <= version GROUP BY ALL)
+SELECT version, count(*) AS keys, sum(last)::BIGINT AS last, sum(n)::BIGINT AS n FROM s WHERE NOT (version = 5 AND k % 3 = 0) GROUP BY version""")
+def keyed_versions(spark, sf):
+    """Events of a user by batch, upserted in four writes, then a deletion; every version is read back."""
+    rows = table(spark, sf, "events").select("event_id", F.col("user_id").alias("k"))
+    batch = (F.col("event_id") % 4 + 1).cast("int")
+    batches = rows.withColumn("batch", batch).groupBy("batch", "k").agg(F.max("event_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    schema = StructType([StructField(c, LongType()) for c in ("k", "last", "n")])
+    kept = store.KeyedTable(spark, f"{checkpoint_root(spark)}/foliospark/versions-{uuid.uuid4().hex}", "k", schema)
+    for b in range(1, 5):
+        kept.upsert(batches.where(F.col("batch") == b).select("k", "last", "n"))
+    kept.delete(rows.where("k % 3 = 0").select("k"))
+    sums = lambda v: kept.read(v).agg(F.count(F.lit(1)).alias("keys"), F.sum("last").alias("last"), F.sum("n").alias("n"))
+    return reduce(DataFrame.unionByName, [sums(v).select(F.lit(v).alias("version"), "*") for v in kept.versions()])

@@ -43,6 +43,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_sized(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``stage`` with the bytes written."""
+    staged = stage(df, label)
+    return staged, folder_bytes(df.sparkSession, _written[-1])
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def release(spark: SparkSession) -> int:
     """Delete every table staged so far by this process; call it once their results are stored."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

@@ -112,7 +112,9 @@ def watch_process(spark: SparkSession, root: str, now: Callable[[], Column], **o
 
 def report(spark: SparkSession, root: str) -> DataFrame:
     """Report rows from the persisted documents and audit history."""
-    documents = index.with_content(spark.read.parquet(f"{root}/{DOCUMENTS}")).select(
+    layout = index.stored_documents(spark.createDataFrame([], "file_path string, file_extension string, content string")).schema
+    stored = documents_table(spark, root, layout).read()
+    documents = index.with_content(stored).select(
         "file_path", "file_extension", F.col("metadata.theme").alias("theme"), F.length("content").alias("content_length")
     )
     return history.report_rows(documents, history.latest_decisions(spark.read.parquet(f"{root}/{HISTORY}")))

@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foliospark import workflows
 from foliospark.functions import json_schema, scoring
@@ -12,6 +13,9 @@ from foliospark.sinks import reports
 from foliospark.sources import documents as src, extract
 from foliospark.streaming import rolling, watch
 
+PATHS = StructType([StructField("file_path", StringType())])
+
+
 def now():
     return F.lit(dt.datetime(2024, 5, 1, 12, 0, 0)).cast("timestamp_ntz")
 
@@ -175,7 +179,7 @@ def test_answer_scoring(spark):
 
 def test_keyed_table_upsert_delete(spark, tmp_path):
     mk = lambda *rows: spark.createDataFrame(list(rows), "file_path string, content_hash string")
-    t = store.KeyedTable(spark, str(tmp_path / "t"), "file_path", mk(("a", "1")).schema, buckets=4)
+    t = store.KeyedTable(spark, str(tmp_path / "t"), "file_path", mk(("a", "1")).schema, file_bytes=200)
     assert t.read().count() == 0
     t.upsert(mk(("a", "1"), ("b", "1"), ("c", "1")))
     incoming = mk(("a", "1"), ("b", "2"), ("d", "1"))
@@ -191,6 +195,49 @@ def test_keyed_table_upsert_delete(spark, tmp_path):
     assert [r["file_path"] for r in t.read().collect()] == ["d"]
 
 
+def test_keyed_table_keeps_the_old_version_when_a_write_fails(spark, tmp_path):
+    mk = lambda *rows: spark.createDataFrame(list(rows), "k string, n int")
+    t = store.KeyedTable(spark, str(tmp_path / "t"), "k", mk(("a", 1)).schema)
+    assert t.versions() == [] and t.upsert(mk(("a", 1), ("b", 1), (None, 1))) == 1
+    broken = F.udf(lambda k: 1 // (0 if k == "b" else 1), "int")  # half of its rows are written before it fails
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        t.upsert(mk(("a", 2), ("b", 2)).repartition(2).withColumn("n", broken("k")))
+    assert t.versions() == [1] and state(t) == {"a": 1, "b": 1, None: 1}
+    t._write(mk(("a", 9)).withColumn(store.DELETED, F.lit(False)))  # a driver that is lost before the commit
+    assert state(t) == {"a": 1, "b": 1, None: 1}
+    assert t.delete(mk(("b", 0), (None, 0), ("zz", 0))) == 2 and state(t) == {"a": 1}
+    assert {r["k"]: r["n"] for r in t.read(1).collect()} == {"a": 1, "b": 1, None: 1}
+    with pytest.raises(ValueError, match="no version 7"):
+        t.read(7)
+    with pytest.raises(store.Conflict):
+        t._commit(2, [])
+    assert t.vacuum() > 0 and t.versions() == [2] and state(t) == {"a": 1}
+    with pytest.raises(ValueError):
+        t.read(1)
+
+
+def test_keyed_table_merges_runs_geometrically(spark, tmp_path):
+    schema = spark.range(1).selectExpr("id", "id AS n").schema
+    t = store.KeyedTable(spark, str(tmp_path / "t"), "id", schema, file_bytes=20_000)
+    want = {}
+    t.upsert(spark.range(20_000).selectExpr("id", "0L AS n"))
+    want |= dict.fromkeys(range(20_000), 0)
+    for step in range(1, 7):
+        t.upsert(spark.range(step * 50, step * 50 + 200).selectExpr("id", f"{step}L AS n"))
+        want |= dict.fromkeys(range(step * 50, step * 50 + 200), step)
+        t.delete(spark.range(step * 60, step * 60 + 10).toDF("id"))
+        for k in range(step * 60, step * 60 + 10):
+            want.pop(k, None)
+    runs = t._runs()[1]
+    assert 1 < len(runs) <= 5 and all(a["bytes"] > b["bytes"] for a, b in zip(runs, runs[1:]))
+    assert {r["id"]: r["n"] for r in t.read().collect()} == want
+    assert len(t._run(runs[0]["name"]).inputFiles()) > 1 and t.lookup(210).first()["n"] == want[210]
+
+
+def state(table):
+    return {r[0]: r[1] for r in table.read().collect()}
+
+
 def test_snapshots_versions_cache(spark):
     snap = lambda *rows: spark.createDataFrame(list(rows), "file_path string, size long, mtime long")
     changes = store.snapshot_changes(snap(("a", 1, 1), ("b", 1, 1), ("c", 1, 1)), snap(("a", 1, 1), ("b", 2, 1), ("d", 1, 1)))
@@ -298,7 +345,7 @@ def test_watch_cycles_and_stream(spark, tmp_path):
 def test_watch_keeps_unchanged_documents_indexed(spark, tmp_path):
     folder, root, snap = corpus_folder(tmp_path), str(tmp_path / "root"), str(tmp_path / "snap")
     process = workflows.watch_process(spark, root, now)
-    stored = lambda: {r["file_path"].rsplit("/", 1)[-1] for r in spark.read.parquet(f"{root}/documents").collect()}
+    stored = lambda: {r["file_path"].rsplit("/", 1)[-1] for r in store.KeyedTable(spark, f"{root}/documents", "file_path", PATHS).read().collect()}
     watch.watch_cycle(spark, str(folder), snap, process)
     first = stored()
     assert len(first) > 1 and "a.txt" in first
