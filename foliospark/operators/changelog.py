@@ -16,8 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliospark.operators.store import KeyedTable
-from foliospark.staging import stage
+from foliospark.operators.store import DELETED, KeyedTable
 
 #: Columns of folded rows: the key's last change deletes it; what was stored before is void.
 GONE, RESET = "__gone", "__reset"
@@ -112,11 +111,7 @@ def merge(state: DataFrame, folded: DataFrame, key: str, rules: Rules) -> DataFr
     return both.select(key, *fields, GONE)
 
 
-def apply(table: KeyedTable, log: DataFrame, order: Column | str, rules: Rules, deleted: Column | str | None = None) -> None:
-    """Fold a batch of changes into a stored table. Batches come in order; each is a version or two."""
-    rows = stage(merge(table.read(), fold(log, table.key, order, rules, deleted), table.key, rules), "changes")
-    kept = rows.where(~F.col(GONE)).drop(GONE)
-    table.upsert(kept)
-    gone = rows.where(GONE).select(table.key)
-    if not gone.isEmpty():
-        table.delete(gone)
+def apply(table: KeyedTable, log: DataFrame, order: Column | str, rules: Rules, deleted: Column | str | None = None) -> int:
+    """Fold a batch of changes into a stored table, as one version. Batches come in order."""
+    rows = merge(table.read(), fold(log, table.key, order, rules, deleted), table.key, rules)
+    return table.apply(rows.withColumnRenamed(GONE, DELETED))

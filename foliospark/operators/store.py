@@ -160,8 +160,8 @@ class KeyedTable:
         laid.sortWithinPartitions(self.key).write.parquet(f"{self.path}/data/{name}")
         return {"name": name, "bytes": folder_bytes(self.spark, f"{self.path}/data/{name}")}
 
-    def _apply(self, rows: DataFrame) -> int:
-        """Commit changed rows as the next version and return its number."""
+    def apply(self, rows: DataFrame) -> int:
+        """Commit changed rows, those with a true ``__deleted`` as deletions, as the next version; returns its number."""
         version, runs = self._runs()
         runs.append(self._write(rows.select(self._typed.names)))
         first = len(runs) - 1
@@ -177,12 +177,12 @@ class KeyedTable:
 
     def upsert(self, rows: DataFrame) -> int:
         """Insert new keys and replace existing ones. ``rows`` must be unique on the key."""
-        return self._apply(rows.select(*self.schema.names, F.lit(False).alias(DELETED)))
+        return self.apply(rows.select(*self.schema.names, F.lit(False).alias(DELETED)))
 
     def delete(self, keys: DataFrame) -> int:
         """Delete keys; those that are not stored change nothing."""
         nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields if f.name != self.key]
-        return self._apply(keys.select(self.key).distinct().select(self.key, *nothing, F.lit(True).alias(DELETED)))
+        return self.apply(keys.select(self.key).distinct().select(self.key, *nothing, F.lit(True).alias(DELETED)))
 
     def vacuum(self, keep: int = 1) -> int:
         """Forget all but the newest ``keep`` versions and delete folders that none of them names.
