@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliospark.functions import text as tx
-from foliospark.operators import chunking, dedup
+from foliospark.operators import chunking, dedup, quantiles
 from foliospark.operators.skew import number_rows
 from foliospark.staging import stage
 
@@ -274,15 +274,8 @@ def summary(audited: DataFrame) -> DataFrame:
 
 
 def robust_stats(values: DataFrame, value: str) -> DataFrame:
-    """Median and MAD of an integer measure over the whole table.
-
-    The measure is first reduced to (value, frequency) with map-side combine, so
-    the exact percentile only ever sees the distinct values.
-    """
-    freq = values.groupBy(F.col(value).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    median = freq.agg(F.percentile("v", 0.5, F.col("n")).alias("m")).scalar()
-    return (
-        freq.withColumn("median", median)
-        .groupBy("median")
-        .agg(F.percentile(F.abs(F.col("v") - F.col("median")), 0.5, F.col("n")).alias("mad"))
-    )
+    """Median and MAD of an integer measure over the whole table, exact, without one task that holds its values."""
+    measured = stage(values.select(F.col(value).cast("long").alias("v")), "measure")
+    middle = quantiles.median(measured, "v")
+    spread = None if middle is None else quantiles.median(measured, F.abs(F.col("v") - F.lit(middle)))
+    return values.sparkSession.createDataFrame([(middle, spread)], "median double, mad double")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from foliospark.operators import quantiles
+
 # Reporting periods in hours.
 PERIOD_HOURS = {"last_1h": 1, "last_24h": 24, "last_7d": 168, "last_30d": 720}
 
@@ -33,12 +37,10 @@ def top_n(rows: DataFrame, label: str, limit: int = 5) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, value: str, percent: float) -> DataFrame:
-    """The ceil(p/100 * n)-th smallest value, one row.
-
-    Tasks count equal values (whole milliseconds, bounded by the run time-out) before
-    anything is sent; only those counts meet.
-    """
-    return values.agg(F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY `{value}`)").alias("p"))
+    """The ceil(p/100 * n)-th smallest value, one row; found by ``quantiles``, at any number of distinct values."""
+    found = quantiles.nearest_rank(values, value, percent)
+    kind = values.select(value).schema[0].dataType.simpleString()
+    return values.sparkSession.createDataFrame([(found,)], f"p {kind}")
 
 
 def dashboard(runs: DataFrame, tools: DataFrame) -> DataFrame:
@@ -186,3 +188,69 @@ def changed_fields(previous: DataFrame, current: DataFrame, key: str) -> DataFra
         ]
     )
     return p.join(n, key).select(key, F.inline(rows)).where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+# Minutes that a default rule looks back.
+RULE_WINDOWS = {"avg-latency-warning": 60, "p95-latency-critical": 60, "error-rate-warning": 60, "eval-score-critical": 1440}
+
+
+def windowed_metrics(runs: DataFrame, minutes: int, every: int) -> DataFrame:
+    """(tick, metric, value) of the runs of the last ``minutes`` before each tick; ticks come every ``every`` minutes.
+
+    A window holds runs from its start up to, not including, its tick. Latencies are those of
+    completed runs. Each run falls into minutes / every windows, whatever the table's size; the
+    rank is taken from the distinct latencies of one window. Windows without runs give no row.
+    """
+    completed = F.col("status") == "completed"
+    latency = F.when(completed, F.col("latency_ms"))
+    timed = runs.groupBy(F.window("created_at", f"{minutes} minutes", f"{every} minutes").alias("w")).agg(
+        F.avg(latency).alias("avg_latency_ms"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN status = 'completed' THEN latency_ms END)").alias("p95_latency_ms"),
+        (F.count_if(F.col("status") == "failed") / F.count(F.lit(1))).alias("error_rate"),
+        (F.count_if(F.col("guardrail_blocked")) / F.count(F.lit(1))).alias("guardrail_block_rate"),
+    )
+    names = ("avg_latency_ms", "p95_latency_ms", "error_rate", "guardrail_block_rate")
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+    return timed.select(F.col("w.end").alias("tick"), F.inline(pairs)).where(F.col("value").isNotNull())
+
+
+def message(severity_name: Column, name: Column, value: Column, operator: Column, threshold: Column) -> Column:
+    """[SEVERITY] rule: value operator threshold."""
+    return F.format_string("[%s] %s: %.2f %s %s", F.upper(severity_name), name, value, operator, threshold.cast("string"))
+
+
+def active_alerts(runs: DataFrame, rules: DataFrame, every: int = 60) -> DataFrame:
+    """Violations of the active rules at every tick, each over its own window, with severity and message.
+
+    ``rules`` also has ``is_active`` and ``window_minutes``; only the distinct window lengths are
+    brought to the driver, and the runs are read once for each.
+    """
+    live = rules.where("is_active")
+    lengths = [r[0] for r in live.select("window_minutes").distinct().orderBy("window_minutes").collect()]
+    parts = [windowed_metrics(runs, m, every).withColumn("window_minutes", F.lit(m)) for m in lengths]
+    if not parts:
+        parts = [windowed_metrics(runs.limit(0), every, every).withColumn("window_minutes", F.lit(0))]
+    met = reduce(DataFrame.unionByName, parts).join(live, ["metric", "window_minutes"])
+    m, v, t, op = F.col("metric"), F.col("value"), F.col("threshold"), F.col("operator")
+    level = severity(m, v, t)
+    return met.where(violated(op, v, t)).select(
+        "rule_id", "tick", "metric", "value", level.alias("severity"), message(level, F.col("rule_name"), v, op, t).alias("message")
+    )
+
+
+def outside_cooldown(fired: DataFrame, minutes: int) -> DataFrame:
+    """The alerts of a rule that are sent: the first, then each at least ``minutes`` after the last one sent.
+
+    Which one is sent depends on all before it, so a rule's ticks are walked in order inside
+    one row; a tick is eight bytes there, a year of hours 70 KB.
+    """
+    gap = minutes * 60_000_000
+    ticks = F.array_sort(F.collect_set(F.unix_micros(F.col("tick").cast("timestamp"))))
+    empty = F.array().cast("array<bigint>")
+    start = F.struct(empty.alias("sent"), F.lit(None).cast("bigint").alias("last"))
+    step = lambda s, at: F.when(
+        s["last"].isNull() | (at - s["last"] >= gap), F.struct(F.array_append(s["sent"], at).alias("sent"), at.alias("last"))
+    ).otherwise(s)
+    sent = fired.groupBy("rule_id").agg(ticks.alias("t")).select("rule_id", F.explode(F.aggregate("t", start, step)["sent"]).alias("at"))
+    timed = fired.withColumn("at", F.unix_micros(F.col("tick").cast("timestamp")))
+    return timed.join(sent, ["rule_id", "at"]).drop("at")

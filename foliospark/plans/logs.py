@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from foliospark.operators import changelog as cl, control, store, traces
-from foliospark.plans.operations import events
+from foliospark.plans.operations import EVENTS_SQL, agent_runs, events
 from foliospark.plans.registry import query
-from foliospark.staging import checkpoint_root
+from foliospark.staging import checkpoint_root, stage
 
 K_SQL = "ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 
@@ -107,3 +107,46 @@ def trace_tree(spark, sf):
         "run_id", "conversation", "started", F.coalesce(F.array_join(F.transform("steps", line), "|"), F.lit("")).alias("tree"),
         F.col("missing_calls").cast("long").alias("missing_calls"), F.array_join("missing_steps", ",").alias("missing_steps"),
     )
+
+
+# rule, name, metric, operator, threshold, window in minutes, active: the second is switched off, the fourth looks back further.
+ACTIVE_RULES = (
+    ("latency", "Latência média", "avg_latency_ms", "gt", 3000.0, 120, True),
+    ("quiet", "Erros", "error_rate", "gt", 0.0, 120, False),
+    ("errors", "Taxa de erro", "error_rate", "gte", 0.25, 120, True),
+    ("slow", "P95 latência", "p95_latency_ms", "gt", 9000.0, 360, True),
+    ("blocks", "Bloqueios", "guardrail_block_rate", "lt", 0.05, 360, True),
+)
+RULES_SQL = ", ".join(str(r).replace("True", "true").replace("False", "false") for r in ACTIVE_RULES)
+
+
+@query("alerts_active", f"""WITH RECURSIVE {EVENTS_SQL}, rules(rule_id, rule_name, metric, operator, threshold, minutes, is_active) AS (VALUES {RULES_SQL}),
+slots AS (SELECT DISTINCT minutes FROM rules WHERE is_active),
+spread AS (
+  SELECT minutes, status, latency_ms, guardrail_blocked, unnest(range(1, minutes // 60 + 1)) AS h, created_at FROM runs, slots),
+placed AS (SELECT *, date_trunc('hour', created_at) + h * INTERVAL 1 HOUR AS tick FROM spread),
+m AS (SELECT minutes, tick, avg(latency_ms) FILTER (status = 'completed') AS avg_latency_ms,
+  CAST(quantile_disc(latency_ms, 0.95) FILTER (status = 'completed') AS DOUBLE) AS p95_latency_ms,
+  count(*) FILTER (status = 'failed') / count(*) AS error_rate, count(*) FILTER (guardrail_blocked) / count(*) AS guardrail_block_rate
+  FROM placed GROUP BY ALL),
+u AS (UNPIVOT m ON avg_latency_ms, p95_latency_ms, error_rate, guardrail_block_rate INTO NAME metric VALUE value),
+f AS (SELECT rule_id, tick, metric, value, threshold, operator, rule_name,
+  CASE WHEN metric = 'p95_latency_ms' AND value > threshold * 1.5 THEN 'critical' WHEN metric = 'error_rate' AND value > 0.4 THEN 'critical'
+    WHEN value > threshold * 2 THEN 'critical' WHEN value > threshold * 1.2 THEN 'warning' ELSE 'info' END AS severity
+  FROM u JOIN rules USING (metric, minutes) WHERE is_active
+    AND CASE operator WHEN 'gt' THEN value > threshold WHEN 'gte' THEN value >= threshold ELSE value < threshold END),
+sent AS (SELECT rule_id, min(tick) AS tick FROM f GROUP BY rule_id
+  UNION ALL SELECT s.rule_id, (SELECT min(f.tick) FROM f WHERE f.rule_id = s.rule_id AND f.tick >= s.tick + INTERVAL 3 HOUR) AS tick FROM sent s WHERE s.tick IS NOT NULL)
+SELECT rule_id, epoch(tick)::BIGINT AS at, round(value, 6) AS value, severity,
+  '[' || upper(severity) || '] ' || rule_name || ': ' || printf('%.2f', round(value, 2)) || ' ' || operator || ' ' || CAST(CAST(threshold AS DOUBLE) AS VARCHAR) AS message
+FROM f JOIN sent USING (rule_id, tick)""")
+def alerts_active(spark, sf):
+    """Active rules over their own windows at every full hour, at most one alert in three hours for each rule."""
+    rules = spark.createDataFrame(
+        list(ACTIVE_RULES),
+        "rule_id string, rule_name string, metric string, operator string, threshold double, window_minutes int, is_active boolean",
+    )
+    fired = stage(control.active_alerts(agent_runs(spark, sf), rules), "fired")
+    return control.outside_cooldown(fired, 180).select(
+        "rule_id", F.unix_seconds(F.col("tick").cast("timestamp")).alias("at"), F.round("value", 6).alias("value"), "severity", "message"
+    )

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import changelog as cl, store, traces
+from foliospark.operators import changelog as cl, control, store, traces
 
 RULES = {"name": cl.Set(), "born": cl.SetOnce(), "n": cl.Add(), "tail": cl.Append(last=3), "all": cl.Append()}
 SCHEMA = "key string, at int, name string, born int, n long, tail string, all string, dead boolean"
@@ -63,3 +63,26 @@ def test_trace_trees_of_incomplete_logs(spark):
     assert [r["run_id"] for r in traces.of_run(runs, steps, calls, "r1").collect()] == ["r1"]
     assert sorted(r["run_id"] for r in traces.of_conversation(runs, steps, calls, "c1").collect()) == ["r1", "r2"]
     assert traces.trees(runs.limit(0), steps.limit(0), calls.limit(0)).count() == 0
+
+
+def test_cooldown_walks_a_rule_in_order(spark):
+    hours = {"a": [0, 1, 2, 3, 5, 6, 9], "b": [4], "c": []}
+    fired = spark.createDataFrame([(k, h, f"m{h}") for k, hs in hours.items() for h in hs], "rule_id string, h int, message string")
+    fired = fired.withColumn("tick", F.timestamp_seconds(F.col("h") * 3600))
+    sent = control.outside_cooldown(fired.repartition(3), 180)
+    assert sorted((r["rule_id"], r["h"]) for r in sent.collect()) == [("a", 0), ("a", 3), ("a", 6), ("a", 9), ("b", 4)]
+    assert control.outside_cooldown(fired.limit(0), 180).count() == 0 and control.outside_cooldown(fired, 0).count() == 8
+
+
+def test_rules_look_back_over_their_own_window(spark):
+    rows = [("00:30", "failed", 5), ("01:10", "completed", 100), ("01:59", "completed", 300), ("03:00", "completed", 50)]
+    runs = spark.createDataFrame(rows, "at string, status string, latency_ms long").select(
+        F.to_timestamp(F.concat(F.lit("2024-05-01 "), "at")).alias("created_at"), "status", "latency_ms", F.lit(False).alias("guardrail_blocked"))
+    rules = spark.createDataFrame(
+        [("e1", "Erros", "error_rate", "gt", 0.3, 60, True), ("e2", "Erros", "error_rate", "gt", 0.3, 120, True), ("off", "x", "error_rate", "gte", 0.0, 60, False),
+         ("l", "Lat", "avg_latency_ms", "gt", 150.0, 60, True)],
+        "rule_id string, rule_name string, metric string, operator string, threshold double, window_minutes int, is_active boolean")
+    got = {(r["rule_id"], r["tick"].hour): r for r in control.active_alerts(runs, rules).collect()}
+    assert set(got) == {("e1", 1), ("e2", 1), ("e2", 2), ("l", 2)}
+    assert got["l", 2]["message"] == "[WARNING] Lat: 200.00 gt 150.0" and round(got["e2", 2]["value"], 4) == 0.3333
+    assert control.active_alerts(runs, rules.where("NOT is_active")).count() == 0
