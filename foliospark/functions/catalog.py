@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 from typing import NamedTuple
 
@@ -157,9 +158,24 @@ def author_from_stem(stem: Column) -> Column:
     return tx.let(parts, pick)
 
 
-def metadata(path: Column | str, content: Column | str) -> Column:
-    """Struct with title, author, theme, stack, concepts, file_name and file_extension."""
+def metadata(path: Column | str, content: Column | str, declared: Column | None = None, fields: Collection[str] = ()) -> Column:
+    """Struct with title, author, theme, stack, concepts, file_name and file_extension.
+
+    ``declared`` is a struct of what a file says of itself; ``fields`` are those of the five
+    that it has. A declared value, trimmed, goes before the inferred one unless it is null or
+    blank; a declared list is an array of strings.
+    """
     p = tx.col(path)
+
+    def given(name: str, inferred: Column) -> Column:
+        if name not in fields:
+            return inferred
+        own = declared[name]
+        if name in ("stack", "concepts"):
+            own = normalize_list(own)
+            return F.when(F.size(own) > 0, own).otherwise(inferred)
+        return F.coalesce(F.nullif(tx.strip(own), F.lit("")), inferred)
+
     stem = tx.file_stem(p)
     prepared = tx.let(
         inference_text(p, content), lambda t: F.struct(t.alias("t"), spaced_words(t).alias("w"))
@@ -167,11 +183,11 @@ def metadata(path: Column | str, content: Column | str) -> Column:
     return tx.let(
         prepared,
         lambda b: F.struct(
-            humanized_title(stem).alias("title"),
-            author_from_stem(stem).alias("author"),
-            theme(b["t"]).alias("theme"),
-            matches(b["t"], b["w"], STACK, MAX_STACK).alias("stack"),
-            matches(b["t"], b["w"], CONCEPTS, MAX_CONCEPTS).alias("concepts"),
+            given("title", humanized_title(stem)).alias("title"),
+            given("author", author_from_stem(stem)).alias("author"),
+            given("theme", theme(b["t"])).alias("theme"),
+            given("stack", matches(b["t"], b["w"], STACK, MAX_STACK)).alias("stack"),
+            given("concepts", matches(b["t"], b["w"], CONCEPTS, MAX_CONCEPTS)).alias("concepts"),
             tx.file_name(p).alias("file_name"),
             tx.file_extension(p).alias("file_extension"),
         ),
@@ -200,8 +216,18 @@ def indexable_text(content: Column, catalog: Column) -> Column:
 
 
 def with_catalog(docs: DataFrame) -> DataFrame:
-    """Add ``metadata``, ``catalog_text`` and ``indexable`` to (file_path, content) rows."""
-    df = docs.withColumn("metadata", metadata("file_path", "content"))
+    """Add ``metadata``, ``catalog_text`` and ``indexable`` to (file_path, content) rows.
+
+    A struct column ``declared`` goes before what is inferred (see ``metadata``); a list in it
+    may be an array or one string divided by commas, semicolons or bars.
+    """
+    declared, fields = None, []
+    if "declared" in docs.columns:
+        kinds = {f.name: f.dataType.simpleString() for f in docs.schema["declared"].dataType.fields}
+        fields = [n for n in ("title", "author", "theme", "stack", "concepts") if n in kinds]
+        as_list = lambda n, c: split_list(c) if n in ("stack", "concepts") and kinds[n] == "string" else c
+        declared = F.struct(*[as_list(n, F.col(f"declared.{n}")).alias(n) for n in fields]) if fields else None
+    df = docs.withColumn("metadata", metadata("file_path", "content", declared, fields))
     df = df.withColumn("catalog_text", catalog_text(F.col("metadata")))
     return df.withColumn("indexable", indexable_text(F.col("content"), F.col("catalog_text")))
 

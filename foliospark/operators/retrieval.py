@@ -413,19 +413,43 @@ def confidence(ranked: DataFrame, queries: DataFrame | None = None) -> DataFrame
     )
 
 
-def answer_context(hits: DataFrame, chunks: DataFrame, documents: int = 3, excerpts: int = 3, chars: int = 500) -> DataFrame:
-    """Numbered prompt context per query: its best documents with their first matched excerpts.
+def answer_context(hits: DataFrame, chunks: DataFrame, docs: DataFrame, documents: int = 3, excerpts: int = 3, chars: int = 500) -> DataFrame:
+    """Prompt context per query from chunk hits: its best documents with their first matched excerpts."""
+    ranked = stage(chunk_hits_to_documents(hits).where(F.col("rank") <= documents), "context-documents")
+    found = matched_chunks(hits.join(ranked.select("query_id", "file_path"), ["query_id", "file_path"], "left_semi"), chunks, excerpts)
+    return context_blocks(ranked, found, docs, excerpts, chars)
+
 
-    A query contributes at most ``documents`` rows, so the list per query is bounded.
+def context_blocks(ranked: DataFrame, found: DataFrame, docs: DataFrame, excerpts: int = 3, chars: int = 500, whole: int = 1500) -> DataFrame:
+    """Numbered sources per query with score, metadata lines and evidence, white space squeezed.
+
+    ``ranked``: query_id, file_path, score, rank, a few rows per query and written before;
+    ``found``: query_id, file_path, matched_chunks; ``docs``: file_path, content, and ``declared``
+    metadata if there are any. A document without matched text shows its opening. Metadata
+    are inferred for the ranked documents only.
     """
-    ranked = chunk_hits_to_documents(hits).where(F.col("rank") <= documents)
-    found = matched_chunks(hits.join(ranked.select("query_id", "file_path"), ["query_id", "file_path"], "left_semi"), chunks, excerpts)
-    lines = F.transform("matched_chunks", lambda c: F.concat(F.lit("- "), F.substring(tx.strip(c), 1, chars)))
-    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] Arquivo: "), F.col("file_path"))
-    blocks = ranked.join(found, ["query_id", "file_path"]).select(
-        "query_id", "rank", F.concat_ws("\n", head, F.array_join(lines, "\n")).alias("block")
+    squeeze = lambda text: tx.strip(tx.collapse_ws(text))
+    mine = docs.join(bounded(ranked.select("file_path").distinct()), "file_path", "left_semi")
+    known = catalog.with_catalog(mine).select("file_path", "metadata", "content")
+    rows = ranked.join(known, "file_path").join(found, ["query_id", "file_path"], "left")
+    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy("rank", "file_path"))
+    full = F.slice(F.filter("matched_chunks", lambda c: squeeze(c) != ""), 1, excerpts)
+    shown = F.transform(full, lambda c, i: F.concat(F.lit("Trecho relevante "), i + 1, F.lit(": "), F.substring(squeeze(c), 1, chars)))
+    opening = F.concat(F.lit("Conteúdo recuperado: "), F.substring(squeeze(F.coalesce("content", F.lit(""))), 1, whole))
+    m = F.col("metadata")
+    line = lambda label, value: F.when(value != "", F.concat(F.lit(f"{label}: "), value))
+    block = F.concat_ws(
+        "\n",
+        F.concat(F.lit("[Fonte "), "place", F.lit("]")),
+        F.concat(F.lit("Arquivo: "), m["file_name"]),
+        F.concat(F.lit("Caminho: "), "file_path"),
+        F.format_string("Score: %.6f", F.col("score")),
+        line("Tema", m["theme"]),
+        line("Stack", F.array_join(m["stack"], ", ")),
+        line("Conceitos", F.array_join(m["concepts"], ", ")),
+        F.when(F.size(full) > 0, F.array_join(shown, "\n")).otherwise(opening),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "block")))
-    return blocks.groupBy("query_id").agg(
-        F.array_join(F.transform(ordered, lambda b: b["block"]), "\n\n---\n\n").alias("context")
+    ordered = F.array_sort(F.collect_list(F.struct("place", block.alias("block"))))
+    return rows.withColumn("place", place).groupBy("query_id").agg(
+        F.array_join(F.transform(ordered, lambda b: b["block"]), "\n\n").alias("context")
     )

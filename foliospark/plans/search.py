@@ -103,6 +103,25 @@ def catalog_metadata(spark, sf):
     )
 
 
+@query("catalog_declared", f"""WITH {CORPUS_SQL}, {META_SQL}
+SELECT m.file_path, CASE WHEN doc_id % 3 = 0 THEN 'Manual ' || doc_id ELSE title END AS title,
+  CASE WHEN doc_id % 5 = 0 THEN m.source ELSE theme END AS theme,
+  CASE WHEN doc_id % 4 = 0 THEN 'spark,' || lang ELSE array_to_string(stack, ',') END AS stack
+FROM meta m JOIN (SELECT doc_id, lang FROM corpus) USING (doc_id)""")
+def catalog_declared(spark, sf):
+    """What a file declares goes before what is inferred; blank declarations do not."""
+    number = F.col("doc_id")
+    declared = F.struct(
+        F.when(number % 3 == 0, F.concat(F.lit("  Manual "), number, F.lit(" "))).alias("title"),
+        F.when(number % 5 == 0, F.col("source")).otherwise(" ").alias("theme"),
+        F.when(number % 4 == 0, F.concat(F.lit("spark; "), "lang", F.lit(" |spark,"))).otherwise(" ,").alias("stack"),
+    )
+    m = F.col("metadata")
+    return catalog.with_catalog(corpus(spark, sf).withColumn("declared", declared)).select(
+        "file_path", m["title"].alias("title"), m["theme"].alias("theme"), F.array_join(m["stack"], ",").alias("stack")
+    )
+
+
 @query("catalog_theme", f"""WITH {CORPUS_SQL}, {META_SQL}
 SELECT coalesce(theme, 'sem_tema') AS label, count(*) AS documents FROM meta GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def catalog_theme(spark, sf):

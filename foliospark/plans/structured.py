@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import json_schema
 from foliospark.operators import chunking, retrieval
-from foliospark.plans.corpus import CHUNKS_SQL, STRIP
+from foliospark.plans.corpus import CHUNKS_SQL, SQUEEZE, STRIP
 from foliospark.plans.registry import CORPUS_SQL, corpus, query, spread, table
-from foliospark.plans.search import TOP_K, benchmark_queries, fts_sql
+from foliospark.plans.search import META_SQL, TOP_K, benchmark_queries, fts_sql
 from foliospark.sources.documents import flattened_json
 from foliospark.staging import stage
 
@@ -63,11 +63,17 @@ def matched_chunks(spark, sf):
     )
 
 
-@query("prompt_context", f"""{HITS_SQL},
-d AS (SELECT query_id, file_path, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS pos FROM fts_top GROUP BY query_id, file_path),
-b AS (SELECT query_id, pos, '[' || pos || '] Arquivo: ' || file_path || chr(10) ||
-        string_agg('- ' || substring(text, 1, 500), chr(10) ORDER BY rank) AS block
-      FROM kept JOIN d USING (query_id, file_path) WHERE pos <= 3 GROUP BY query_id, pos, file_path)
-SELECT query_id, sha256(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos)) AS context_sha FROM b GROUP BY 1""")
+LINE_SQL = "CASE WHEN {1} <> '' THEN '{0}: ' || {1} END"
+
+
+@query("prompt_context", f"""{HITS_SQL}, {META_SQL},
+d AS (SELECT query_id, file_path, max(abs(score)) AS score, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS pos FROM fts_top GROUP BY query_id, file_path),
+x AS (SELECT query_id, file_path, string_agg('Trecho relevante ' || rn || ': ' || substring({STRIP(SQUEEZE('text'))}, 1, 500), chr(10) ORDER BY rn) AS lines FROM kept GROUP BY ALL),
+b AS (SELECT query_id, pos, concat_ws(chr(10), '[Fonte ' || pos || ']', 'Arquivo: ' || regexp_extract(file_path, '[^/]*$'), 'Caminho: ' || file_path,
+        'Score: ' || printf('%.6f', score), {LINE_SQL.format('Tema', 'theme')}, {LINE_SQL.format('Stack', "array_to_string(stack, ', ')")},
+        {LINE_SQL.format('Conceitos', "array_to_string(concepts, ', ')")}, lines) AS block
+      FROM d JOIN x USING (query_id, file_path) JOIN meta USING (file_path) WHERE pos <= 3)
+SELECT query_id, sha256(string_agg(block, chr(10) || chr(10) ORDER BY pos)) AS context_sha FROM b GROUP BY 1""")
 def prompt_context(spark, sf):
-    return retrieval.answer_context(*chunk_hits(spark, sf)).select("query_id", F.sha2("context", 256).alias("context_sha"))
+    hits, chunks = chunk_hits(spark, sf)
+    return retrieval.answer_context(hits, chunks, corpus(spark, sf)).select("query_id", F.sha2("context", 256).alias("context_sha"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import changelog as cl, control, store, traces
+from foliospark.operators import changelog as cl, control, retrieval, store, traces
 
 RULES = {"name": cl.Set(), "born": cl.SetOnce(), "n": cl.Add(), "tail": cl.Append(last=3), "all": cl.Append()}
 SCHEMA = "key string, at int, name string, born int, n long, tail string, all string, dead boolean"
@@ -86,3 +86,13 @@ def test_rules_look_back_over_their_own_window(spark):
     assert set(got) == {("e1", 1), ("e2", 1), ("e2", 2), ("l", 2)}
     assert got["l", 2]["message"] == "[WARNING] Lat: 200.00 gt 150.0" and round(got["e2", 2]["value"], 4) == 0.3333
     assert control.active_alerts(runs, rules.where("NOT is_active")).count() == 0
+
+
+def test_prompt_blocks_show_metadata_and_fall_back_to_the_opening(spark):
+    docs = spark.createDataFrame([("d/a.txt", "a", ("T", "spark,sql")), ("d/b.txt", "  long\n text " + "x" * 2000, (None, None))], "file_path string, content string, d struct<theme:string,stack:string>")
+    ranked = spark.createDataFrame([(1, "d/a.txt", 2.5, 1), (1, "d/b.txt", 1.0, 2)], "query_id long, file_path string, score double, rank int")
+    found = spark.createDataFrame([(1, "d/a.txt", ["x  y\n z", " ", "w" * 600])], "query_id long, file_path string, matched_chunks array<string>")
+    context = retrieval.context_blocks(ranked, found, docs.withColumnRenamed("d", "declared")).first()["context"]
+    first, second = context.split("\n\n")
+    assert first.split("\n") == ["[Fonte 1]", "Arquivo: a.txt", "Caminho: d/a.txt", "Score: 2.500000", "Tema: T", "Stack: spark, sql", "Trecho relevante 1: x y z", "Trecho relevante 2: " + "w" * 500]
+    assert second.split("\n")[-1] == "Conteúdo recuperado: " + ("long text " + "x" * 2000)[:1500]
