@@ -202,7 +202,7 @@ def _block(windows: DataFrame):
 
 
 def matches(
-    docs: DataFrame, windows: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", slop: int = 0
+    docs: DataFrame, windows: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", slop: int = 0, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, matches).
 
@@ -212,7 +212,10 @@ def matches(
     """
     context = docs.sparkSession.sparkContext
     windows = scratch.put(windows, "windows")
-    blocks = max(1, -(-windows.count() // BLOCK))
+    blocks = max(1, -(-windows.count() // block))
+    if blocks > 1:
+        # Rows are numbered by place of reading. Every block must read the same places, so they are written once.
+        docs = scratch.put(docs.select(key, text), "documents")
     documents = found = None
     for b in range(blocks):
         vocabulary, arrays = _block(windows.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b))
