@@ -33,6 +33,11 @@ def free_name(taken: DataFrame | list[str], base: str) -> str:
     return base
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def remainder(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % F.lit(modulus)

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from foliospark.llm.common import WORD, Scratch, free_name
+from foliospark.llm.common import WORD, Scratch, columns_of, free_name
 
 #: Share of the largest possible entropy that the mixture should have, and epochs of a source at most.
 ENTROPY = 0.95
@@ -175,18 +175,18 @@ def mix(
     shares = scratch.put(allotted(sources, solve(sources, entropy, repeats, budget)), "shares")
     plan = scratch.put(plan_blocks(sized, shares), "plan")
     scratch.clear(shares, plan)
-    name = free_name(docs, "mix")
-    own = shares.select(F.col("source").alias("__mix_s"), F.col("blocks").alias("__mix_n"))
-    columns = [docs[c] for c in docs.columns]
-    rows = docs.select(*columns, F.struct(F.col(source).cast("string").alias("source"), place_of(key).alias("place")).alias(name))
-    rows = rows.join(own, rows[name]["source"].eqNullSafe(own["__mix_s"])).drop("__mix_s")
-    here = block_of(rows[name]["place"], rows["__mix_n"])
-    steps = plan.select(*[F.col(c).alias(f"__mix_{c}") for c in plan.columns])
+    name, share, step = (free_name(docs, n) for n in ("mix", "mix_share", "mix_step"))
+    place = F.struct(F.col(source).cast("string").alias("source"), place_of(key).alias("place"))
+    own = shares.select(F.struct("source", "blocks").alias(share))
+    steps = plan.select(F.struct("source", "block", "epoch", "block_order", "cut").alias(step))
+    placed = docs.select(*columns_of(docs), place.alias(name))
+    rows = placed.join(own, F.col(name)["source"].eqNullSafe(F.col(share)["source"]))
+    here = block_of(F.col(name)["place"], F.col(share)["blocks"])
     found = rows.join(
-        steps, rows[name]["source"].eqNullSafe(steps["__mix_source"]) & (here == steps["__mix_block"])
-    ).where(F.col("__mix_cut").isNull() | (F.col(name)["place"] <= F.col("__mix_cut")))
+        steps, F.col(name)["source"].eqNullSafe(F.col(step)["source"]) & (here == F.col(step)["block"])
+    ).where(F.col(step)["cut"].isNull() | (F.col(name)["place"] <= F.col(step)["cut"]))
     struct = F.struct(
-        F.col(name)["source"].alias("source"), n_tokens(text).alias("tokens"), F.col("__mix_epoch").alias("epoch"),
-        F.col("__mix_block").alias("block"), F.col("__mix_block_order").alias("block_order"),
+        F.col(name)["source"].alias("source"), n_tokens(text).alias("tokens"),
+        *[F.col(step)[c].alias(c) for c in ("epoch", "block", "block_order")],
     )
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], struct.alias(name)), shares, name
+    return found.select(*columns_of(docs), struct.alias(name)), shares, name
