@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from foliospark.llm import (
     chat, components, decontamination, html, language, licences, mixing, quality, simhash, suffix_tree, toxicity,
@@ -79,10 +80,80 @@ def test_near_duplicates_match_brute_force(spark):
     assert [got[i + 1].fingerprint for i in range(len(texts))] == [f"{p:016x}" for p in prints]
     assert [got[i + 1].component_id for i in range(len(texts))] == [x + 1 for x in labels]
     assert got[1].n_linked == Counter(labels)[labels[0]]
-    kept = simhash.keep_one(documents(spark, texts))
+    kept = simhash.keep_one(documents(spark, texts), radius=3, most=192)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({x + 1 for x in labels}) and kept.columns == documents(spark, []).columns
 
 
+def plain_words(text):
+    """All three words of the fingerprint, by plain integers."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    full, out = (1 << 64) - 1, []
+    for word in range(3):
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        if word:
+            hashes = [h ^ (word * 0x9E3779B97F4A7C15 & full) for h in hashes]
+            hashes = [(h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full for h in hashes]
+            hashes = [(h ^ h >> 27) * 0x94D049BB133111EB & full for h in hashes]
+            hashes = [h ^ h >> 31 for h in hashes]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return out
+
+
+def plain_near(texts):
+    """The place of the first text of each text's group of near copies."""
+    found = [plain_words(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            apart = [(a ^ b).bit_count() for a, b in zip(found[i], found[j], strict=True)]
+            if (apart[0] == 0 or apart[0] <= 8 and sum(apart) <= 27) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def edited(rng, base, edits):
+    copy = list(base)
+    for _ in range(edits):
+        copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10**6)}"
+    return copy
+
+
+def test_near_copies_are_found_as_brute_force_finds_them(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts, families = [], []
+    for family in range(40):
+        base = rng.choices(vocabulary, k=300)
+        for _ in range(5):
+            texts.append(" ".join(edited(rng, base, rng.randint(0, 5))))
+            families.append(family)
+    for _ in range(40):  # a third of the words changed: not a near copy
+        texts.append(" ".join(edited(rng, texts[0].split(), 100)))
+        families.append(-len(texts))
+    label = plain_near(texts)
+    kept = sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect())
+    assert kept == sorted({x + 1 for x in label})
+    copies = [i for i in range(200) if families.index(families[i]) != i]
+    assert sum(i + 1 not in kept for i in copies) >= 0.9 * len(copies)
+    assert all(families[label[i]] == families[i] for i in range(len(texts)))
+
+
+def test_any_radius_and_number_of_ranges_gives_the_same_links(spark):
+    rng = random.Random(4)
+    prints = sorted({rng.choice((0x0F0F << 20, 0x3333 << 30)) ^ sum(1 << b for b in rng.sample(range(62), 5)) for _ in range(150)})
+    table, scratch = spark.createDataFrame([(p,) for p in prints], "print bigint"), Scratch(spark, "test")
+    for radius, agree in ((5, 2), (7, 2), (5, 3), (5, 1)):
+        edges = simhash.linked(table, scratch, radius=radius, agree=agree, tile=32)
+        found = {r.node: r.component for r in components.components(edges, scratch).collect()}
+        labels = plain_components(prints, radius)
+        groups = {}
+        for p, x in zip(prints, labels, strict=True):
+            groups.setdefault(x, set()).add(p)
+        assert all({found.get(p, p) for p in g} == {min(g)} for g in groups.values())
+
+
 def test_large_files_are_cut_into_tiles_without_losing_links(spark):
     rng = random.Random(3)
     prints = sorted({1 << 40 ^ sum(1 << b for b in rng.sample(range(20), rng.randint(0, 4))) for _ in range(300)} | {rng.getrandbits(63) for _ in range(50)})
@@ -219,6 +290,20 @@ def test_proximity_matches_allow_moved_words(spark):
         assert {r.id for r in rows.join(found, "row").collect()} == want
 
 
+def test_blocks_of_windows_see_the_same_rows(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefgh", k=40)) for _ in range(60)] + [None]
+    shuffled = documents(spark, texts).repartition(5, F.rand())  # every reading deals the rows anew
+    items = [(str(k), " ".join(rng.choices("abcdefgh", k=4))) for k in range(30)]
+    windows = decontamination.benchmark_windows(spark.createDataFrame(items, "item_id string, text string"))
+    rows, found = decontamination.matches(shuffled, windows, Scratch(spark, "test"), block=7)
+    got = {}
+    for r in rows.join(found, "row").collect():
+        got.setdefault(r.id, set()).add(r["item"])
+    want = {i + 1: set(plain_hits(t, items)[2]) for i, t in enumerate(texts)}
+    assert got == {i: found for i, found in want.items() if found}
+
+
 # -- licences ---------------------------------------------------------------------------
 
 
@@ -418,3 +503,10 @@ def test_mixture_keeps_budgets_and_repeats(spark):
     again, _, _ = mixing.mix(docs, entropy=0.9)
     assert sorted(map(str, again.collect())) == sorted(map(str, mixed.collect()))
     assert mixing.mix(docs.limit(0))[0].count() == 0
+
+
+def test_mixture_with_clashing_and_dotted_names(spark):
+    docs = documents(spark, ["a b c", "d e", None, ""], sources=["x", "y", "x", None])
+    odd = docs.selectExpr("*", "1 AS `a.b`", "2 AS `__mix_n`", "3 AS mix", "4 AS mix_share", "5 AS MIX_STEP", "6 AS `tick``s`")
+    mixed, _, name = mixing.mix(odd)
+    assert mixed.columns == [*odd.columns, name] and {r["a.b"] for r in mixed.collect()} == {1}
