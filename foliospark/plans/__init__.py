@@ -6,7 +6,7 @@ import importlib
 
 from foliospark.plans.registry import ORACLES, QUERIES
 
-MODULES = ("corpus", "search", "operations", "assistant", "tables", "quality", "structured", "runs", "logs")
+MODULES = ("corpus", "search", "operations", "assistant", "tables", "quality", "structured", "runs", "logs", "marked")
 
 
 def load_all():
