@@ -4,8 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions import catalog, guardrails as gr, text as tx
-from foliospark.operators import chunking
+from foliospark.functions import catalog, guardrails as gr, text as tx, words
+from foliospark.operators import audit, chunking
 
 
 def one(spark, expr, **values):
@@ -163,3 +163,36 @@ def test_guardrails_and_routing(spark):
     actions = ["enviar_relatorio", "criar_ticket"]
     assert one(spark, gr.select_action("t", actions), t="Por favor criar ticket já") == "criar_ticket"
     assert one(spark, gr.select_action("t", actions), t="nada a ver") is None
+
+
+def test_python_text_rules_are_those_of_the_columns(spark):
+    texts = [
+        "Σας ΣΑΣ straße ſoß İx ǅ ﬁ", "x²³ ①② 12³ १२३ x_1_y", "\x1c a\x85b c \xa0d", "", "page 3 of 9 Índice", "\n \n# a\n \t\nb\n\n\n c\r\n\r\nd",
+        "uma linha\nUma  LINHA \n\noutra", "word " * 400 + "\n\n" + "five six seven eight nine ten " * 60, "1234567 " * 30 + "a b c d e",
+        "# T\x01x\ncorpo " + "longo texto aqui com palavras " * 50 + "\n## U\n###### V w\nfim", "copyright " + "alfa beta gama delta " * 9,
+    ]
+    rows = [(f"{k}{e}", e, t) for k, t in enumerate(texts) for e in (".txt", ".md")] + [("null.txt", ".txt", None), ("null.md", ".md", None)]
+    df = spark.createDataFrame(rows, "file_path string, file_extension string, content string")
+    c = F.col("content")
+    for made in df.select("content", tx.tokens(c), tx.folded_tokens(c), tx.search_tokens(c), tx.letters(c), tx.digits(c)).where(c.isNotNull()).collect():
+        rules = (words.tokens, words.folded_tokens, words.search_tokens, words.letters, words.digits)
+        assert [f(made[0]) for f in rules] == list(made[1:])
+    plain = chunking.with_windows(df, "content", "file_extension", "w").select(
+        "file_path", F.array_distinct(F.filter("w", lambda w: chunking.quality_reason(w).isNull())).alias("chunks")
+    )
+    assert sorted(chunking.with_chunks(df).select("file_path", "chunks").collect()) == sorted(plain.collect())
+    stripped = tx.strip(F.coalesce("content", F.lit("")))
+    candidates = audit.signature_candidates(tx.folded_tokens(stripped))
+    want = df.select(
+        "file_path", tx.fingerprint(F.coalesce("content", F.lit(""))), audit.repetition_ratio(tx.lines(stripped)),
+        F.size(tx.folded_tokens(stripped)), tx.top_terms(tx.term_counts(candidates), audit.SIGNATURE_TERMS),
+    )
+    got = audit.document_features(df).select("file_path", "fingerprint", "repetition_ratio", "token_count", "signature_terms")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_text_goes_to_python_once(spark):
+    df = spark.createDataFrame([("a", ".txt", "text " * 50)], "file_path string, file_extension string, content string")
+    found = audit.document_features(df).where(F.size("signature_terms") > 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [_text_features") == 1 and found.count() == 1
