@@ -5,8 +5,8 @@
 * ``files``: (position, file_path, has_word, ...) with positions in path order;
 * for each field (documents or chunks under one tokeniser) ``blocks``: rows (segment, term)
   with up to ``BLOCK`` postings as arrays: document numbers as differences, term
-  frequencies, lengths, and places of the term as differences. They are sorted by term
-  inside term buckets, so a search reads the row groups of its own terms;
+  frequencies, lengths, and places of the term as differences, written by the task that
+  holds the segment;
 * ``terms`` (term, df), ``spectrum`` (df, number of terms) and ``totals``;
 * ``stems`` (stem, term), where ``write_stems`` was called: the vocabulary by stem.
 
@@ -26,20 +26,19 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from foliospark.functions import stemming, text as tx
+from foliospark.functions import stemming, text as tx, words
 from foliospark.operators import chunking, retrieval as rt
 from foliospark.staging import stage
 
 BLOCK = 128
 CHUNK_BITS = 20
 #: Files of a segment and rows of a partition, as powers of two.
-SEGMENT_BITS, PARTITION_BITS = 14, 22
+SEGMENT_BITS, PARTITION_BITS = 13, 22
 #: Tokens that a task holds while it inverts them.
 HELD = 1 << 22
-#: Postings of a term bucket, of one file in it, and the fewest that are worth a file.
-BUCKET_POSTINGS, FILE_POSTINGS, LEAST_POSTINGS = 1 << 26, 1 << 22, 1 << 16
 
 _BLOCKS = (
     "segment bigint, term string, n int, docs array<bigint>, tfs array<int>, lens array<int>, places array<int>"
@@ -51,15 +50,15 @@ class Field:
     """What is indexed: whole documents (column ``content``) or the array column ``chunks``."""
 
     name: str
-    tokens: Callable[[Column], Column]
+    tokens: Callable[[str], list[str]]
     chunked: bool = False
     blank: bool = True  # rows without a token count as documents
 
 
-DOCUMENTS = Field("documents", tx.tokens, blank=False)
-FOLDED_DOCUMENTS = Field("folded_documents", tx.folded_tokens)
-CHUNKS = Field("chunks", tx.search_tokens, chunked=True)
-FOLDED_CHUNKS = Field("folded_chunks", tx.folded_tokens, chunked=True)
+DOCUMENTS = Field("documents", words.tokens, blank=False)
+FOLDED_DOCUMENTS = Field("folded_documents", words.folded_tokens)
+CHUNKS = Field("chunks", words.search_tokens, chunked=True)
+FOLDED_CHUNKS = Field("folded_chunks", words.folded_tokens, chunked=True)
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -144,46 +143,64 @@ def _invert(block: int):
     return run
 
 
-def write(docs: DataFrame, path: str, fields: Sequence[Field], keep: Sequence[str] = (), block: int = BLOCK, segment_bits: int = SEGMENT_BITS) -> None:
-    """Lay out (file_path, content and/or chunks) under ``path``; ``keep`` columns go to ``files``. Paths are unique."""
+def _tokens(field: Field, text: str) -> Column:
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else field.tokens(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>").asNondeterministic()(text)
+
+
+def write(
+    docs: DataFrame, path: str, fields: Sequence[Field], keep: Sequence[str] = (), block: int = BLOCK, segment_bits: int = SEGMENT_BITS,
+    derive: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Lay out (file_path, content and/or chunks) under ``path``; ``keep`` columns go to ``files``. Paths are unique.
+
+    ``derive`` makes the rows to index of those of ``docs``, one by one; it is applied once, after
+    they are ordered. Without chunks the content is chunked by its ``file_extension``, without
+    content it is the chunks joined by blank lines. ``add_field`` indexes more fields later.
+    """
     spark = docs.sparkSession
-    columns = [c for c in ("content", "chunks") if c in docs.columns]
-    # Written before it is ordered: a range partitioning reads its input twice.
-    given = stage(docs.select("file_path", *keep, *columns), "index-texts")
-    ordered = given.repartitionByRange("file_path").sortWithinPartitions("file_path")
+    ordered = docs.repartitionByRange("file_path").sortWithinPartitions("file_path")
+    ordered = derive(ordered) if derive else ordered
+    columns = [c for c in ("content", "chunks", "file_extension") if c in ordered.columns]
     serial = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     fits = F.assert_true(serial < 1 << PARTITION_BITS, F.lit("too many files in a partition; raise spark.sql.shuffle.partitions"))
     position = F.shiftleft(F.spark_partition_id().cast("bigint"), PARTITION_BITS) + serial + F.coalesce(fits.cast("bigint"), F.lit(0))
-    numbered = stage(ordered.withColumn("position", position), "index-rows")
-    worded = F.col("content").rlike(tx.HAS_WORD) if "content" in columns else F.lit(True)
+    ordered.select("file_path", *keep, *columns).withColumn("position", position).write.mode("overwrite").parquet(f"{path}/rows")
+    numbered = spark.read.parquet(f"{path}/rows")
+    content = F.col("content") if "content" in columns else F.array_join("chunks", "\n\n")
+    worded = content.rlike(tx.HAS_WORD)
     numbered.select("position", "file_path", worded.alias("has_word"), *keep).write.mode("overwrite").parquet(f"{path}/files")
     for field in fields:
-        if field.chunked:
-            rows = numbered.select("position", F.posexplode("chunks").alias("chunk", "text"))
-        else:
-            rows = numbered.select("position", F.lit(0).alias("chunk"), F.col("content").alias("text"))
-        rows = rows.select(
-            F.shiftright("position", segment_bits).alias("segment"),
-            (F.shiftleft("position", CHUNK_BITS) + F.col("chunk")).alias("doc"),
-            field.tokens(F.col("text")).alias("tokens"),
-        )
-        root, seen = f"{path}/{field.name}", Observation()
-        counted = F.count(F.lit(1)) if field.blank else F.count_if(F.size("tokens") > 0)
-        rows = rows.observe(seen, counted.alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total"))
-        found = stage(rows.mapInArrow(_invert(block), _BLOCKS), "index-blocks")
-        totals = spark.createDataFrame([(seen.get["rows"], seen.get["total"])], "rows bigint, total bigint")
-        totals.coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
-        postings = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        buckets = max(1, postings // BUCKET_POSTINGS)
-        tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), postings // LEAST_POSTINGS)
-        files = max(1, min(postings, BUCKET_POSTINGS) // FILE_POSTINGS, tasks // buckets)
-        bucket, part = F.pmod(F.xxhash64("term"), F.lit(buckets)), F.pmod(F.hash("segment"), F.lit(files))
-        laid = found.withColumn("bucket", bucket).repartition(F.col("bucket"), part).sortWithinPartitions("bucket", "term", "segment")
-        laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/blocks")
-        terms = found.groupBy("term").agg(F.sum("n").alias("df"))
-        terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/terms")
-        spectrum = spark.read.parquet(f"{root}/terms").groupBy("df").agg(F.count(F.lit(1)).alias("terms"))
-        spectrum.coalesce(1).write.mode("overwrite").parquet(f"{root}/spectrum")
+        add_field(spark, path, field, block, segment_bits)
+
+
+def add_field(spark: SparkSession, path: str, field: Field, block: int = BLOCK, segment_bits: int = SEGMENT_BITS) -> None:
+    """Index a field of the rows that ``write`` has laid out. A task writes the blocks of its segments; no posting is shuffled."""
+    rows = spark.read.parquet(f"{path}/rows")
+    if field.chunked:
+        chunked = rows if "chunks" in rows.columns else chunking.with_chunks(rows)
+        # The outer form: see chunking.explode_chunks.
+        rows = chunked.select("position", F.posexplode_outer("chunks").alias("chunk", "text")).where(F.col("chunk").isNotNull())
+    else:
+        content = F.col("content") if "content" in rows.columns else F.array_join("chunks", "\n\n")
+        rows = rows.select("position", F.lit(0).alias("chunk"), content.alias("text"))
+    rows = rows.select(
+        F.shiftright("position", segment_bits).alias("segment"),
+        (F.shiftleft("position", CHUNK_BITS) + F.col("chunk")).alias("doc"),
+        _tokens(field, "text").alias("tokens"),
+    )
+    root, seen = f"{path}/{field.name}", Observation()
+    counted = F.count(F.lit(1)) if field.blank else F.count_if(F.size("tokens") > 0)
+    rows = rows.observe(seen, counted.alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total"))
+    rows.mapInArrow(_invert(block), _BLOCKS).write.mode("overwrite").parquet(f"{root}/blocks")
+    totals = spark.createDataFrame([(seen.get["rows"], seen.get["total"])], "rows bigint, total bigint")
+    totals.coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
+    terms = spark.read.schema(_BLOCKS).parquet(f"{root}/blocks").groupBy("term").agg(F.sum("n").alias("df"))
+    terms.write.mode("overwrite").parquet(f"{root}/terms")
+    spectrum = spark.read.parquet(f"{root}/terms").groupBy("df").agg(F.count(F.lit(1)).alias("terms"))
+    spectrum.coalesce(1).write.mode("overwrite").parquet(f"{root}/spectrum")
 
 
 def write_stems(index: Index, field: Field) -> None:
@@ -265,9 +282,12 @@ class Postings:
         ``weights``: (query_id, term, weight). ``grouped`` scores files by their best chunk.
         """
         asked = weights.groupBy("term").agg(F.collect_list(F.struct("query_id", "weight")).alias("asked"))
-        dealt = blocks.join(asked, "term").repartition("segment").sortWithinPartitions("segment")
+        kept = blocks.join(asked.select("term"), "term", "left_semi").select("segment", "term", "docs", "tfs", "lens")
+        # The queries of a term go once to each segment that has it, not with every block.
+        lists = kept.select("segment", "term").distinct().join(asked, "term")
+        dealt = kept.unionByName(lists, allowMissingColumns=True).repartition("segment").sortWithinPartitions("segment", "term")
         kind = weights.schema["query_id"].dataType.simpleString()
-        rows = dealt.select("segment", "docs", "tfs", "lens", "asked")
+        rows = dealt.select("segment", "term", "docs", "tfs", "lens", "asked")
         return rows.mapInArrow(_score(k1, b, self.average, limit, grouped), f"query_id {kind}, doc bigint, score double")
 
 
@@ -356,42 +376,57 @@ def rounded(values: np.ndarray) -> np.ndarray:
 def _score(k1: float, b: float, average: float, limit: int | None, grouped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 1):
-            differences, sizes = _flat(table, "docs")
-            docs = _sums(differences, sizes)
-            tfs = _flat(table, "tfs")[0].astype(np.float64)
-            lens = _flat(table, "lens")[0].astype(np.float64)
+            posted = table.filter(table["docs"].is_valid())
+            lists = table.filter(table["asked"].is_valid())
+            differences, sizes = _flat(posted, "docs")
+            numbers, local = np.unique(_sums(differences, sizes), return_inverse=True)
+            tfs = _flat(posted, "tfs")[0].astype(np.float64)
+            lens = _flat(posted, "lens")[0].astype(np.float64)
             norm = 1.0 - b + (b * lens / average if average else 0.0)
             base = tfs * (k1 + 1.0) / (tfs + k1 * norm)
-            numbers, local = np.unique(docs, return_inverse=True)
+            # The postings of a term lie side by side, each document once.
+            named = posted["term"].combine_chunks().dictionary_encode()
+            named = named if isinstance(named, pa.Array) else named.chunk(0)
+            code = named.indices.to_numpy()
             stops = np.cumsum(sizes)
-            asked = table["asked"].combine_chunks()
+            starts = stops - sizes
+            heads = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            spans = [slice(i, j) for i, j in zip(starts[heads].tolist(), np.append(starts[heads[1:]], stops[-1]).tolist(), strict=True)]
+            own = pa.compute.index_in(lists["term"].combine_chunks(), named.dictionary)
+            own = own if isinstance(own, pa.Array) else own.chunk(0)
+            asked = lists["asked"].combine_chunks()
             asked = asked if isinstance(asked, pa.Array) else asked.chunk(0)
-            owner = np.repeat(np.arange(len(sizes)), asked.value_lengths().to_numpy())
+            owner = np.repeat(own.to_numpy(), asked.value_lengths().to_numpy())
             flat = asked.flatten()
             weight = flat.field(1).to_numpy()
             coded = flat.field(0).dictionary_encode()
             query = coded.indices.to_numpy()
             order = np.argsort(query, kind="stable")
-            ids, at, scores = [], [], []
+            scores, touched = np.zeros(len(numbers)), np.zeros(len(numbers), bool)
+            ids, at, best = [], [], []
             for rows in np.split(order, np.flatnonzero(np.diff(query[order])) + 1):
-                spans = [slice(stops[k] - sizes[k], stops[k]) for k in owner[rows].tolist()]
-                spots = np.concatenate([local[s] for s in spans])
-                parts = np.concatenate([base[s] * w for s, w in zip(spans, weight[rows].tolist(), strict=True)])
-                touched = np.unique(spots)
-                total = rounded(np.bincount(spots, parts, len(numbers))[touched])
-                number = numbers[touched]
+                scores[:], touched[:] = 0.0, False
+                for term, w in zip(owner[rows].tolist(), weight[rows].tolist(), strict=True):
+                    spots = local[spans[term]]
+                    scores[spots] += base[spans[term]] * w
+                    touched[spots] = True
+                total, number = scores[touched], numbers[touched]
                 if grouped:  # the best chunk of each file; files are runs
                     file = number >> CHUNK_BITS
-                    starts = np.flatnonzero(np.append(True, file[1:] != file[:-1]))
-                    total, number = np.maximum.reduceat(total, starts), file[starts]
+                    first = np.flatnonzero(np.append(True, file[1:] != file[:-1]))
+                    total, number = np.maximum.reduceat(total, first), file[first]
+                if limit is not None and len(total) > limit:  # only those that rounding can bring among the best are sorted
+                    least = np.partition(total, len(total) - limit)[len(total) - limit] - 2 * 10.0**-rt.DIGITS
+                    total, number = total[total >= least], number[total >= least]
+                total = rounded(total)
                 if limit is not None and len(total) > limit:
                     keep = np.lexsort((number, -total))[:limit]
                     total, number = total[keep], number[keep]
                 ids.append(np.full(len(total), query[rows[0]]))
                 at.append(number)
-                scores.append(total)
+                best.append(total)
             names = coded.dictionary.take(pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate(at)), pa.array(np.concatenate(scores))], ["query_id", "doc", "score"])
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate(at)), pa.array(np.concatenate(best))], ["query_id", "doc", "score"])
 
     return run
 

@@ -44,7 +44,7 @@ BM_ONLY_SQL = METRICS_SQL.replace("judged", "bjudged").replace("per AS", "bper A
 
 
 def both_reports(spark, sf):
-    docs = search_index.rank_documents(text_index(spark, sf), benchmark_queries(spark, sf), TOP_K)
+    docs = search_index.rank_documents(text_index(spark, sf, search_index.DOCUMENTS), benchmark_queries(spark, sf), TOP_K)
     current = stage(evaluation.query_metrics(docs, expected_files(spark, sf)), "metrics-now")
     return current, stage(ir_metrics(spark, sf), "metrics-before")
 

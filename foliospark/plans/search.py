@@ -13,31 +13,39 @@ from foliospark.plans.registry import CORPUS_SQL, corpus, query, spread, table
 from foliospark.staging import checkpoint_root
 
 TOP_K = 5
-#: Indexes written by this session: (application, tables, kind) -> path.
+#: Indexes written by this session: (application, tables, kind) -> path, and their fields: (path, field).
 _WRITTEN: dict[tuple[str, str, str], str] = {}
+_FIELDS: set[tuple[str, str]] = set()
 
 
-def _index(spark, sf: str, kind: str, docs, fields, keep=()) -> search_index.Index:
-    """The index of a corpus; written at its first use, later searches of the session read it."""
+def _index(spark, sf: str, kind: str, fields, docs, keep=(), derive=None) -> search_index.Index:
+    """The index of a corpus; written at its first use, later searches of the session read it. Fields are added when first searched."""
     name = (spark.sparkContext.applicationId, sf, kind)
     if name not in _WRITTEN:
         path = f"{checkpoint_root(spark)}/foliospark/index-{kind}-{uuid.uuid4().hex}"
-        search_index.write(docs(), path, fields, keep)
+        search_index.write(docs, path, (), keep, derive=derive)
         _WRITTEN[name] = path
-    return search_index.Index(spark, _WRITTEN[name])
+    path = _WRITTEN[name]
+    for field in fields:
+        if (path, field.name) not in _FIELDS:
+            search_index.add_field(spark, path, field)
+            _FIELDS.add((path, field.name))
+    return search_index.Index(spark, path)
 
 
-def text_index(spark, sf) -> search_index.Index:
-    """Texts and their chunks as they are."""
-    docs = lambda: chunking.with_chunks(corpus(spark, sf)).select("file_path", "content", "chunks")
-    fields = (search_index.DOCUMENTS, search_index.FOLDED_DOCUMENTS, search_index.CHUNKS, search_index.FOLDED_CHUNKS)
-    return _index(spark, sf, "texts", docs, fields)
+TEXT_FIELDS = (search_index.DOCUMENTS, search_index.FOLDED_DOCUMENTS, search_index.CHUNKS, search_index.FOLDED_CHUNKS)
+
+
+def text_index(spark, sf, *fields: search_index.Field) -> search_index.Index:
+    """Texts and their chunks as they are; all fields if none is named."""
+    docs = corpus(spark, sf).select("file_path", "file_extension", "content")
+    return _index(spark, sf, "texts", fields or TEXT_FIELDS, docs)
 
 
 def store_index(spark, sf) -> search_index.Index:
     """Stored documents: chunks with the catalogue header, and the documents they add up to."""
-    docs = lambda: index.with_content(index.stored_documents(corpus(spark, sf)))
-    return _index(spark, sf, "store", docs, (search_index.DOCUMENTS, search_index.CHUNKS), ("metadata",))
+    docs = corpus(spark, sf).select("file_path", "file_extension", "content")
+    return _index(spark, sf, "store", (search_index.DOCUMENTS, search_index.CHUNKS), docs, ("metadata",), index.stored_documents)
 
 
 def quoted(text: str) -> str:
@@ -239,7 +247,7 @@ SELECT query_id, file_path, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) AS rank FROM bm WHERE score <> 0)
 WHERE rank <= {TOP_K}""")
 def bm25_documents(spark, sf):
-    return search_index.rank_documents(text_index(spark, sf), benchmark_queries(spark, sf), TOP_K)
+    return search_index.rank_documents(text_index(spark, sf, search_index.DOCUMENTS), benchmark_queries(spark, sf), TOP_K)
 
 
 @query("bm25_simple_documents", f"""WITH {CORPUS_SQL}, docs AS (SELECT file_path, content FROM corpus),
@@ -254,7 +262,7 @@ SELECT query_id, file_path, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) AS rank FROM bm)
 WHERE rank <= {TOP_K}""")
 def bm25_simple_documents(spark, sf):
-    return search_index.rank_simple(text_index(spark, sf), benchmark_queries(spark, sf), TOP_K)
+    return search_index.rank_simple(text_index(spark, sf, search_index.FOLDED_DOCUMENTS), benchmark_queries(spark, sf), TOP_K)
 
 
 def stems_sql(source: str) -> str:
@@ -292,7 +300,7 @@ SELECT query_id, file_path, score, rank FROM (
 WHERE rank <= {TOP_K}""")
 def fts_stemmed(spark, sf):
     """Text search by Portuguese stems over the stored index; the vocabulary is stemmed once."""
-    opened = text_index(spark, sf)
+    opened = text_index(spark, sf, search_index.DOCUMENTS)
     name = (spark.sparkContext.applicationId, sf, "stems")
     if name not in _WRITTEN:
         search_index.write_stems(opened, search_index.DOCUMENTS)
@@ -313,7 +321,7 @@ SELECT query_id, file_path, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) AS rank FROM best)
 WHERE rank <= 3""")
 def bm25_chunks(spark, sf):
-    return search_index.search_relevant_documents(text_index(spark, sf), benchmark_queries(spark, sf), 3)
+    return search_index.search_relevant_documents(text_index(spark, sf, search_index.FOLDED_CHUNKS), benchmark_queries(spark, sf), 3)
 
 
 FTS_TOKENS = lambda x: (
@@ -348,7 +356,7 @@ fts_top AS (
 stripped AS (SELECT item_id AS query_id, text AS q FROM benchmark), {fts_sql('stripped', 'q')}
 SELECT query_id, file_path, chunk_index, score, rank FROM fts_top""")
 def fts_chunks(spark, sf):
-    hits = search_index.search_chunks(text_index(spark, sf), benchmark_queries(spark, sf), TOP_K * retrieval.OVERFETCH)
+    hits = search_index.search_chunks(text_index(spark, sf, search_index.CHUNKS), benchmark_queries(spark, sf), TOP_K * retrieval.OVERFETCH)
     return hits.select(
         "query_id", "file_path", F.col("chunk_index").cast("long").alias("chunk_index"), "score", "rank"
     )

@@ -128,3 +128,31 @@ def test_stemmed_search_finds_inflected_forms(spark, tmp_path):
     n, df, total = 6, 4, 5 + 4 + 2 + 3 + 3 + 3
     idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
     assert got[1]["g"] == pytest.approx(idf * 3 * 2.5 / (3 + 1.5 * (0.25 + 0.75 * 3 / (total / n))), abs=1e-6)
+
+
+def test_queries_go_once_to_each_segment_of_a_term(spark, index, monkeypatch):
+    def counting(*_):
+        def run(batches):
+            import pyarrow as pa
+
+            for table in si._groups(batches, 1):
+                asked = sum(len(x) for x in table["asked"].to_pylist() if x)
+                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([asked]), pa.array([0.0])], ["query_id", "doc", "score"])
+
+        return run
+
+    monkeypatch.setattr(si, "_score", counting)
+    postings = index.field(si.DOCUMENTS)
+    blocks = postings.blocks.where("term = 'common'")
+    weights = spark.createDataFrame([(k, "common", 1.0) for k in range(50)], "query_id bigint, term string, weight double")
+    sent = postings.best(blocks, weights, 1.5, 0.75, 3).agg(F.sum("doc")).first()[0]
+    assert sent == 50 * blocks.select("segment").distinct().count() < 50 * blocks.count()
+
+
+def test_fields_are_added_to_a_written_index(spark, corpus, chunked, queries, tmp_path):
+    made = chunking.with_chunks(corpus)
+    si.write(corpus, str(tmp_path / "a"), ())
+    si.write(made.select("file_path", "content", "chunks"), str(tmp_path / "b"), (si.CHUNKS,))
+    si.add_field(spark, str(tmp_path / "a"), si.CHUNKS)
+    found = [rows(si.search_chunks(si.Index(spark, str(tmp_path / x)), queries, 5), "query_id", "file_path", "chunk_index", "score", "rank") for x in "ab"]
+    assert found[0] == found[1] and found[0]
