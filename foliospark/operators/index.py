@@ -25,8 +25,8 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def stored_documents(docs: DataFrame) -> DataFrame:
-    """Rows as the index keeps them: metadata, catalogue header, content hash and chunks.
+def stored_documents(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows as the index keeps them: metadata, catalogue header, content hash and chunks, and the columns ``keep``.
 
     No shuffle: one row in, one row out. The text is stored once, as its chunks.
     """
@@ -39,6 +39,7 @@ def stored_documents(docs: DataFrame) -> DataFrame:
         "catalog_text",
         F.sha2(F.concat("indexable", F.lit("\n"), F.to_json("metadata")), 256).alias("content_hash"),
         chunking.or_blank_chunk("chunks").alias("chunks"),
+        *keep,
     )
 
 

@@ -8,10 +8,11 @@
   frequencies, lengths, and places of the term as differences, written by the task that
   holds the segment;
 * ``terms`` (term, df), ``spectrum`` (df, number of terms) and ``totals``;
+* ``repeats`` (segment, position, first): rows whose path an earlier row has, with the first of that path;
 * ``stems`` (stem, term), where ``write_stems`` was called: the vocabulary by stem.
 
 A document number is ``position << CHUNK_BITS | chunk``: numbers follow paths, so ties need
-no look-up, and a segment is a range of positions. A search joins the blocks of the wanted
+no look-up, and a segment is a range of positions; all rows of a path are in one. A search joins the blocks of the wanted
 terms with the queries that ask for them and deals them out by segment. A task adds up all
 contributions to its own documents and returns the best few per query, so what is shuffled
 afterwards is a few rows per query and segment. Phrases are found by intersecting places
@@ -27,10 +28,11 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from foliospark.functions import stemming, text as tx, words
 from foliospark.operators import chunking, retrieval as rt
+from foliospark.operators.index import bounded
 from foliospark.staging import stage
 
 BLOCK = 128
@@ -39,6 +41,8 @@ CHUNK_BITS = 20
 SEGMENT_BITS, PARTITION_BITS = 13, 22
 #: Tokens that a task holds while it inverts them.
 HELD = 1 << 22
+#: Tokens that it holds as Python strings.
+PIECE = 1 << 18
 
 _BLOCKS = (
     "segment bigint, term string, n int, docs array<bigint>, tfs array<int>, lens array<int>, places array<int>"
@@ -143,31 +147,74 @@ def _invert(block: int):
     return run
 
 
-def _tokens(field: Field, text: str) -> Column:
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else field.tokens(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+def _lay_out(field: Field, block: int, texts_of: Callable[[str | list[str] | None, str | None], list[str]]):
+    """Rows (segment, position, text, extension) in order -> blocks, then (term null, n: rows counted, docs: [tokens])."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = total = 0
+
+        def tokenised() -> Iterator[pa.RecordBatch]:
+            nonlocal counted, total
+            segments, docs, tokens, size = [], [], [], 0
+            for batch in batches:
+                columns = (batch.column(k).to_pylist() for k in range(4))
+                for segment, position, text, extension in zip(*columns, strict=True):
+                    for chunk, part in enumerate(texts_of(text, extension)):
+                        found = field.tokens(part)
+                        segments.append(segment)
+                        docs.append(position << CHUNK_BITS | chunk)
+                        tokens.append(found)
+                        size += len(found)
+                        counted += field.blank or bool(found)
+                    if size >= PIECE or len(docs) >= PIECE:
+                        total += size
+                        yield _rows(segments, docs, tokens)
+                        segments, docs, tokens, size = [], [], [], 0
+            total += size
+            yield _rows(segments, docs, tokens)
+
+        yield from _invert(block)(tokenised())
+        none = [pa.array([None], pa.list_(pa.int32()))] * 3
+        columns = [pa.array([0], pa.int64()), pa.array([None], pa.string()), pa.array([counted], pa.int32()), pa.array([[total]], pa.list_(pa.int64())), *none]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _BLOCKS.split(", ")])
+
+    return run
+
+
+def _whole(text: str | None, extension: str | None) -> list[str]:
+    return [text or ""]
+
+
+def _given(chunks: list[str] | None, extension: str | None) -> list[str]:
+    return chunks or []
 
-    return F.arrow_udf(run, "array<string>").asNondeterministic()(text)
+
+def _rows(segments: list[int], docs: list[int], tokens: list[list[str]]) -> pa.RecordBatch:
+    columns = [pa.array(segments, pa.int64()), pa.array(docs, pa.int64()), pa.array(tokens, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, ["segment", "doc", "tokens"])
 
 
 def write(
     docs: DataFrame, path: str, fields: Sequence[Field], keep: Sequence[str] = (), block: int = BLOCK, segment_bits: int = SEGMENT_BITS,
-    derive: Callable[[DataFrame], DataFrame] | None = None,
+    derive: Callable[[DataFrame, Sequence[str]], DataFrame] | None = None,
 ) -> None:
-    """Lay out (file_path, content and/or chunks) under ``path``; ``keep`` columns go to ``files``. Paths are unique.
+    """Lay out (file_path, content and/or chunks) under ``path``; ``keep`` columns go to ``files``. Rows of one path lie side by side.
 
-    ``derive`` makes the rows to index of those of ``docs``, one by one; it is applied once, after
-    they are ordered. Without chunks the content is chunked by its ``file_extension``, without
+    ``derive`` makes the rows to index of those of ``docs``, one by one, and keeps the columns it is
+    given; it is applied once, after they are ordered. Without chunks the content is chunked by its ``file_extension``, without
     content it is the chunks joined by blank lines. ``add_field`` indexes more fields later.
     """
     spark = docs.sparkSession
     ordered = docs.repartitionByRange("file_path").sortWithinPartitions("file_path")
-    ordered = derive(ordered) if derive else ordered
-    columns = [c for c in ("content", "chunks", "file_extension") if c in ordered.columns]
     serial = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     fits = F.assert_true(serial < 1 << PARTITION_BITS, F.lit("too many files in a partition; raise spark.sql.shuffle.partitions"))
     position = F.shiftleft(F.spark_partition_id().cast("bigint"), PARTITION_BITS) + serial + F.coalesce(fits.cast("bigint"), F.lit(0))
-    ordered.select("file_path", *keep, *columns).withColumn("position", position).write.mode("overwrite").parquet(f"{path}/rows")
+    # Ranges of paths, sorted: the window moves and sorts nothing.
+    first = F.min("position").over(Window.partitionBy("file_path"))
+    placed = ordered.withColumn("position", position).withColumn("first", first)
+    placed = derive(placed, ("position", "first")) if derive else placed
+    columns = [c for c in ("content", "chunks", "file_extension") if c in placed.columns]
+    placed.select("file_path", *keep, *columns, "position", "first").write.mode("overwrite").parquet(f"{path}/rows")
     numbered = spark.read.parquet(f"{path}/rows")
     content = F.col("content") if "content" in columns else F.array_join("chunks", "\n\n")
     worded = content.rlike(tx.HAS_WORD)
@@ -179,22 +226,22 @@ def write(
 def add_field(spark: SparkSession, path: str, field: Field, block: int = BLOCK, segment_bits: int = SEGMENT_BITS) -> None:
     """Index a field of the rows that ``write`` has laid out. A task writes the blocks of its segments; no posting is shuffled."""
     rows = spark.read.parquet(f"{path}/rows")
-    if field.chunked:
-        chunked = rows if "chunks" in rows.columns else chunking.with_chunks(rows)
-        # The outer form: see chunking.explode_chunks.
-        rows = chunked.select("position", F.posexplode_outer("chunks").alias("chunk", "text")).where(F.col("chunk").isNotNull())
-    else:
-        content = F.col("content") if "content" in rows.columns else F.array_join("chunks", "\n\n")
-        rows = rows.select("position", F.lit(0).alias("chunk"), content.alias("text"))
-    rows = rows.select(
-        F.shiftright("position", segment_bits).alias("segment"),
-        (F.shiftleft("position", CHUNK_BITS) + F.col("chunk")).alias("doc"),
-        _tokens(field, "text").alias("tokens"),
-    )
     root, seen = f"{path}/{field.name}", Observation()
-    counted = F.count(F.lit(1)) if field.blank else F.count_if(F.size("tokens") > 0)
-    rows = rows.observe(seen, counted.alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total"))
-    rows.mapInArrow(_invert(block), _BLOCKS).write.mode("overwrite").parquet(f"{root}/blocks")
+    segment = F.shiftright("first", segment_bits).alias("segment")
+    rows.where("position <> first").select(segment, "position", "first").write.mode("overwrite").parquet(f"{root}/repeats")
+    if not field.chunked:
+        text = F.col("content") if "content" in rows.columns else F.array_join("chunks", "\n\n")
+        texts_of = _whole
+    elif "chunks" in rows.columns:
+        text, texts_of = F.col("chunks"), _given
+    else:  # cut, split and inverted by one pass over the text
+        text, texts_of = F.col("content"), chunking.chunks_of
+    extension = F.col("file_extension") if "file_extension" in rows.columns else F.lit(None).cast("string")
+    laid = rows.select(segment, "position", text.alias("text"), extension.alias("extension")).mapInArrow(_lay_out(field, block, texts_of), _BLOCKS)
+    counts = F.col("term").isNull()
+    summed = lambda value: F.coalesce(F.sum(F.when(counts, value).cast("long")), F.lit(0).cast("long"))
+    laid = laid.observe(seen, summed(F.col("n")).alias("rows"), summed(F.get("docs", F.lit(0))).alias("total"))
+    laid.where(~counts).write.mode("overwrite").parquet(f"{root}/blocks")
     totals = spark.createDataFrame([(seen.get["rows"], seen.get["total"])], "rows bigint, total bigint")
     totals.coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
     terms = spark.read.schema(_BLOCKS).parquet(f"{root}/blocks").groupBy("term").agg(F.sum("n").alias("df"))
@@ -216,6 +263,7 @@ class Index:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.files = spark.read.parquet(f"{path}/files")
+        self.rows = spark.read.parquet(f"{path}/rows")
 
     def field(self, field: Field) -> Postings:
         return Postings(self, field.name)
@@ -230,6 +278,7 @@ class Postings:
         self.index, self.root = index, root
         self.blocks = index.spark.read.schema(_BLOCKS).parquet(f"{root}/blocks")  # an empty one has no file to tell
         self.terms = read.parquet(f"{root}/terms")
+        self.repeats = read.parquet(f"{root}/repeats")
         self.rows, self.total = read.parquet(f"{root}/totals").first()
 
     @property
@@ -276,18 +325,23 @@ class Postings:
         dealt = met.repartition("segment", "stem").sortWithinPartitions("segment", "stem")
         return dealt.mapInArrow(_merge, "segment bigint, term string, n int, docs array<bigint>, tfs array<int>, lens array<int>")
 
-    def best(self, blocks: DataFrame, weights: DataFrame, k1: float, b: float, limit: int | None, grouped: bool = False) -> DataFrame:
+    def best(
+        self, blocks: DataFrame, weights: DataFrame, k1: float, b: float, limit: int | None, grouped: bool = False, merged: bool = False
+    ) -> DataFrame:
         """(query_id, doc, score): the ``limit`` best of each segment (None: all that have a term).
 
-        ``weights``: (query_id, term, weight). ``grouped`` scores files by their best chunk.
+        ``weights``: (query_id, term, weight). ``grouped`` scores files by their best chunk;
+        ``merged`` adds up the scores of rows that have one path (and chunk number).
         """
         asked = weights.groupBy("term").agg(F.collect_list(F.struct("query_id", "weight")).alias("asked"))
         kept = blocks.join(asked.select("term"), "term", "left_semi").select("segment", "term", "docs", "tfs", "lens")
         # The queries of a term go once to each segment that has it, not with every block.
         lists = kept.select("segment", "term").distinct().join(asked, "term")
-        dealt = kept.unionByName(lists, allowMissingColumns=True).repartition("segment").sortWithinPartitions("segment", "term")
+        parts = kept.unionByName(lists, allowMissingColumns=True)
+        if merged:
+            parts = parts.unionByName(self.repeats, allowMissingColumns=True)
+        rows = parts.repartition("segment").sortWithinPartitions("segment", "term")
         kind = weights.schema["query_id"].dataType.simpleString()
-        rows = dealt.select("segment", "term", "docs", "tfs", "lens", "asked")
         return rows.mapInArrow(_score(k1, b, self.average, limit, grouped), f"query_id {kind}, doc bigint, score double")
 
 
@@ -373,18 +427,34 @@ def rounded(values: np.ndarray) -> np.ndarray:
     return np.sign(values) * np.floor(np.abs(values) * scale + 0.5) / scale
 
 
+def _firsts(numbers: np.ndarray, positions: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Document numbers with repeated positions replaced by the first of their path."""
+    order = np.argsort(positions)
+    positions, firsts = positions[order], firsts[order]
+    position = numbers >> CHUNK_BITS
+    at = np.minimum(np.searchsorted(positions, position), len(positions) - 1)
+    moved = (firsts[at] << CHUNK_BITS) | (numbers & ((1 << CHUNK_BITS) - 1))
+    return np.where(positions[at] == position, moved, numbers)
+
+
 def _score(k1: float, b: float, average: float, limit: int | None, grouped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 1):
             posted = table.filter(table["docs"].is_valid())
             lists = table.filter(table["asked"].is_valid())
+            if not posted.num_rows:  # repeated paths without any of the terms
+                continue
             differences, sizes = _flat(posted, "docs")
-            numbers, local = np.unique(_sums(differences, sizes), return_inverse=True)
+            numbers = _sums(differences, sizes)
+            repeats = table.filter(table["first"].is_valid()) if "first" in table.column_names else table[:0]
+            if repeats.num_rows:
+                numbers = _firsts(numbers, repeats["position"].to_numpy(), repeats["first"].to_numpy())
+            numbers, local = np.unique(numbers, return_inverse=True)
             tfs = _flat(posted, "tfs")[0].astype(np.float64)
             lens = _flat(posted, "lens")[0].astype(np.float64)
             norm = 1.0 - b + (b * lens / average if average else 0.0)
             base = tfs * (k1 + 1.0) / (tfs + k1 * norm)
-            # The postings of a term lie side by side, each document once.
+            # The postings of a term lie side by side, each document once, or one path several times.
             named = posted["term"].combine_chunks().dictionary_encode()
             named = named if isinstance(named, pa.Array) else named.chunk(0)
             code = named.indices.to_numpy()
@@ -399,7 +469,7 @@ def _score(k1: float, b: float, average: float, limit: int | None, grouped: bool
             owner = np.repeat(own.to_numpy(), asked.value_lengths().to_numpy())
             flat = asked.flatten()
             weight = flat.field(1).to_numpy()
-            coded = flat.field(0).dictionary_encode()
+            coded = flat.field(0).dictionary_encode(null_encoding="encode")
             query = coded.indices.to_numpy()
             order = np.argsort(query, kind="stable")
             scores, touched = np.zeros(len(numbers)), np.zeros(len(numbers), bool)
@@ -408,7 +478,10 @@ def _score(k1: float, b: float, average: float, limit: int | None, grouped: bool
                 scores[:], touched[:] = 0.0, False
                 for term, w in zip(owner[rows].tolist(), weight[rows].tolist(), strict=True):
                     spots = local[spans[term]]
-                    scores[spots] += base[spans[term]] * w
+                    if repeats.num_rows:
+                        np.add.at(scores, spots, base[spans[term]] * w)
+                    else:
+                        scores[spots] += base[spans[term]] * w
                     touched[spots] = True
                 total, number = scores[touched], numbers[touched]
                 if grouped:  # the best chunk of each file; files are runs
@@ -444,20 +517,31 @@ def _named(scored: DataFrame, index: Index, position: Column) -> DataFrame:
     return scored.withColumn("position", position).join(index.files.select("position", "file_path"), "position").drop("position")
 
 
-def search_chunks(index: Index, queries: DataFrame, limit: int, query: str = "query", field: Field = CHUNKS) -> DataFrame:
-    """Top chunks per query (query_id, file_path, chunk_index, score, rank); underscored tokens are phrases."""
+def search_chunks(
+    index: Index, queries: DataFrame, limit: int, query: str = "query", field: Field = CHUNKS, merged: bool = False
+) -> DataFrame:
+    """Top chunks per query (query_id, file_path, chunk_index, score, rank); underscored tokens are phrases.
+
+    With ``merged`` the rows of a repeated path are one document, as in ``retrieval.search_chunks``.
+    """
     postings = index.field(field)
     wanted = stage(rt.phrase_terms(queries, query), "query-phrases")
     blocks, counts = postings.of_terms(wanted)
     df = F.col("df")
     idf = F.log((postings.rows - df + 0.5) / (df + 0.5))
     weights = _weights(counts, wanted, F.when(idf <= 0, 1e-6).otherwise(idf))
-    best = stage(_top(postings.best(blocks, weights, 1.2, 0.75, limit), limit), "chunk-hits")
+    best = stage(_top(postings.best(blocks, weights, 1.2, 0.75, limit, merged=merged), limit), "chunk-hits")
     chunk = F.col("doc").bitwiseAND((1 << CHUNK_BITS) - 1).cast("int")
     named = _named(best, index, F.shiftright("doc", CHUNK_BITS))
     return named.select("query_id", "file_path", chunk.alias("chunk_index"), "score", "rank")
 
 
+def hit_files(index: Index, hits: DataFrame) -> DataFrame:
+    """Stored rows of the files among ``hits`` (file_path, ...); no other text is moved or written."""
+    paths = bounded(hits.select("file_path").distinct())
+    return stage(index.rows.drop("position", "first").join(paths, "file_path", "left_semi"), "hit-files")
+
+
 def rank_simple(index: Index, queries: DataFrame, limit: int, field: Field = FOLDED_DOCUMENTS) -> DataFrame:
     """Document ranking with the smoothed idf; documents that share no term are left out."""
     postings = index.field(field)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.functions import json_schema
-from foliospark.operators import chunking, retrieval
+from foliospark.operators import chunking, retrieval, search_index
 from foliospark.plans.corpus import CHUNKS_SQL, SQUEEZE, STRIP
 from foliospark.plans.registry import CORPUS_SQL, corpus, query, spread, table
-from foliospark.plans.search import META_SQL, TOP_K, benchmark_queries, fts_sql
+from foliospark.plans.search import META_SQL, TOP_K, benchmark_queries, fts_sql, text_index
 from foliospark.sources.documents import flattened_json
 from foliospark.staging import stage
 
@@ -48,15 +48,22 @@ kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file
 
 
 def chunk_hits(spark, sf):
-    chunks = stage(chunking.explode_chunks(chunking.with_chunks(corpus(spark, sf)), "file_path"), "chunks")
-    hits = stage(retrieval.search_chunks(chunks, benchmark_queries(spark, sf), TOP_K * retrieval.OVERFETCH), "hits")
-    return hits, chunks
+    """Best chunks per query from the stored index, and the files that have them; only those are chunked again."""
+    opened = text_index(spark, sf, search_index.CHUNKS)
+    found = search_index.search_chunks(opened, benchmark_queries(spark, sf), TOP_K * retrieval.OVERFETCH, merged=True)
+    hits = stage(found, "hits")
+    return hits, search_index.hit_files(opened, hits)
+
+
+def chunk_texts(files):
+    return chunking.explode_chunks(chunking.with_chunks(files), "file_path")
 
 
 @query("matched_chunks", f"""{HITS_SQL}
 SELECT query_id, file_path, count(*) AS excerpts, sha256(string_agg(text, '|' ORDER BY rank)) AS text_sha FROM kept GROUP BY ALL""")
 def matched_chunks(spark, sf):
-    found = retrieval.matched_chunks(*chunk_hits(spark, sf))
+    hits, files = chunk_hits(spark, sf)
+    found = retrieval.matched_chunks(hits, chunk_texts(files))
     return found.select(
         "query_id", "file_path", F.size("matched_chunks").cast("long").alias("excerpts"),
         F.sha2(F.array_join("matched_chunks", "|"), 256).alias("text_sha"),
@@ -75,5 +82,5 @@ b AS (SELECT query_id, pos, concat_ws(chr(10), '[Fonte ' || pos || ']', 'Arquivo
       FROM d JOIN x USING (query_id, file_path) JOIN meta USING (file_path) WHERE pos <= 3)
 SELECT query_id, sha256(string_agg(block, chr(10) || chr(10) ORDER BY pos)) AS context_sha FROM b GROUP BY 1""")
 def prompt_context(spark, sf):
-    hits, chunks = chunk_hits(spark, sf)
-    return retrieval.answer_context(hits, chunks, corpus(spark, sf)).select("query_id", F.sha2("context", 256).alias("context_sha"))
+    hits, files = chunk_hits(spark, sf)
+    return retrieval.answer_context(hits, chunk_texts(files), files).select("query_id", F.sha2("context", 256).alias("context_sha"))

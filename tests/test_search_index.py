@@ -156,3 +156,57 @@ def test_fields_are_added_to_a_written_index(spark, corpus, chunked, queries, tm
     si.add_field(spark, str(tmp_path / "a"), si.CHUNKS)
     found = [rows(si.search_chunks(si.Index(spark, str(tmp_path / x)), queries, 5), "query_id", "file_path", "chunk_index", "score", "rank") for x in "ab"]
     assert found[0] == found[1] and found[0]
+
+
+def test_rows_of_one_path_are_one_document_of_the_merged_search(spark, tmp_path):
+    texts = [f"common alpha w{k % 5} gamma_ray beta{k % 3}" for k in range(30)]
+    names = [None if k % 7 == 3 else f"d/{k % 9}.txt" for k in range(30)]
+    docs = spark.createDataFrame([(p, t, [t, f"common w{k % 4} alpha alpha"]) for k, (p, t) in enumerate(zip(names, texts, strict=True))],
+                                 "file_path string, content string, chunks array<string>").repartition(4)
+    si.write(docs, str(tmp_path), (si.CHUNKS,), block=2, segment_bits=1)
+    index = si.Index(spark, str(tmp_path))
+    asked = spark.createDataFrame([(1, "alpha w1"), (2, "gamma_ray common"), (None, "beta2 w3"), (4, "zzz")], "query_id bigint, query string")
+    columns = ("query_id", "file_path", "chunk_index", "score", "rank")
+    key = lambda r: tuple((v is not None, v or 0) if not isinstance(v, str) else (True, v) for v in r)
+    found = lambda df: sorted((tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect()), key=key)
+    want = found(retrieval.search_chunks(chunking.explode_chunks(docs, "file_path"), asked, 6))
+    assert found(si.search_chunks(index, asked, 6, merged=True)) == want and {r[0] for r in want} == {1, 2, None}
+    assert len({r[:3] for r in want}) == len(want) and any(r[1] is None for r in want)
+    # All rows of a path are in one segment, though positions are numbered on.
+    rows_of = spark.read.parquet(f"{tmp_path}/rows")
+    assert rows_of.select("position").distinct().count() == 30
+    assert rows_of.groupBy("file_path").agg(F.count_distinct("first").alias("n")).where("n > 1").count() == 0
+
+
+def test_excerpts_come_from_the_stored_index_and_only_hit_files_are_read_again(spark, tmp_path):
+    from foliospark.plans import structured
+
+    rng = random.Random(9)
+    words = [f"word{k}" for k in range(400)]
+    long = [(k, " ".join(rng.choices(words, k=300)), "en", f"s{k % 3}", 0) for k in range(150)]
+    long += [long[5], long[7], (151, None, "en", "s1", 0), (152, long[8][1], "en", None, 0)]
+    spark.createDataFrame(long, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, "word3 word5 word9"), (2, "word17"), (3, "nothing"), (4, None), (4, "word20 word21")]
+    spark.createDataFrame(asked, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hits, files = structured.chunk_hits(spark, str(tmp_path))
+    paths = hits.select("file_path").where("file_path IS NOT NULL").distinct().count()
+    assert files.select("file_path").distinct().count() == paths < 100  # all texts were cut and written before
+    chunks = chunking.explode_chunks(chunking.with_chunks(structured.corpus(spark, str(tmp_path))), "file_path")
+    scanned = retrieval.search_chunks(chunks, structured.benchmark_queries(spark, str(tmp_path)), 20).localCheckpoint()
+    columns = ("query_id", "file_path", "excerpts", "text_sha")
+    want = retrieval.matched_chunks(scanned, chunks).select(
+        "query_id", "file_path", F.size("matched_chunks").alias("excerpts"), F.sha2(F.array_join("matched_chunks", "|"), 256).alias("text_sha"))
+    assert rows(structured.matched_chunks(spark, str(tmp_path)), *columns) == rows(want, *columns)
+    context = retrieval.answer_context(scanned, chunks, structured.corpus(spark, str(tmp_path)))
+    want = context.select("query_id", F.sha2("context", 256).alias("context_sha"))
+    assert rows(structured.prompt_context(spark, str(tmp_path)), "query_id", "context_sha") == rows(want, "query_id", "context_sha")
+
+
+def test_accepted_chunks_are_those_without_a_quality_reason(spark):
+    letters, other = "ação niño ũé ", "12 34 56 78 9 "
+    made = [a * i + b * j + tail for a in (letters, "plain words here ", "é ") for b in (other, "²³ ¹ ", "-- ! ", "日本 ") for i in (0, 1, 2, 5, 9) for j in (0, 1, 3, 8) for tail in ("", "x y z v w q")]
+    made += ["Summário " + "alpha beta gamma delta epsilon " * 3, "İndex " * 30, "same " * 30 + "a b c d", "same " * 30 + "a b c"]
+    made += ["a" * k + "1" * (100 - k) + " b c d e" for k in (20, 27, 28, 29, 30, 31, 35, 39, 40, 41, 49, 50, 60)]
+    chunks = spark.createDataFrame([(t.strip(),) for t in made], "t string")
+    got = chunks.select("t", chunking.quality_reason("t").isNull().alias("kept")).collect()
+    assert [chunking._accepted(r.t) for r in got] == [r.kept for r in got] and len({r.kept for r in got}) == 2
