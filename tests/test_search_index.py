@@ -210,3 +210,12 @@ def test_accepted_chunks_are_those_without_a_quality_reason(spark):
     chunks = spark.createDataFrame([(t.strip(),) for t in made], "t string")
     got = chunks.select("t", chunking.quality_reason("t").isNull().alias("kept")).collect()
     assert [chunking._accepted(r.t) for r in got] == [r.kept for r in got] and len({r.kept for r in got}) == 2
+
+
+def test_null_texts_are_indexed_as_empty_ones(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "alpha beta"), ("b", None), ("c", "alpha")], "file_path string, content string")
+    si.write(docs, str(tmp_path), (si.DOCUMENTS, si.FOLDED_DOCUMENTS))
+    index = si.Index(spark, str(tmp_path))
+    assert [(index.field(f).rows, index.field(f).total) for f in (si.DOCUMENTS, si.FOLDED_DOCUMENTS)] == [(2, 3), (3, 3)]
+    asked = spark.createDataFrame([(1, "beta")], "query_id bigint, query string")
+    assert [r.file_path for r in si.rank_simple(index, asked, 5).collect()] == ["a"]
