@@ -40,9 +40,9 @@ CHUNK_BITS = 20
 #: Files of a segment and rows of a partition, as powers of two.
 SEGMENT_BITS, PARTITION_BITS = 13, 22
 #: Tokens that a task holds while it inverts them.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Tokens that it holds as Python strings.
-PIECE = 1 << 18
+PIECE = 1 << 17
 
 _BLOCKS = (
     "segment bigint, term string, n int, docs array<bigint>, tfs array<int>, lens array<int>, places array<int>"
@@ -98,11 +98,15 @@ def _invert(block: int):
             if not lens.sum():
                 return
             coded = lists.flatten().dictionary_encode()
-            code = coded.indices.to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(docs)), lens)
-            place = np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens)
-            order = np.argsort(code, kind="stable")
-            code, row, place = code[order], row[order], place[order]
+            del lists
+            held.clear()
+            code = coded.indices.to_numpy()
+            order = np.argsort(code, kind="stable").astype(np.int32)
+            code = code[order]
+            row = np.repeat(np.arange(len(docs), dtype=np.int32), lens)
+            place = np.arange(len(code), dtype=np.int32) - np.repeat((np.cumsum(lens) - lens).astype(np.int32), lens)
+            row, place = row[order], place[order]
+            del order
             fresh = np.ones(len(code), bool)
             fresh[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
             at = np.flatnonzero(fresh)  # first place of every posting
@@ -157,8 +161,8 @@ def _lay_out(field: Field, block: int, texts_of: Callable[[str | list[str] | Non
             nonlocal counted, total
             segments, docs, tokens, size = [], [], [], 0
             for batch in batches:
-                columns = (batch.column(k).to_pylist() for k in range(4))
-                for segment, position, text, extension in zip(*columns, strict=True):
+                for row in zip(*batch.columns, strict=True):
+                    segment, position, text, extension = (value.as_py() for value in row)
                     for chunk, part in enumerate(texts_of(text, extension)):
                         found = field.tokens(part)
                         segments.append(segment)
