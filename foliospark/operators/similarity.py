@@ -404,15 +404,12 @@ def clusters(
 def shared_terms(clustered: DataFrame, documents: DataFrame, name: str = "file_path", terms: str = "signature_terms", limit: int = 8) -> DataFrame:
     """(cluster_id, cluster_size, shared_terms): the first ``limit`` terms, sorted, that every member has."""
     members = clustered.where(F.col("cluster_id").isNotNull()).select(name, "cluster_id", "cluster_size")
-    terms_of = documents.select(name, F.explode(F.array_distinct(terms)).alias("term"))
-    everywhere = (
-        members.join(terms_of, name)
+    # Joined as whole sets; terms are counted in the task that reads them.
+    sets = members.join(documents.select(name, F.array_distinct(terms).alias("terms")), name, "left")
+    counted = (
+        sets.select("cluster_id", "cluster_size", F.explode_outer("terms").alias("term"))
         .groupBy("cluster_id", "cluster_size", "term")
         .agg(F.count(F.lit(1)).alias("n"))
-        .where("n = cluster_size")
-        .groupBy("cluster_id")
-        .agg(F.slice(F.array_sort(F.collect_list("term")), 1, limit).alias("shared_terms"))
     )
-    heads = members.select("cluster_id", "cluster_size").distinct()
-    none = F.array().cast("array<string>")
-    return heads.join(everywhere, "cluster_id", "left").withColumn("shared_terms", F.coalesce("shared_terms", none))
+    everywhere = F.collect_list(F.when(F.col("n") == F.col("cluster_size"), F.col("term")))
+    return counted.groupBy("cluster_id", "cluster_size").agg(F.slice(F.array_sort(everywhere), 1, limit).alias("shared_terms"))

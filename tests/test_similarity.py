@@ -121,6 +121,20 @@ def test_sets_without_a_name_change_no_other_sets_links(spark):
     assert sorted((r.file_path or "", r.cluster_id or "", r.cluster_size, r.links) for r in got) == [("", "", 1, 0)] * 2 + [("a", "a", 2, 1), ("b", "a", 2, 1)]
 
 
+def test_shared_terms_are_counted_after_the_join_of_whole_sets(spark):
+    sets = alike(random.Random(8), 60, 3, 9)
+    docs = spark.createDataFrame([(n, [*sorted(t), *list(t)[:1]]) for n, t in sets.items()], SETS)
+    found = similarity.clusters(docs, threshold=0.5)
+    got = similarity.shared_terms(found, docs, limit=3)
+    want = {}
+    for n, (head, size, _, _) in plain(sets, 0.5).items():
+        if head:
+            want[head, size] = want.get((head, size), sets[n]) & sets[n]
+    assert {(r.cluster_id, r.cluster_size): r.shared_terms for r in got.collect()} == {k: sorted(v)[:3] for k, v in want.items()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # terms are not shuffled one by one
+
+
 def test_shared_terms_are_those_of_every_member(spark):
     rows = [("a", ["x", "y", "z"]), ("b", ["x", "y", "w"]), ("c", ["x", "w", "v"]), ("d", ["u"])]
     docs = spark.createDataFrame(rows, "file_path string, signature_terms array<string>")
